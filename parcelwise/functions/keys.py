@@ -72,8 +72,8 @@ def unit_token(value: Column) -> Column:
     Blanks, the leading ordinal mark and trailing unit words go away and every digit run loses its
     leading zeros.  Letter prefixes stay, so a basement unit never equals the plain number.
     """
-    text = F.regexp_replace(_blank(value), " ", "")
-    text = F.regexp_replace(F.regexp_replace(text, "^제+", ""), "[호동층]+$", "")
+    text = F.translate(_blank(value), " ", "")
+    text = F.rtrim(F.ltrim(text, F.lit("제")), F.lit("호동층"))
     return F.lower(F.regexp_replace(text, "(^|[^0-9])0+([0-9])", "$1$2"))
 
 

@@ -17,32 +17,27 @@ def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
-def _double_or_null(text: Column, pattern: str) -> Column:
-    return F.when(text.rlike(pattern), text.try_cast("double"))
-
-
-def _truncate(value: Column) -> Column:
-    """Cut towards zero; a magnitude outside bigint becomes null instead of an ANSI error."""
-    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
-    return F.when(F.abs(value) < F.lit(9.2e18), whole).cast("bigint")
+def _number(text: Column, pattern: str) -> Column:
+    """Double of a text that matches the pattern as a whole, null otherwise (one evaluation)."""
+    return F.regexp_extract(text, pattern, 0).try_cast("double")
 
 
 def parse_price_signed(value: Column) -> Column:
     """Listing variant: commas and quotes dropped, sign and exponent allowed, truncated."""
-    text = F.trim(F.regexp_replace(_text(value), '[,"]', ""))
-    return _truncate(_double_or_null(text, _SIGNED_NUMBER))
+    text = F.trim(F.translate(value.cast("string"), ',"', ""))
+    return _number(text, _SIGNED_NUMBER).try_cast("bigint")
 
 
 def parse_price_plain(value: Column) -> Column:
     """Statistics variant: commas and blanks dropped, digits and one dot only, truncated."""
-    text = F.regexp_replace(_text(value), r"[,\s]", "")
-    return _truncate(_double_or_null(text, _PLAIN_NUMBER))
+    text = F.translate(value.cast("string"), ", \t", "")
+    return _number(text, _PLAIN_NUMBER).try_cast("bigint")
 
 
 def parse_area(value: Column) -> Column:
     """Decimal number with optional thousands separators; anything else is null."""
-    text = F.trim(F.regexp_replace(_text(value), '[,"]', ""))
-    return _double_or_null(text, _SIGNED_NUMBER)
+    text = F.trim(F.translate(value.cast("string"), ',"', ""))
+    return _number(text, _SIGNED_NUMBER)
 
 
 def price_per_m2(price: Column, area: Column) -> Column:
@@ -58,7 +53,7 @@ def district_code(code: Column, strict: bool = True) -> Column:
     if strict:
         text = F.trim(_text(code))
         return F.when(text.rlike("^[0-9]{5}"), F.substring(text, 1, 5))
-    text = F.regexp_replace(F.trim(_text(code)), '^"+|"+$', "")
+    text = F.trim(F.trim(_text(code)), F.lit('"'))
     return F.when(F.length(text) >= 5, F.substring(text, 1, 5))
 
 

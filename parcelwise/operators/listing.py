@@ -18,28 +18,39 @@ AREA_BANDS = {"all": (0, 9999), "small": (0, 40), "middle": (40, 60), "large": (
 PRICE_PERM2_SLICE = 10_000.0
 
 
-def classify_rows(
-    raw: DataFrame,
-    limit: int = DEFAULT_LIMIT,
-    regions: Sequence[str] | None = None,
-) -> DataFrame:
-    """Typed price rows plus ``outcome``: kept, skipped, over_limit or other_region.
-
-    Rows over the cap or outside the wanted districts count neither as kept nor as skipped.  The cap
-    is inclusive and is tested before the district.  A short row (``_short`` true) is skipped.
-    """
-    typed = raw.select(
+def typed_rows(raw: DataFrame) -> DataFrame:
+    """Text rows with parsed price, area and district code added."""
+    return raw.select(
         "*",
         N.parse_price_signed(F.col("price")).alias("price_won"),
         N.parse_area(F.col("area")).alias("area_m2"),
         N.district_code(F.col("ldcode"), strict=False).alias("code"),
     )
-    short = F.coalesce(F.col("_short"), F.lit(False)) if "_short" in raw.columns else F.lit(False)
-    bad = short | F.col("price_won").isNull() | F.col("area_m2").isNull() | ~(F.col("area_m2") > 0)
-    outcome = F.when(bad, "skipped").when(F.col("price_won") > limit, "over_limit").when(F.col("code").isNull(), "skipped")
+
+
+def _short_row(raw: DataFrame) -> Column:
+    return F.coalesce(F.col("_short"), F.lit(False)) if "_short" in raw.columns else F.lit(False)
+
+
+def classify_rows(raw: DataFrame, limit: int = DEFAULT_LIMIT, regions: Sequence[str] | None = None) -> DataFrame:
+    """Typed price rows plus ``outcome``: kept, skipped, over_limit or other_region.
+
+    Rows over the cap or outside the wanted districts count neither as kept nor as skipped.  The cap
+    is inclusive and is tested before the district.  A short row (``_short`` true) is skipped.
+    """
+    price_over = F.col("price_won") > limit
+    readable = ~_short_row(raw) & price_over.isNotNull() & F.coalesce(F.col("area_m2") > 0, F.lit(False))
+    outcome = F.when(~readable, "skipped").when(price_over, "over_limit").when(F.col("code").isNull(), "skipped")
     if regions:
         outcome = outcome.when(~F.col("code").isin(*regions), "other_region")
-    return typed.withColumn("outcome", outcome.otherwise("kept"))
+    return typed_rows(raw).withColumn("outcome", outcome.otherwise("kept"))
+
+
+def kept_rows(raw: DataFrame, limit: int = DEFAULT_LIMIT, regions: Sequence[str] | None = None) -> DataFrame:
+    """The rows :func:`classify_rows` calls kept, as plain conjuncts the optimizer can split."""
+    rows = typed_rows(raw).where(~_short_row(raw))
+    rows = rows.where(F.col("price_won") <= limit).where(F.col("area_m2") > 0).where(F.col("code").isNotNull())
+    return rows.where(F.col("code").isin(*regions)) if regions else rows
 
 
 def row_accounting(classified: DataFrame) -> DataFrame:
@@ -51,15 +62,15 @@ def row_accounting(classified: DataFrame) -> DataFrame:
     )
 
 
-def listing_items(classified: DataFrame) -> DataFrame:
+def listing_items(kept: DataFrame) -> DataFrame:
     """Listing rows of the kept price rows."""
 
     def text(name: str) -> Column:
-        return F.trim(F.coalesce(F.col(name), F.lit(""))) if name in classified.columns else F.lit("")
+        return F.trim(F.coalesce(F.col(name), F.lit(""))) if name in kept.columns else F.lit("")
 
-    kind = N.normal_type(F.col("type")) if "type" in classified.columns else F.lit("기타")
+    kind = N.normal_type(F.col("type")) if "type" in kept.columns else F.lit("기타")
     region = F.trim(F.concat(text("sido"), F.lit(" "), text("sigungu")))
-    return classified.where(F.col("outcome") == "kept").select(
+    return kept.select(
         "code",
         F.when(region != "", region).otherwise(F.col("code")).alias("region"),
         text("eupmyeondong").alias("dong"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import areas, listing
+from . import areas, listing, units
 
-_MODULES = (areas, listing)
+_MODULES = (areas, listing, units)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

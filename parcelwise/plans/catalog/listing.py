@@ -14,7 +14,7 @@ REGIONS = ("11000", "11010", "11020", "11130")
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    return L.listing_items(L.classify_rows(view(spark, sf, "raw_price_rows"), LIMIT))
+    return L.listing_items(L.kept_rows(view(spark, sf, "raw_price_rows"), LIMIT))
 
 
 def p02_normal_type(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,8 +37,8 @@ def p04_price_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p05_region_filter(spark: SparkSession, sf: str) -> DataFrame:
-    rows = L.classify_rows(view(spark, sf, "raw_price_rows"), LIMIT, REGIONS)
-    return rows.where("outcome = 'kept'").groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
+    rows = L.kept_rows(view(spark, sf, "raw_price_rows"), LIMIT, REGIONS)
+    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def p07_row_accounting(spark: SparkSession, sf: str) -> DataFrame:
