@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import areas, listing, units
+from . import areas, listing, lookup, units
 
-_MODULES = (areas, listing, units)
+_MODULES = (areas, listing, units, lookup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -96,7 +96,45 @@ SELECT CAST(l_orderkey AS STRING) AS row_id, CAST(l_linenumber AS STRING) AS lin
 FROM lineitem
 """
 
+# Address texts of the orders in their parts: lot n-m, floor f, unit h.
+ADDRESS_PARTS = """
+SELECT o_orderkey AS request_id, CAST(1 + o_custkey % 1999 AS STRING) AS n, CAST(1 + o_orderkey % 99 AS STRING) AS m,
+       CAST(1 + o_orderkey % 4 AS STRING) AS f, CAST(100 * (1 + o_orderkey % 4) + o_custkey % 8 AS STRING) AS h,
+       o_orderkey % 5 AS kind
+FROM orders
+"""
+
+_LOT = "concat('서울 강서구 화곡동 ', n, '-', m)"
+_CUT = f"concat({_LOT}, ' 정원빌라')"
+_FULL = f"concat({_LOT}, ' 정원빌라 제', f, '층 제', h, '호')"
+
+# Landed search results: by kind the full text, the text without unit, the bare lot (two parcels),
+# the other provider, or nothing is known.
+PRIMARY_CANDIDATES = f"""
+WITH a AS ({ADDRESS_PARTS}), c AS (
+  SELECT {_FULL} AS query, 0 AS pos, n, m FROM a WHERE kind = 0
+  UNION ALL SELECT {_CUT}, 0, n, m FROM a WHERE kind = 1
+  UNION ALL SELECT {_CUT}, 1, n, m FROM a WHERE kind = 1
+  UNION ALL SELECT {_LOT}, 0, n, m FROM a WHERE kind = 3
+  UNION ALL SELECT {_LOT}, 1, n, CAST(CAST(m AS INT) + 100 AS STRING) FROM a WHERE kind = 3)
+SELECT DISTINCT query, pos, '1150010300' AS adm_code, '0' AS mountain, n AS main_lot, m AS sub_lot, '서울특별시' AS sido, '강서구' AS sigungu,
+       '화곡동' AS emd, concat('서울특별시 강서구 화곡동 ', n, '-', m) AS lot_address, concat('화곡로 ', n, ' #', CAST(pos AS STRING)) AS road_address,
+       CASE WHEN CAST(n AS INT) % 2 = 0 THEN '1' ELSE '0' END AS building_kind, CASE WHEN CAST(n AS INT) % 3 = 0 THEN '1' ELSE '0' END AS history,
+       CAST(NULL AS STRING) AS error
+FROM c
+"""
+
+SECONDARY_CANDIDATES = f"""
+WITH a AS ({ADDRESS_PARTS})
+SELECT DISTINCT {_FULL} AS query, 0 AS pos, '1150010300' AS adm_code, 'N' AS mountain, n AS main_lot, m AS sub_lot,
+       concat('서울 강서구 화곡동 ', n, '-', m) AS address_name, true AS has_address
+FROM a WHERE kind = 2
+"""
+
 VIEWS = {
+    "address_parts": ADDRESS_PARTS,
+    "primary_candidates": PRIMARY_CANDIDATES,
+    "secondary_candidates": SECONDARY_CANDIDATES,
     "housing_units": HOUSING_UNITS,
     "unit_price": UNIT_PRICE,
     "requests": REQUESTS,
