@@ -150,8 +150,12 @@ def score_and_status(rows: DataFrame) -> DataFrame:
 
 
 def resolve_parcels(requests: DataFrame, sources: Sources) -> DataFrame:
-    """Requests with their parcel key; only those without a given key walk the address ladder."""
-    rows = with_query(route(requests, sources.register))
+    """Requests with their parcel key; only those without a given key walk the address ladder.
+
+    The parsed requests are stored first: the ladder parses the search texts once more, and building
+    on a stored column keeps both parses small.
+    """
+    rows = stored(with_query(route(requests, sources.register)), "routed")
     open_rows = rows.where(F.col("asked_pnu").isNull() & F.col("query").isNotNull()).select("request_id", "query")
     found = geocode.resolve(open_rows, sources.primary, sources.secondary)
     joined = rows.join(found, "request_id", "left")
@@ -162,7 +166,7 @@ def resolve_parcels(requests: DataFrame, sources: Sources) -> DataFrame:
 
 
 def lookup(requests: DataFrame, sources: Sources, this_year: str, last_year: str) -> DataFrame:
-    """The whole job.  Two stage tables cut the plan: resolved requests and housing matches."""
+    """The whole job.  Stage tables cut the plan: parsed requests, resolved requests, housing matches."""
     resolved = stored(resolve_parcels(requests, sources), "resolved")
     asked = resolved.where(F.col("pnu").isNotNull()).select("request_id", "pnu", "dong", "ho")
     matched = stored(units.attach_last_year(units.match_units(asked, sources.units, this_year), sources.units, last_year), "matched")
@@ -180,8 +184,9 @@ def refine(requests: DataFrame, sources: Sources) -> DataFrame:
     is_number = F.col("register_number").isNotNull()
     rows = rows.withColumn("query", F.when(~is_number, F.coalesce(F.nullif(A.search_query(p), F.lit("")), F.col("q"))))
     kind = F.when(is_number, F.col("input_type")).when(p["is_road"], "도로명주소").when(p["main_lot"].isNotNull(), "지번주소").otherwise(F.col("input_type"))
+    rows = stored(rows.select("request_id", "q", kind.alias("input_type"), p["building_dong"].alias("dong"), p["ho"].alias("ho"), "query"), "routed")
     found = geocode.resolve(rows.where(F.col("query") != "").select("request_id", "query"), sources.primary, sources.secondary)
-    joined = rows.select("request_id", "q", kind.alias("input_type"), p["building_dong"].alias("dong"), p["ho"].alias("ho"), "query").join(found, "request_id", "left")
+    joined = rows.join(found, "request_id", "left")
     tail = (
         F.when(is_number_text(), F.array(F.lit("등기고유번호는 주소 정제 대상이 아님(보증DB 역조회 필요)")))
         .when(F.col("ambiguous"), F.array(F.lit("상위 행정구역(시/도·시군구)을 함께 입력하면 정확해져요")))
