@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import areas, listing, lookup, units
+from . import areas, listing, lookup, register, study, units
 
-_MODULES = (areas, listing, units, lookup)
+_MODULES = (areas, listing, units, lookup, study, register)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
