@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import areas, listing, lookup, register, study, units
+from . import areas, listing, lookup, register, study, texts, units
 
-_MODULES = (areas, listing, units, lookup, study, register)
+_MODULES = (areas, listing, units, lookup, study, register, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
