@@ -6,6 +6,8 @@ then parsed with a fixed schema.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,22 +30,36 @@ def _as_array(json: Column) -> Column:
     return F.when(json.startswith("["), json).when(json.startswith("{"), F.concat(F.lit("["), json, F.lit("]"))).otherwise(F.lit("[]"))
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _row_list(root: Column) -> Column:
+    """JSON text of the row array, wherever the envelope keeps it."""
+    holder = F.coalesce(F.get_json_object(root, "$.fields"), F.get_json_object(root, "$.field"), F.lit(""))
+    inner = lambda f: F.when(f.startswith("{"), F.coalesce(F.get_json_object(f, "$.field"), f)).otherwise(f)
+    return _bind(holder, lambda f: _bind(inner(f), _as_array))
+
+
 def decode_price_bodies(landed: DataFrame, body: str = "body") -> DataFrame:
     """Add ``error_code``, ``total`` and ``rows`` (array of price rows) to landed price responses.
 
     An error code short-circuits: no rows and no total.
     """
-    own = landed.columns
-    df = landed.withColumn(
-        "_root", F.coalesce(F.get_json_object(body, "$.apartHousingPrices"), F.get_json_object(body, "$.response"), F.col(body))
-    )
-    df = df.withColumn("error_code", F.nullif(F.get_json_object("_root", "$.resultCode"), F.lit("")))
-    df = df.withColumn("_fields", F.coalesce(F.get_json_object("_root", "$.fields"), F.get_json_object("_root", "$.field")))
-    df = df.withColumn("_fields", F.when(F.col("_fields").startswith("{"), F.coalesce(F.get_json_object("_fields", "$.field"), "_fields")).otherwise(F.col("_fields")))
-    clean = F.col("error_code").isNull()
-    total = F.when(clean, F.coalesce(F.get_json_object("_root", "$.totalCount").try_cast("bigint"), F.lit(0)))
-    rows = F.when(clean, F.from_json(_as_array(F.col("_fields")), _schema(PRICE_FIELDS))).otherwise(F.array().cast(_schema(PRICE_FIELDS)))
-    return df.select(*own, "error_code", total.alias("total"), rows.alias("rows"))
+    root = F.coalesce(F.get_json_object(body, "$.apartHousingPrices"), F.get_json_object(body, "$.response"), F.col(body))
+
+    def parts(r: Column) -> Column:
+        return F.struct(
+            F.nullif(F.get_json_object(r, "$.resultCode"), F.lit("")).alias("error_code"),
+            F.coalesce(F.get_json_object(r, "$.totalCount").try_cast("bigint"), F.lit(0)).alias("total"),
+            _row_list(r).alias("list"),
+        )
+
+    df = landed.withColumn("_d", _bind(root, parts))
+    clean = F.col("_d.error_code").isNull()
+    rows = F.from_json(F.when(clean, F.col("_d.list")).otherwise("[]"), _schema(PRICE_FIELDS))
+    return df.select(*landed.columns, F.col("_d.error_code").alias("error_code"), F.when(clean, F.col("_d.total")).alias("total"), rows.alias("rows"))
 
 
 def _price(text: Column) -> Column:
