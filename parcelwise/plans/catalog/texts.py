@@ -16,6 +16,7 @@ from ...streaming.lookup_stream import start_lookup_stream
 from .. import lookup as P
 from .listing import LIMIT, _ITEMS
 from .areas import _STATS
+from .lookup import _KNOWN
 
 
 def k22_parse_money(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,6 +179,17 @@ ORACLES = {
     "s12_area_payload": with_views(
         f"WITH {_STATS} SELECT code, dong, count, median, p25, CAST(51 AS INTEGER) AS bins FROM stats WHERE count >= 5", "housing_units"
     ),
+    "s07_upsert_table": with_views(
+        """WITH loads AS (SELECT *, 1 AS seq FROM officetel UNION ALL SELECT * REPLACE (price + 7 AS price), 2 AS seq FROM officetel WHERE CAST(ho AS INTEGER) % 2 = 1 AND year = '2026')
+        SELECT year, count(*) AS rows, count(*) FILTER (price % 20 = 7) AS odd_prices FROM (SELECT *, row_number() OVER (PARTITION BY pnu, building, dong, floor, ho, year
+        ORDER BY seq DESC, prvuse DESC, share DESC NULLS LAST, price DESC) AS rn FROM loads) WHERE rn = 1 GROUP BY year""",
+        "officetel",
+    ),
+    "t01_request_stream": with_views(
+        "WITH " + _KNOWN.replace(" WHERE NOT (pnu LIKE '%7' OR substr(pnu, 15, 1) = '3')", "") + """
+        SELECT request_id, price_this, p_last AS price_last, src LIKE '%_choice' AS needs_unit FROM g""",
+        "unit_price", "requests", "officetel",
+    ),
     "s13_index": with_views(
         f"WITH {_ITEMS} SELECT code, min(region) AS region, CAST({LIMIT} AS BIGINT) AS price_limit, count(*) AS item_count FROM items GROUP BY code", "raw_price_rows"
     ),

@@ -54,6 +54,7 @@ STUDY_COLUMNS = {
 
 REQUIRED = {"listing": ("price", "area"), "stats": ("eupmyeondong", "price"), "study": ("housing_type", "area", "price", "dong")}
 SAMPLE_BYTES = 65536
+SAMPLE_LINES = 500
 
 # Python encoding name -> charset name of the CSV reader.
 CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "MS949", "euc-kr": "EUC-KR"}
@@ -80,9 +81,14 @@ def detect_delimiter(header: str) -> str:
 
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, str, list[str]]:
-    """(encoding, delimiter, column names) of a file from its first bytes, through Spark's file access."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, SAMPLE_BYTES).alias("head"))
-    sample = bytes(files.orderBy("path").limit(1).collect()[0]["head"])
+    """(encoding, delimiter, column names) of a file from its first lines.
+
+    The lines are read byte for byte as Latin-1, so only the start of the first split is touched
+    however large the file is.
+    """
+    plain = spark.read.schema("line string").option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "")
+    lines = [r["line"] or "" for r in plain.csv(path).limit(SAMPLE_LINES).collect()]
+    sample = "\n".join(lines).encode("latin-1")[:SAMPLE_BYTES]
     encoding = detect_encoding(sample)
     first = sample.decode(encoding, "replace").splitlines()[0]
     delimiter = detect_delimiter(first)
