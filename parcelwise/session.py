@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,10 +40,13 @@ def build_session(app: str = "parcelwise", master: str | None = None, shuffle_pa
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (local tests) a temporary folder is made and remembered.
+    Only a session on one machine that names none gets a temporary folder; on a cluster that folder would be a
+    different one for each executor, so a missing setting is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="parcelwise-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
