@@ -43,8 +43,8 @@ from .common import column, prepare, read_table, stored
 
 LENGTH = 200
 PREFIX = 32
-#: Anchors with one prefix that a merge task may gather (some 500 bytes each).
-HOT_GROUP = 50_000
+#: Anchors with one prefix that a merge task may gather; at some 600 bytes each this is 150 MB.
+HOT_GROUP = 250_000
 #: Bytes hashed at a time.
 STEP = 1 << 18
 #: Suffixes a sorted run may hold.
