@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.session import scratch_path, stored
 
-__all__ = ["WORD", "SPACES", "column", "fresh_folder", "open_folder", "prepare", "read_table", "slices", "stored", "table_rows"]
+__all__ = ["WORD", "SPACES", "column", "fresh_folder", "open_folder", "prepare", "read_table", "prefix_sums", "remove", "slices", "stored"]
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,8 +48,12 @@ def open_folder(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return system, path
 
 
-def table_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(n).to_pylist() for n in names))
+def remove(df: DataFrame) -> None:
+    """Delete the files of a stage table nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for name in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def slices(items: list, sizes: list[int], most: int) -> Iterator[list]:

@@ -28,7 +28,6 @@ are removed whole (if long enough); null ids are rows like others; an empty tabl
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, prepare, read_table, stored
+from .common import column, prepare, read_table, remove, stored
 
 LENGTH = 200
 PREFIX = 32
@@ -134,6 +133,23 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), body.alias("body")).withColumn("id_key", F.coalesce("doc_id", F.lit(0).cast("bigint"))).withColumn("text_key", F.xxhash64("body"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Rows with compressed bodies: texts cross a shuffle twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            bodies = pa.array([packer.compress(b) for b in batch.column("body").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "id_key", "text_key")), bodies], ["doc_id", "id_key", "text_key", "packed"])
+
+    return docs.select("doc_id", "id_key", "text_key", "body").mapInArrow(run, "doc_id bigint, id_key bigint, text_key bigint, packed binary")
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    unpacker = zstandard.ZstdDecompressor()
+    return [unpacker.decompress(b) for b in column.to_pylist()]
+
+
 def anchors(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
     """(id_key, text_key, pos, h) of every anchor."""
 
@@ -311,13 +327,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     shared = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-shared")
     places = found.join(shared.select("h", (F.col("n") > hot_group).alias("hot")), "h")
     per_doc = places.groupBy("id_key", "text_key").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("places"))
-    bodies = docs.select("id_key", "text_key", "body").join(per_doc, ["id_key", "text_key"])
+    bodies = packed(docs).select("id_key", "text_key", "packed").join(per_doc, ["id_key", "text_key"])
     any_hot = not shared.filter(F.col("n") > hot_group).isEmpty()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for id_key, text_key, body, here in zip(*(batch.column(c).to_pylist() for c in ("id_key", "text_key", "body", "places"))):
+            for id_key, text_key, body, here in zip(batch.column("id_key").to_pylist(), batch.column("text_key").to_pylist(), unpacked(batch.column("packed")), batch.column("places").to_pylist()):
                 for at in here:
                     if at["hot"]:
                         continue
@@ -358,10 +374,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
             flush()
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("id_key", "text_key", "low", "high")})
 
-    written = stored(bodies.mapInArrow(runs, "part int, run binary"), "suffix-runs")
-    spans = written.groupBy("part").applyInPandas(merge, _SPANS)
+    spans = bodies.mapInArrow(runs, "part int, run binary").groupBy("part").applyInPandas(merge, _SPANS)
     if any_hot:
         spans = spans.unionByName(_hot_spans(bodies, length, prefix))
+    spans = stored(spans, "suffix-spans")
+    remove(found)
     return spans
 
 
@@ -385,7 +402,7 @@ def _hot_spans(bodies: DataFrame, length: int, prefix: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_key, text_key, body, here in zip(*(batch.column(c).to_pylist() for c in ("id_key", "text_key", "body", "places"))):
+            for id_key, text_key, body, here in zip(batch.column("id_key").to_pylist(), batch.column("text_key").to_pylist(), unpacked(batch.column("packed")), batch.column("places").to_pylist()):
                 starts = sorted({s for at in here if at["hot"] for s in range(max(0, at["pos"] - length + prefix), min(at["pos"], len(body) - length) + 1)})
                 for low in range(0, len(starts), 20_000):
                     some = starts[low : low + 20_000]
@@ -421,7 +438,7 @@ def cut(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, hot_group:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, sizes = [], [], []
-            for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist()):
+            for body, spans in zip(unpacked(batch.column("packed")), batch.column("spans").to_pylist()):
                 gone = united([(s["low"], s["high"]) for s in spans or ()])
                 cuts = [0, *(x for span in gone for x in span), len(body)]
                 kept.append(b"".join(body[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
@@ -431,7 +448,7 @@ def cut(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, hot_group:
                 [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), pa.array(sizes, pa.int64())],
                 ["doc_id", "kept", "removed", "n_bytes"])
 
-    joined = source.join(per_doc, ["id_key", "text_key"], "left").select("doc_id", "body", "spans")
+    joined = packed(source).join(per_doc, ["id_key", "text_key"], "left").select("doc_id", "packed", "spans")
     return joined.mapInArrow(run, "doc_id bigint, kept binary, removed array<struct<low:bigint,high:bigint>>, n_bytes bigint")
 
 
