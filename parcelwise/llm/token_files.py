@@ -18,6 +18,7 @@ next to each other, ordered by text; an empty table gives no shards.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,15 +35,16 @@ from .common import column, fresh_folder, open_folder, prepare, read_table, slic
 
 END_ID = 2
 #: Distinct words whose ids a task keeps; the memory of words is emptied when full.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
 MANIFEST = "shard int, name string, folder string, width int, n_docs bigint, n_ids bigint"
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that never looks across white space.
+    """Ids of whole texts from a tokenizer that ignores case and never looks across white space.
 
-    The vocabulary file splits text at white space before merging, so the ids of a text are those of its
-    white-space pieces in a row; each distinct piece is encoded once.
+    The vocabulary file lower-cases, and splits text at white space and between letters and marks before merging, so
+    the ids of a text are those of its pieces in a row; each distinct piece is encoded once.  New pieces are encoded
+    in one text, and the offsets of the ids tell where each piece begins.
     """
 
     def __init__(self, path: str):
@@ -51,24 +53,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian bytes."""
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        known, missing = self.known, set()
-        for words in pieces:
-            missing.update(words)
-        missing.difference_update(known)
-        if missing:
-            if len(known) + len(missing) > REMEMBERED_WORDS:
-                known = self.known = {}
-                missing = {w for words in pieces for w in words}
-            order = list(missing)
-            for run in slices(order, [len(w) for w in order], 1 << 20):
-                for word, got in zip(run, self.tokenizer.encode_batch(run, add_special_tokens=False)):
-                    known[word] = np.array(got.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in pieces]
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian bytes."""
+        pieces = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        missing = set().union(*pieces).difference(self.known)
+        if len(self.known) + len(missing) > REMEMBERED_WORDS:
+            self.known, missing = {}, set().union(*pieces)
+        self._learn(missing)
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in pieces]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        known = self.known
+        # A letter and a comma or full stop behind it are always apart.
+        marked = [p for p in missing if p[-1:] in (b",", b".") and p[-2:-1].isalpha()]
+        new = missing.difference(marked)
+        new.update(p[:-1] for p in marked if p[:-1] not in known)
+        new.update(p for p in (b",", b".") if p not in known)
+        order = [p.decode() for p in new]
+        plain = [p for p in order if p and unicodedata.is_normalized("NFC", p)]
+        for run in slices(plain, [len(p) for p in plain], 1 << 16):
+            got = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
+            ids = np.array(got.ids, self.kind)
+            starts = np.cumsum([0, *(len(p) + 1 for p in run)])
+            cuts = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), starts).tolist()
+            for piece, a, b in zip(run, cuts, cuts[1:]):
+                known[piece.encode()] = ids[a:b].tobytes()
+        for piece in order:
+            if piece.encode() not in known:
+                known[piece.encode()] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        for p in marked:
+            known[p] = known[p[:-1]] + known[p[-1:]]
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shards: int | None = None, folder: str | None = None) -> DataFrame:
@@ -90,9 +107,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shards: in
                 doc_ids = batch.column("doc_id")
                 ids.append(np.asarray(doc_ids.fill_null(0)).astype("<i8"))
                 valid.append(np.asarray(doc_ids.is_valid()).astype(np.uint8))
-                texts = [t or "" for t in batch.column("body").to_pylist()]
+                texts = [t or b"" for t in batch.column("body").to_pylist()]
                 sizes = []
-                for run in slices(texts, [len(t) for t in texts], 4 << 20):
+                for run in slices(texts, [len(t) for t in texts], 2 << 20):
                     for got in encoder.encode(run):
                         out.write(got + end)
                         sizes.append(len(got) // encoder.width + 1)
@@ -118,7 +135,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shards: in
                     out.write((np.concatenate([[0], np.cumsum(per_doc)]).astype("<u8") + np.uint64(base)).tobytes())
             yield batch
 
-    source = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "string").alias("body"))
+    source = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), column(docs, "text", "binary").alias("body"))
     ordered = source.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("body")).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("body"), "body")
     parts = stored(ordered.mapInArrow(encode, MANIFEST), "token-parts")

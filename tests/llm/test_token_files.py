@@ -7,7 +7,7 @@ import pytest
 from parcelwise.llm import token_files as T
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", " ", "Hello  WORLD\tfoo\nbar'll x's", "naïve É́ Ünïcode éa", "a" * 3000, "<|endoftext|> x <|startoftext|>y", "1234 5.6, x y z", "́lead space ́mark", "İstanbul ΑΣ Σ", "日本語 テキスト"]
+TEXTS = [None, "", " ", "Hello  WORLD\tfoo\nbar'll x's", "naïve É́ Ünïcode éa", "a" * 3000, "<|endoftext|> x <|startoftext|>y", "1234 5.6, x y z", "́lead space ́mark", "İstanbul ΑΣ Σ", "日本語 テキスト", "a. b, c., d.. e.\"f.\" x's, 9, é, ß. ÉA, \u0301. ,", "don't, I'LL. ...and \u2026 \u0130\u0307, \ud55c\u1100\u1161,"]
 
 
 def whole(text):
@@ -18,7 +18,7 @@ def whole(text):
 
 def test_pieces_encode_like_whole_texts():
     encoder = T.WordEncoder(PATH)
-    got = encoder.encode([t or "" for t in TEXTS])
+    got = encoder.encode([(t or "").encode() for t in TEXTS])
     assert [np.frombuffer(g, encoder.kind).tolist() + [T.END_ID] for g in got] == [whole(t) for t in TEXTS]
 
 
@@ -26,7 +26,7 @@ def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(T, "REMEMBERED_WORDS", 5)
     encoder = T.WordEncoder(PATH)
     for t in TEXTS:
-        assert np.frombuffer(encoder.encode([t or ""])[0], encoder.kind).tolist() + [T.END_ID] == whole(t)
+        assert np.frombuffer(encoder.encode([(t or "").encode()])[0], encoder.kind).tolist() + [T.END_ID] == whole(t)
 
 
 @pytest.mark.parametrize("shards", [1, 3, 8])
