@@ -40,7 +40,9 @@ def route(requests: DataFrame, register: DataFrame | None = None) -> DataFrame:
     ).withColumn("register_number", K.register_number(F.col("q")))
     if register is not None:
         known = register.groupBy("register_number").agg(F.min("address").alias("known_address"))
-        rows = rows.join(known, "register_number", "left")
+        # Most requests have no register number; they take no part in the join, where one task would get them all.
+        without = rows.where(F.col("register_number").isNull()).withColumn("known_address", F.lit(None).cast("string"))
+        rows = rows.where(F.col("register_number").isNotNull()).join(known, "register_number", "left").unionByName(without)
     else:
         rows = rows.withColumn("known_address", F.lit(None).cast("string"))
     is_number = F.col("register_number").isNotNull()

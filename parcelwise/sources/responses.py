@@ -11,8 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Pages a reader follows at most, and the fields of one price row.
-MAX_PAGES = 20
+# The fields of one price row.
 PRICE_FIELDS = (
     "pnu", "aphusNm", "aphusSeCodeNm", "dongNm", "floorNm", "hoNm", "prvuseAr", "pblntfPc", "stdrYear", "ldCodeNm",
 )
@@ -77,12 +76,12 @@ def explode_units(decoded: DataFrame, *keep: str) -> DataFrame:
 
 
 def usable_pages(decoded: DataFrame) -> DataFrame:
-    """Pages a sequential reader would have taken: 1..20 without a gap, before an error or empty page.
+    """Pages a sequential reader would have taken: from 1 without a gap, before an error or empty page.
 
     ``decoded`` holds (pnu, year, page) and the decoded columns.  Reading also stops once the
     announced total is reached.
     """
-    pages = decoded.where(F.col("page").between(1, MAX_PAGES))
+    pages = decoded.where(F.col("page") >= 1)
     sizes = pages.groupBy("pnu", "year", "page").agg(
         F.max(F.when(F.col("error_code").isNull(), F.size("rows")).otherwise(0)).alias("got"), F.max("total").alias("total")
     )

@@ -15,7 +15,8 @@ from ..operators.officetel import KEY, latest_per_key
 
 def write_district_items(items: DataFrame, path: str, *order: str) -> None:
     """Rows per district in the given order; large districts spread over several sorted files."""
-    ranged = items.repartitionByRange(F.col("code"), *[F.col(c) for c in order])
+    # The hash splits rows that agree in the order.
+    ranged = items.repartitionByRange(F.col("code"), *[F.col(c) for c in order], F.xxhash64(*items.columns))
     ranged.sortWithinPartitions("code", *order).write.mode("overwrite").partitionBy("code").json(path)
 
 

@@ -83,3 +83,13 @@ def test_sheets_and_upsert(spark, tmp_path):
     stored = spark.read.parquet(path)
     assert sorted((str(r["year"]), r["price"]) for r in stored.collect()) == [("2025", 10), ("2026", 11)]
     assert sorted((str(r["year"]), r["rows"], r["parcels"]) for r in O.load_report(stored).collect()) == [("2025", 1, 1), ("2026", 1, 1)]
+
+
+def test_more_than_twenty_pages_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    from parcelwise.sources import responses as R
+
+    schema = "pnu string, year string, page int, error_code string, total long, rows array<struct<stdrYear:string>>"
+    pages = spark.createDataFrame([("1" * 19, "2026", n, None, 25, [("2026",)]) for n in range(1, 26)], schema)
+    assert R.usable_pages(pages).agg(F.sum("got")).first()[0] == 25
