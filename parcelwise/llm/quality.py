@@ -132,7 +132,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, re
 g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
 k AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM g),
 c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM k WHERE n > 1) GROUP BY r),
-l AS (SELECT r, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS v FROM d),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS v FROM d),
 m AS (SELECT d.r, doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
  length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')) AS n_upper, len(v) AS n_lines, len(v) - len(list_distinct(v)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
  FROM d JOIN l ON l.r = d.r LEFT JOIN c ON c.r = d.r),
