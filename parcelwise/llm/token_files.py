@@ -18,6 +18,9 @@ next to each other, ordered by text; an empty table gives no shards.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import unicodedata
 import uuid
 import zlib
@@ -39,25 +42,49 @@ REMEMBERED_WORDS = 600_000
 MANIFEST = "shard int, name string, folder string, width int, n_docs bigint, n_ids bigint"
 
 
+#: What a tokenizer must do before merging for words to be encoded one by one.
+_WORD_RULES = (
+    ["NFC", "Replace", "Lowercase"],
+    "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+)
+#: Lower-case letters of old alphabets, and ASCII marks behind them.
+_LETTERS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u04ff]+)([!-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that ignores case and never looks across white space.
+    """Ids of whole texts, each distinct word encoded once if the tokenizer allows that.
 
-    The vocabulary file lower-cases, and splits text at white space and between letters and marks before merging, so
-    the ids of a text are those of its pieces in a row; each distinct piece is encoded once.  New pieces are encoded
-    in one text, and the offsets of the ids tell where each piece begins.
+    A vocabulary file that lower-cases, and splits text at white space and between letters and marks before merging,
+    gives a text the ids of its pieces in a row.  Pieces of letters that normalization leaves alone go straight to the
+    merges; others are encoded in one text, and the offsets of the ids tell where each begins.  Any other file
+    encodes whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[bytes, bytes] = {}
+        self.by_words = self._splits_words()
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def _splits_words(self) -> bool:
+        rules = json.loads(self.tokenizer.to_str())
+        steps = (rules["normalizer"] or {}).get("normalizers", [])
+        before = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [x["type"] for x in steps] != _WORD_RULES[0] or [x["type"] for x in before] != ["Split", "ByteLevel"] or before[1]["use_regex"] or before[1]["add_prefix_space"]:
+            return False
+        spaces = steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " "
+        return spaces and before[0]["pattern"] == {"Regex": _WORD_RULES[1]} and before[0]["invert"] and before[0]["behavior"] == "Removed"
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian bytes."""
-        pieces = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        if not self.by_words:
+            return [self._whole(t.decode()) for t in texts]
+        # Added tokens are found before lower-casing, so a text that may hold one keeps its case.
+        pieces = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         missing = set().union(*pieces).difference(self.known)
         if len(self.known) + len(missing) > REMEMBERED_WORDS:
             self.known, missing = {}, set().union(*pieces)
@@ -65,27 +92,52 @@ class WordEncoder:
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in pieces]
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
     def _learn(self, missing: set[bytes]) -> None:
         known = self.known
-        # A letter and a comma or full stop behind it are always apart.
-        marked = [p for p in missing if p[-1:] in (b",", b".") and p[-2:-1].isalpha()]
-        new = missing.difference(marked)
-        new.update(p[:-1] for p in marked if p[:-1] not in known)
-        new.update(p for p in (b",", b".") if p not in known)
-        order = [p.decode() for p in new]
-        plain = [p for p in order if p and unicodedata.is_normalized("NFC", p)]
+        marked: list[tuple[bytes, bytes, bytes]] = []
+        words: set[str] = set()
+        others: set[str] = set()
+        for piece in missing:
+            text = piece.decode()
+            plain = _LETTERS.fullmatch(text)
+            word = plain[1] if plain else ""
+            if not (word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)):
+                others.add(text)
+                continue
+            words.add(word)
+            if plain[2]:
+                # Letters and the marks behind them are always apart.
+                others.add(plain[2])
+                marked.append((piece, word.encode(), plain[2].encode()))
+        self._learn_words([w for w in words if w.encode() not in known])
+        self._learn_texts([p for p in others if p.encode() not in known])
+        for piece, word, marks in marked:
+            known[piece] = known[word] + known[marks]
+
+    def _learn_words(self, words: list[str]) -> None:
+        merge = self.tokenizer.model.tokenize
+        code = "H" if self.width == 2 else "I"
+        for run in slices(words, [len(w) for w in words], 1 << 16):
+            shown = self.as_bytes.pre_tokenize_str(" ".join(run))[0][0].split("\u0120")  # what a space is shown as
+            for word, symbols in zip(run, shown, strict=True):
+                ids = [token.id for token in merge(symbols)]
+                self.known[word.encode()] = struct.pack(f"<{len(ids)}{code}", *ids)
+
+    def _learn_texts(self, texts: list[str]) -> None:
+        plain = [p for p in texts if p and unicodedata.is_normalized("NFC", p)]
         for run in slices(plain, [len(p) for p in plain], 1 << 16):
             got = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
             ids = np.array(got.ids, self.kind)
             starts = np.cumsum([0, *(len(p) + 1 for p in run)])
             cuts = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), starts).tolist()
             for piece, a, b in zip(run, cuts, cuts[1:]):
-                known[piece.encode()] = ids[a:b].tobytes()
-        for piece in order:
-            if piece.encode() not in known:
-                known[piece.encode()] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-        for p in marked:
-            known[p] = known[p[:-1]] + known[p[-1:]]
+                self.known[piece.encode()] = ids[a:b].tobytes()
+        for piece in texts:
+            if piece.encode() not in self.known:
+                self.known[piece.encode()] = self._whole(piece)
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shards: int | None = None, folder: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from parcelwise.llm import token_files as T
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", " ", "Hello  WORLD\tfoo\nbar'll x's", "naïve É́ Ünïcode éa", "a" * 3000, "<|endoftext|> x <|startoftext|>y", "1234 5.6, x y z", "́lead space ́mark", "İstanbul ΑΣ Σ", "日本語 テキスト", "a. b, c., d.. e.\"f.\" x's, 9, é, ß. ÉA, \u0301. ,", "don't, I'LL. ...and \u2026 \u0130\u0307, \ud55c\u1100\u1161,"]
+TEXTS = [None, "", " ", "Hello  WORLD\tfoo\nbar'll x's", "naïve É́ Ünïcode éa", "a" * 3000, "<|endoftext|> x <|startoftext|>y", "<|ENDOFTEXT|> Big<|endoftext|>AND more", "it's' word'', ab--' o'clock\u00a0x\x85y za\u017c\u00f3\u0142\u0107! \u043f\u0440\u0438\u0432\u0435\u0442?! \u03c3\u03c2. a\u0301b. \u0149 \u01c5", "1234 5.6, x y z", "́lead space ́mark", "İstanbul ΑΣ Σ", "日本語 テキスト", "a. b, c., d.. e.\"f.\" x's, 9, é, ß. ÉA, \u0301. ,", "don't, I'LL. ...and \u2026 \u0130\u0307, \ud55c\u1100\u1161,"]
 
 
 def whole(text):
@@ -22,6 +22,15 @@ def test_pieces_encode_like_whole_texts():
     assert [np.frombuffer(g, encoder.kind).tolist() + [T.END_ID] for g in got] == [whole(t) for t in TEXTS]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = T.WordEncoder(path), Tokenizer.from_file(path)
+    got = encoder.encode([(t or "").encode() for t in TEXTS])
+    assert [np.frombuffer(g, encoder.kind).tolist() for g in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(T, "REMEMBERED_WORDS", 5)
     encoder = T.WordEncoder(PATH)
