@@ -2,7 +2,9 @@
 
 Joining requests to all units of their parcel would emit every pair inside a large parcel.  Here the
 fact table is first aggregated to one row per key (a few kinds of keys per fact row), so a lookup
-never fans out, and a hot parcel shrinks map-side before the shuffle.
+never fans out.  Facts meet the list of asked parcels by (pnu, salt): a hot parcel is spread over many
+tasks, and as that split is not one by parcel, Spark puts an exchange on the full key between the
+partial aggregate and the final one.
 """
 
 from __future__ import annotations
@@ -14,6 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks the units of one parcel are spread over.
+SALTS = 32
+
+
+def of_parcels(facts: DataFrame, parcels: DataFrame) -> DataFrame:
+    """Facts of the listed parcels (unique ``pnu``), with the other columns of ``parcels``.
+
+    The salt comes from the labels of a unit, so it is the same when a lost task runs again; copies of one
+    unit share a salt.
+    """
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64("dong", "floor", "ho"), F.lit(SALTS)))
+    wanted = parcels.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(wanted, ["pnu", "_salt"]).drop("_salt")
+
+
 @dataclass(frozen=True)
 class Key:
     """One kind of key: its parts, and the rows it applies to (null: all)."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import unit_key, unit_token
-from .keyed import Key, aggregate_by_keys, lookup
+from .keyed import Key, aggregate_by_keys, lookup, of_parcels
 
 COLUMNS = ["pnu", "ldcode", "building", "dong", "floor", "ho", "prvuse", "share", "price", "year"]
 KEY = ["pnu", "building", "dong", "floor", "ho", "year"]
@@ -54,7 +54,7 @@ def match_officetel(requests: DataFrame, officetel: DataFrame, year: str) -> Dat
     blank = F.lit("")
     given = F.coalesce(F.trim("ho"), F.lit("")) != ""
     parcels = requests.where(F.col("pnu").isNotNull()).select("pnu").distinct()
-    of_year = officetel.where(F.col("year") == year).join(parcels, "pnu", "left_semi")
+    of_year = of_parcels(officetel.where(F.col("year") == year), parcels)
     table = aggregate_by_keys(of_year, [Key("parcel", blank, blank), Key("ho", unit_token(F.col("ho")), blank)], _unit_struct())
     found = lookup(requests, {"parcel": Key("parcel", blank, blank), "hit": Key("ho", unit_token(F.col("ho")), blank, given)}, table)
     total = F.coalesce(F.col("parcel.n"), F.lit(0))
@@ -84,7 +84,7 @@ def attach_last_year(matched: DataFrame, officetel: DataFrame, last_year: str) -
     key = unit_key(F.col("unit.dong"), F.col("unit.floor"), F.col("unit.ho"))
     keyed = matched.select("request_id", "pnu", key.alias("_key"), anchored.alias("_anchored"))
     parcels = keyed.where(F.col("pnu").isNotNull()).select("pnu").distinct()
-    of_year = officetel.where(F.col("year") == last_year).join(parcels, "pnu", "left_semi")
+    of_year = of_parcels(officetel.where(F.col("year") == last_year), parcels)
     blank = F.lit("")
     table = aggregate_by_keys(
         of_year, [Key("parcel", blank, blank), Key("unit", unit_key(F.col("dong"), F.col("floor"), F.col("ho")), blank)], _unit_struct()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import unit_key, unit_token
-from .keyed import Key, aggregate_by_keys, lookup
+from .keyed import Key, aggregate_by_keys, lookup, of_parcels
 
 # Fixed values of the output: how many labels a message lists.
 DONGS_LISTED = 10
@@ -50,7 +50,7 @@ def match_units(requests: DataFrame, units: DataFrame, year: str) -> DataFrame:
     the parcel when nothing matched), ``sample`` (a unit of the parcel), ``price``, ``needs_unit`` and
     ``warnings``.  :func:`explain_missing` adds why a named building or unit was not found.
     """
-    of_year = units.where(F.col("year") == year).join(_wanted_parcels(requests), "pnu")
+    of_year = of_parcels(units.where(F.col("year") == year), _wanted_parcels(requests))
     blank = F.lit("")
     nd, nh = unit_token(F.col("dong")), unit_token(F.col("ho"))
     table = aggregate_by_keys(
@@ -128,7 +128,7 @@ def explain_missing(matched: DataFrame, units: DataFrame, year: str, expected: D
     """
     missing = (F.col("candidates") == 0) & (F.col("total") > 0) & _given("dong")
     parcels = matched.where(missing).select("pnu").distinct()
-    pairs = units.where(F.col("year") == year).join(parcels, "pnu", "left_semi").select(
+    pairs = of_parcels(units.where(F.col("year") == year), parcels).select(
         "pnu", unit_token(F.col("dong")).alias("_nd"), unit_token(F.col("ho")).alias("_nh")
     ).distinct()
     dongs = _top_labels(pairs.where("_nd <> ''"), ["pnu"], "_nd", DONGS_LISTED, "_dongs")
@@ -200,7 +200,7 @@ def attach_last_year(matched: DataFrame, units: DataFrame, last_year: str) -> Da
     anchor = F.coalesce(F.col("unit"), F.when(F.col("single.price").isNotNull(), F.col("single")))
     keyed = matched.select("request_id", "pnu", unit_key(anchor["dong"], anchor["floor"], anchor["ho"]).alias("_key"), anchor.isNotNull().alias("_anchored"))
     parcels = keyed.where(F.col("pnu").isNotNull()).select("pnu").distinct()
-    of_year = units.where(F.col("year") == last_year).join(parcels, "pnu", "left_semi")
+    of_year = of_parcels(units.where(F.col("year") == last_year), parcels)
     table = aggregate_by_keys(
         of_year,
         [Key("parcel", F.lit(""), F.lit("")), Key("unit", unit_key(F.col("dong"), F.col("floor"), F.col("ho")), F.lit(""))],
@@ -240,7 +240,7 @@ def available_units(requests: DataFrame, units: DataFrame, year: str) -> DataFra
     would otherwise be repeated for each of them.
     """
     parcels = requests.where("needs_unit").select("pnu").distinct()
-    labels = units.where(F.col("year") == year).join(parcels, "pnu", "left_semi")
+    labels = of_parcels(units.where(F.col("year") == year), parcels)
     return labels.select("pnu", F.trim(_raw("dong")).alias("dong"), F.trim(_raw("ho")).alias("ho")).distinct()
 
 
@@ -270,7 +270,7 @@ def browse_units(requests: DataFrame, units: DataFrame, year: str) -> DataFrame:
         "request_id", "pnu", F.coalesce(F.trim("dong"), F.lit("")).alias("d"), F.coalesce(F.trim("ho"), F.lit("")).alias("h")
     )
     parcels = asked.where(F.col("pnu").isNotNull()).select("pnu").distinct()
-    labels = units.where(F.col("year") == year).join(parcels, "pnu", "left_semi").select(
+    labels = of_parcels(units.where(F.col("year") == year), parcels).select(
         "pnu", F.trim(_raw("dong")).alias("d"), F.trim(_raw("ho")).alias("u")
     ).distinct()
     dongs = labels.where("d <> ''").select("pnu", "d").distinct()

@@ -6,6 +6,8 @@ inside a district, never as one array per district.  Each district is a director
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +62,9 @@ def upsert_officetel(spark: SparkSession, path: str, fresh: DataFrame) -> None:
             raise
         loads = fresh.withColumn("load_seq", F.lit(1))
     merged = latest_per_key(loads)
-    staging = f"{path.rstrip('/')}_staging"
+    staging = f"{path.rstrip('/')}_staging-{uuid.uuid4().hex}"
     merged.write.mode("overwrite").parquet(staging)
     stage = spark.read.schema(merged.schema).parquet(staging)
-    stage.repartition(*KEY[:1], "year").sortWithinPartitions("pnu", "ho").write.mode("overwrite").option(
+    stage.repartitionByRange("year", "pnu", "dong", "ho").sortWithinPartitions("year", "pnu", "ho").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("year").parquet(path)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,26 @@ def test_upsert_keeps_the_last_load(spark):
     row = ("P", "1", None, "1", "1", "1", 1.0, None)
     loads = spark.createDataFrame([(*row, 5, "2026", 1), (*row, 6, "2026", 2), (*row, 4, "2025", 1)], "pnu string, ldcode string, building string, dong string, floor string, ho string, prvuse double, share double, price bigint, year string, load_seq int")
     assert sorted((r["year"], r["price"], r["building"]) for r in O.latest_per_key(loads).collect()) == [("2025", 4, ""), ("2026", 6, "")]
+
+
+def test_hot_parcel_is_spread(spark):
+    """Without broadcast, the units of a parcel meet by (pnu, salt) and are exchanged on the full key."""
+    units = [("HOT" if n % 3 else f"P{n}", "2026", "", "1", str(n % 900), n, "단지", "다세대") for n in range(1, 3000)]
+    asked = [(1, "HOT", None, "7"), (2, "P3", None, "3"), (3, "HOT", None, "none"), (4, "HOT", None, None)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        matched = U.match_units(spark.createDataFrame(asked, REQUEST), spark.createDataFrame(units, UNIT), "2026")
+        plan = matched._jdf.queryExecution().executedPlan().toString()
+        got = {r["request_id"]: (r["total"], r["candidates"], r["price"]) for r in matched.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    hot = [u for u in units if u[0] == "HOT"]
+    sevens = sum(u[4] == "7" for u in hot)
+    assert got == {1: (len(hot), sevens, None), 2: (1, 1, 3), 3: (len(hot), 0, None), 4: (len(hot), 0, None)}
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan)
+    assert any("_salt" in e for e in exchanges)
+    assert any(re.match(r"pnu#\d+, key#\d+", e) for e in exchanges)
