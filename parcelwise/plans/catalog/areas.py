@@ -39,9 +39,8 @@ def a03_price_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a04_minimum_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Small cells: apartments of one area value per dong, so that many fall under five rows."""
-    units = view(spark, sf, "housing_units").where("type = '아파트' AND area < 12")
-    kept = units.groupBy("code", "dong").agg(F.count(F.lit(1)).alias("n"))
+    """Small cells: units of one type and area value per dong, so that many fall under five rows."""
+    kept = view(spark, sf, "housing_units").groupBy("code", "dong", "type", "area").agg(F.count(F.lit(1)).alias("n"))
     return kept.agg(
         F.count_if(F.col("n") >= A.MIN_SAMPLE).alias("kept_groups"),
         F.count_if(F.col("n") < A.MIN_SAMPLE).alias("dropped_groups"),
@@ -208,7 +207,7 @@ ORACLES = {
     "a04_minimum_sample": with_views(
         """SELECT count(*) FILTER (n >= 5) AS kept_groups, count(*) FILTER (n < 5) AS dropped_groups,
         CAST(coalesce(sum(n) FILTER (n < 5), 0) AS BIGINT) AS dropped_rows
-        FROM (SELECT code, dong, count(*) AS n FROM housing_units WHERE type = '아파트' AND area < 12 GROUP BY code, dong)""",
+        FROM (SELECT count(*) AS n FROM housing_units GROUP BY code, dong, type, area)""",
         "housing_units",
     ),
     "a05_district_rollup": with_views(

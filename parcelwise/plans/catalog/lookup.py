@@ -38,13 +38,13 @@ def k08_input_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k09_address_parse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.parse_address(_texts(spark, sf), "q").where(A.input_class(F.col("q"), F.col("parsed")) != "등기고유번호")
+    rows = A.parse_address(_texts(spark, sf), "q")
     fields = [f"parsed.{f}" for f in A.FIELDS if f != "warnings"]
     return rows.select("request_id", *fields, F.array_join("parsed.warnings", " / ").alias("notes"))
 
 
 def k10_derived_texts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.parse_address(_texts(spark, sf), "q").where("request_id % 8 < 6")
+    rows = A.parse_address(_texts(spark, sf), "q")
     p = F.col("parsed")
     return rows.select("request_id", A.lot_number(p).alias("lot"), A.lot_address(p).alias("lot_address"), A.search_query(p).alias("search_query"))
 
@@ -58,7 +58,7 @@ def k11_stripped_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k12_query_choice(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _texts(spark, sf).where("request_id % 8 IN (0, 3, 4)").withColumn("ho", F.when(F.col("request_id") % 3 == 0, "77"))
+    rows = _texts(spark, sf).withColumn("ho", F.when(F.col("request_id") % 3 == 0, "77"))
     chosen = P.with_query(P.route(rows.select("request_id", "q", "ho")))
     return chosen.select("request_id", "query", "dong", "ho")
 
@@ -115,9 +115,14 @@ def _known_parcels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# A tenth of the parcels stand under another province in the unit table, so that their requests end at the office table.
+_MOVED_PNU = "CASE WHEN substr(pnu, 15, 1) = '3' THEN concat('99', substr(pnu, 3)) ELSE pnu END"
+_MOVED = f"* REPLACE ({_MOVED_PNU} AS pnu)"
+
+
 def _sources(spark: SparkSession, sf: str) -> P.Sources:
     return P.Sources(
-        view(spark, sf, "unit_price").where("NOT (pnu LIKE '%7' OR substr(pnu, 15, 1) = '3')"), view(spark, sf, "officetel"),
+        view(spark, sf, "unit_price").withColumn("pnu", F.expr(_MOVED_PNU)), view(spark, sf, "officetel"),
         view(spark, sf, "primary_candidates"), view(spark, sf, "secondary_candidates"),
     )
 
@@ -252,13 +257,13 @@ _PARSED = f"""{_T}, p AS (SELECT *,
  CASE WHEN v IN (0, 1) THEN '강서구' WHEN v = 2 THEN '성남시 분당구' WHEN v = 3 THEN '영등포구' WHEN v = 5 THEN '춘천시' END AS sigungu,
  CASE WHEN v IN (0, 1) THEN '화곡동' WHEN v = 2 THEN '백현동' WHEN v = 4 THEN '중앙동' WHEN v = 5 THEN '동면' END AS emd,
  CASE WHEN v = 1 THEN '1' ELSE '0' END AS mountain,
- CASE WHEN v IN (0, 1, 2, 4, 5) THEN n END AS main_lot,
- CASE WHEN v IN (0, 2, 5) THEN m WHEN v IN (1, 4) THEN '0' END AS sub_lot,
- CASE WHEN v = 0 THEN '정원빌라' WHEN v = 1 THEN '그린빌' WHEN v = 2 THEN '봇들마을' WHEN v = 3 THEN concat('도신로', n, '길') END AS building,
+ CASE WHEN v IN (0, 1, 2, 4, 5) THEN n WHEN v = 7 THEN lpad(n, 4, '1') END AS main_lot,
+ CASE WHEN v IN (0, 2, 5) THEN m WHEN v IN (1, 4) THEN '0' WHEN v = 7 THEN '1996' END AS sub_lot,
+ CASE WHEN v = 0 THEN '정원빌라' WHEN v = 1 THEN '그린빌' WHEN v = 2 THEN '봇들마을' WHEN v = 3 THEN concat('도신로', n, '길') WHEN v = 7 THEN concat('-', lpad(m, 6, '0')) END AS building,
  CASE WHEN v = 2 THEN f END AS building_dong, CASE WHEN v = 3 THEN m END AS building_no,
  CASE WHEN v = 0 THEN concat('제', f) WHEN v = 5 THEN '지하1' END AS floor,
  CASE WHEN v IN (0, 2, 5) THEN h WHEN v = 1 THEN concat('B', h) END AS ho, v = 3 AS is_road,
- CASE v WHEN 2 THEN '복수필지(외 N필지) - 대표필지로 처리됨' WHEN 3 THEN '호 미인식 / 읍면동 미인식 / 도로명주소 - 지번은 juso 정제 필요' WHEN 4 THEN '호 미인식' WHEN 6 THEN '빈 입력' ELSE '' END AS notes FROM t)"""
+ CASE v WHEN 2 THEN '복수필지(외 N필지) - 대표필지로 처리됨' WHEN 3 THEN '호 미인식 / 읍면동 미인식 / 도로명주소 - 지번은 juso 정제 필요' WHEN 4 THEN '호 미인식' WHEN 6 THEN '빈 입력' WHEN 7 THEN '호 미인식 / 읍면동 미인식' ELSE '' END AS notes FROM t)"""
 _LADDER = f"""{_T}, pq AS (SELECT query, count(DISTINCT concat(main_lot, '-', sub_lot)) AS parcels, max(history) AS history, max(main_lot) AS main_lot FROM primary_candidates GROUP BY query),
  sq AS (SELECT DISTINCT query FROM secondary_candidates),
  l AS (SELECT t.*, CASE WHEN p1.query IS NOT NULL THEN 1 WHEN p2.query IS NOT NULL THEN 2 WHEN s3.query IS NOT NULL THEN 3 WHEN p4.query IS NOT NULL THEN 4 END AS rung,
@@ -271,7 +276,7 @@ _LADDER = f"""{_T}, pq AS (SELECT query, count(DISTINCT concat(main_lot, '-', su
  WHEN rung = 4 THEN concat('juso 결과 없음 / juso 결과 없음 / 카카오 결과 없음 / 절삭검색 적용(''', lot_q, ''') / 동명이지 2곳 매칭(서울특별시 강서구 화곡동 / 서울특별시 강서구 화곡동) - 상위 행정구역 필요')
  ELSE 'juso 결과 없음 / juso 결과 없음 / 카카오 결과 없음 / 정제 실패 - 모든 폴백 소진' END AS notes FROM l)"""
 _LADDER_VIEWS = ("address_parts", "primary_candidates", "secondary_candidates")
-_KNOWN = f"""up2 AS (SELECT * FROM unit_price WHERE NOT (pnu LIKE '%7' OR substr(pnu, 15, 1) = '3')), {_TWO_YEARS.replace('FROM unit_price)', 'FROM up2)')},
+_KNOWN = f"""up2 AS (SELECT {_MOVED} FROM unit_price), {_TWO_YEARS.replace('FROM unit_price)', 'FROM up2)')},
  o AS (SELECT *, {token('ho')} AS nh, concat_ws('|', {token('dong')}, {token('floor')}, {token('ho')}) AS k, {_TOTAL} AS t FROM officetel),
  oc AS (SELECT * FROM o WHERE year = '2026'), opar AS (SELECT pnu, count(*) AS total, min(t) AS only_t, min(k) AS only_k FROM oc GROUP BY pnu),
  ohit AS (SELECT pnu, nh, t, k FROM (SELECT *, row_number() OVER (PARTITION BY pnu, nh ORDER BY building, dong, floor, ho, price, prvuse, share NULLS FIRST) AS rn FROM oc) WHERE rn = 1),
@@ -301,19 +306,20 @@ ORACLES = {
         "address_parts",
     ),
     "k09_address_parse": with_views(
-        f"WITH {_PARSED} SELECT request_id, sido, sigungu, emd, mountain, main_lot, sub_lot, building, building_dong, building_no, floor, ho, is_road, notes FROM p WHERE v < 6",
+        f"WITH {_PARSED} SELECT request_id, sido, sigungu, emd, mountain, main_lot, sub_lot, building, building_dong, building_no, floor, ho, is_road, notes FROM p",
         "address_parts",
     ),
     "k10_derived_texts": with_views(
-        f"""WITH {_PARSED}, d AS (SELECT *, CASE WHEN main_lot IS NULL THEN NULL WHEN sub_lot = '0' THEN main_lot ELSE concat(main_lot, '-', sub_lot) END AS lot FROM p WHERE v < 6),
+        f"""WITH {_PARSED}, d AS (SELECT *, CASE WHEN main_lot IS NULL THEN NULL WHEN sub_lot = '0' THEN main_lot ELSE concat(main_lot, '-', sub_lot) END AS lot FROM p),
         a AS (SELECT *, concat_ws(' ', sido, sigungu, emd, CASE WHEN mountain = '1' THEN '산' END, lot) AS lot_address FROM d)
         SELECT request_id, lot, lot_address, CASE WHEN is_road THEN concat_ws(' ', sido, sigungu, building, building_no) ELSE lot_address END AS search_query FROM a""",
         "address_parts",
     ),
     "k11_stripped_texts": with_views(f"WITH {_T} SELECT request_id, cut_q AS without_detail, '강서구 정원빌라' AS without_tail FROM t", "address_parts"),
     "k12_query_choice": with_views(
-        f"""WITH {_PARSED} SELECT request_id, CASE v WHEN 0 THEN concat('서울특별시 강서구 화곡동 ', n, '-', m) WHEN 3 THEN q ELSE concat('부산광역시 중앙동 ', n) END AS query,
-        building_dong AS dong, CASE WHEN request_id % 3 = 0 THEN '77' ELSE ho END AS ho FROM p WHERE v IN (0, 3, 4)""",
+        f"""WITH {_PARSED} SELECT request_id, CASE v WHEN 0 THEN concat('서울특별시 강서구 화곡동 ', n, '-', m) WHEN 1 THEN concat('서울특별시 강서구 화곡동 산 ', n)
+        WHEN 2 THEN concat('경기도 성남시 분당구 백현동 ', n, '-', m) WHEN 3 THEN q WHEN 4 THEN concat('부산광역시 중앙동 ', n) WHEN 5 THEN concat('강원특별자치도 춘천시 동면 ', n, '-', m) END AS query,
+        building_dong AS dong, CASE WHEN request_id % 3 = 0 THEN '77' ELSE ho END AS ho FROM p""",
         "address_parts",
     ),
     "a15_parcel_groups": with_views(

@@ -88,8 +88,10 @@ def k34_train_test_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def a19_training_stats(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = S.train_test(_clean(spark, sf))
-    _, by_bin = S.training_stats(train)
-    return _rounded(by_bin, 2, "b_unit", "b_p25", "b_p50", "b_p75")
+    by_group, by_bin = S.training_stats(train)
+    values = ("unit", "p25", "p50", "p75")
+    whole = by_group.select("group", F.lit("").alias("area_bin"), *[F.col(f"g_{v}").alias(v) for v in values])
+    return _rounded(whole.unionByName(by_bin.select("group", "area_bin", *[F.col(f"b_{v}").alias(v) for v in values])), 2, *values)
 
 
 def _predicted(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +224,8 @@ ORACLES = {
         f"WITH {_D} SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS rows, CAST(sum(price) AS BIGINT) AS price_sum FROM d GROUP BY 1", "housing_units"
     ),
     "a19_training_stats": with_views(
-        f"""WITH {_P} SELECT grp AS "group", area_bin, round(u, 2) AS b_unit, round(p25, 2) AS b_p25, round(p50, 2) AS b_p50, round(p75, 2) AS b_p75 FROM sb""", "housing_units"
+        f"""WITH {_P} SELECT grp AS "group", area_bin, round(u, 2) AS unit, round(p25, 2) AS p25, round(p50, 2) AS p50, round(p75, 2) AS p75
+        FROM (SELECT grp, '' AS area_bin, u, p25, p50, p75 FROM sg UNION ALL SELECT grp, area_bin, u, p25, p50, p75 FROM sb)""", "housing_units"
     ),
     "j15_model_attach": with_views(
         f"""WITH {_P} SELECT grp AS "group", area, price, round(du, 3) AS du, round(dbu, 3) AS dbu, round(p50, 3) AS p50, round(bp50, 3) AS bp50, round(lo, 3) AS lo, round(hi, 3) AS hi, round(blo, 3) AS blo, round(bhi, 3) AS bhi FROM pr""",

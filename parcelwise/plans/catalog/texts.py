@@ -16,7 +16,7 @@ from ...streaming.lookup_stream import start_lookup_stream
 from .. import lookup as P
 from .listing import LIMIT, _ITEMS
 from .areas import _STATS
-from .lookup import _KNOWN
+from .lookup import _KNOWN, _MOVED
 
 
 def k22_parse_money(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,6 +67,33 @@ def s01_price_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return items.groupBy("code", "region").agg(F.count(F.lit(1)).alias("rows"), F.sum("price").alias("price_sum"))
 
 
+def s01_mixed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw rows as files of one folder: price and area swapped and other header names in half of them."""
+    configure(spark)
+    rows = view(spark, sf, "raw_price_rows")
+    half = F.coalesce(F.col("type").contains("연립"), F.lit(False))
+    path = scratch_path(spark, "price-csv")
+    plain = rows.where(half).select(*[F.col(c).alias(n) for c, n in _CSV_NAMES.items()])
+    turned = rows.where(~half).select(*[F.col(c).alias({"price": "공시가격", "area": "면적"}.get(c, n)) for c, n in reversed(_CSV_NAMES.items())])
+    for part in (plain, turned):
+        part.write.mode("append").option("header", True).option("escape", QUOTE).csv(path)
+    raw = price_csv.read_prices(spark, path)
+    items = L.listing_items(L.kept_rows(raw, LIMIT))
+    return items.groupBy("code", "region").agg(F.count(F.lit(1)).alias("rows"), F.sum("price").alias("price_sum"))
+
+
+def s01_quoted_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw rows with a line break inside every name; rows, breaks and undecoded texts counted after reading."""
+    configure(spark)
+    rows = view(spark, sf, "raw_price_rows").withColumn("name", F.concat(F.coalesce("name", F.lit("")), F.lit("\n\"가\""), F.coalesce("ho", F.lit(""))))
+    path = scratch_path(spark, "price-csv")
+    rows.select(*[F.col(c).alias(n) for c, n in _CSV_NAMES.items()]).write.option("header", True).option("encoding", "MS949").option("escape", QUOTE).csv(path)
+    raw = price_csv.read_prices(spark, path)
+    return raw.groupBy(F.nullif(F.trim("type"), F.lit("")).alias("type")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("name").contains("\n\"가\"")).alias("breaks"), F.count_if("_short").alias("short"), price_csv.undecoded(raw).alias("undecoded")
+    )
+
+
 def s05_multi_member(spark: SparkSession, sf: str) -> DataFrame:
     """Two members: a comma file with all columns and a tab file without a code column."""
     configure(spark)
@@ -138,7 +165,7 @@ def t01_request_stream(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        k22_parse_money, k23_format_money, k24_map_codes, s01_price_csv_scan, s05_multi_member, s11_district_items, s12_area_payload, s13_index, s14_read_back,
+        k22_parse_money, k23_format_money, k24_map_codes, s01_price_csv_scan, s01_mixed_headers, s01_quoted_breaks, s05_multi_member, s11_district_items, s12_area_payload, s13_index, s14_read_back,
         s07_upsert_table, t01_request_stream,
     )
 }
@@ -170,6 +197,12 @@ ORACLES = {
     "s01_price_csv_scan": with_views(
         f"WITH {_ITEMS} SELECT code, region, count(*) AS rows, CAST(sum(price) AS BIGINT) AS price_sum FROM items GROUP BY code, region", "raw_price_rows"
     ),
+    "s01_mixed_headers": with_views(
+        f"WITH {_ITEMS} SELECT code, region, count(*) AS rows, CAST(sum(price) AS BIGINT) AS price_sum FROM items GROUP BY code, region", "raw_price_rows"
+    ),
+    "s01_quoted_breaks": with_views(
+        "SELECT nullif(trim(type), '') AS type, count(*) AS rows, count(*) AS breaks, CAST(0 AS BIGINT) AS short, CAST(0 AS BIGINT) AS undecoded FROM raw_price_rows GROUP BY 1", "raw_price_rows"
+    ),
     "s05_multi_member": with_views(
         """SELECT CASE WHEN type LIKE '%연립%' THEN sido ELSE '' END AS sido, nullif(trim(type), '') AS housing_type, count(*) AS rows, count(*) FILTER (NOT type LIKE '%연립%') AS without_code FROM raw_price_rows GROUP BY ALL""",
         "raw_price_rows",
@@ -186,7 +219,7 @@ ORACLES = {
         "officetel",
     ),
     "t01_request_stream": with_views(
-        "WITH " + _KNOWN.replace(" WHERE NOT (pnu LIKE '%7' OR substr(pnu, 15, 1) = '3')", "") + """
+        "WITH " + _KNOWN.replace(_MOVED, "*") + """
         SELECT request_id, price_this, p_last AS price_last, src LIKE '%_choice' AS needs_unit FROM g""",
         "unit_price", "requests", "officetel",
     ),

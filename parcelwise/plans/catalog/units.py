@@ -51,7 +51,7 @@ def j06_two_year_match(spark: SparkSession, sf: str) -> DataFrame:
 def j06_officetel_two_years(spark: SparkSession, sf: str) -> DataFrame:
     office = view(spark, sf, "officetel")
     both = O.attach_last_year(O.match_officetel(view(spark, sf, "requests"), office, THIS_YEAR), office, LAST_YEAR)
-    return both.where(F.col("price").isNotNull()).select("request_id", "price", "price_last")
+    return both.select("request_id", "price", "price_last")
 
 
 def j08_not_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,7 +290,7 @@ ORACLES = {
         lk AS (SELECT pnu, k, count(*) AS n, min(t) AS t FROM o WHERE year = '2025' GROUP BY pnu, k),
         j AS (SELECT r.request_id, r.pnu, CASE WHEN r.ho <> '' THEN hit.t WHEN par.total = 1 THEN only_t END AS price, CASE WHEN r.ho <> '' THEN hit.k ELSE only_k END AS k
         FROM requests r LEFT JOIN par ON par.pnu = r.pnu LEFT JOIN hit ON hit.pnu = r.pnu AND r.ho <> '' AND hit.nh = {token('r.ho')})
-        SELECT j.request_id, j.price, CASE WHEN lk.n = 1 THEN lk.t END AS price_last FROM j LEFT JOIN lk ON lk.pnu = j.pnu AND lk.k = j.k WHERE j.price IS NOT NULL""",
+        SELECT j.request_id, j.price, CASE WHEN lk.n = 1 THEN lk.t END AS price_last FROM j LEFT JOIN lk ON lk.pnu = j.pnu AND lk.k = j.k""",
         "officetel", "requests",
     ),
     "j08_not_found": with_views(

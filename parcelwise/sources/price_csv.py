@@ -1,7 +1,9 @@
 """Price files: encoding and delimiter detection, header aliases, tolerant CSV scan.
 
-Only a byte prefix and the header line are looked at when the plan is built; the rows are read by
-Spark.  All columns stay text, types are parsed later with the tolerant number functions.
+A path may name many files.  One native pass over all their lines (:func:`file_layouts`) tells each file's encoding
+and whether quoted cells run over lines; the header is the file's own first line.  Files that agree are read in one
+scan, the scans are joined by logical name.  All columns stay text, types are parsed later with the tolerant number
+functions.
 """
 
 from __future__ import annotations
@@ -9,9 +11,11 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Column name aliases of the listing files.
@@ -53,46 +57,78 @@ STUDY_COLUMNS = {
 }
 
 REQUIRED = {"listing": ("price", "area"), "stats": ("eupmyeondong", "price"), "study": ("housing_type", "area", "price", "dong")}
-SAMPLE_BYTES = 65536
-SAMPLE_LINES = 500
+#: What a decoder puts where bytes do not fit the encoding.
+REPLACED = "\ufffd"
 
 # Python encoding name -> charset name of the CSV reader.
 CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "MS949", "euc-kr": "EUC-KR"}
+BOM = b"\xef\xbb\xbf"
 
 
 class MissingColumns(ValueError):
     """A file lacks a column the job cannot do without."""
 
 
-def detect_encoding(sample: bytes) -> str:
-    """First encoding that decodes the sample; a character cut off by its end does not count."""
-    for name in ("utf-8-sig", "cp949", "euc-kr", "utf-8"):
-        try:
-            sample.decode(name)
-            return name
-        except UnicodeDecodeError as error:
-            if error.start >= len(sample) - 3 and len(sample) >= SAMPLE_BYTES:
-                return name
-    return "utf-8"
+@dataclass(frozen=True)
+class Layout:
+    """How the files of one scan are read."""
+
+    encoding: str
+    delimiter: str
+    header: tuple[str, ...]
+    multi_line: bool
+
+
+def detect_encoding(head: bytes, broken_lines: int) -> str:
+    """UTF-8 if no line of the whole file breaks it, else cp949, which holds all of EUC-KR."""
+    if head.startswith(BOM):
+        return "utf-8-sig"
+    return "cp949" if broken_lines else "utf-8"
 
 
 def detect_delimiter(header: str) -> str:
     return "\t" if header.count("\t") > header.count(",") else ","
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[str, str, list[str]]:
-    """(encoding, delimiter, column names) of a file from its first lines.
-
-    The lines are read byte for byte as Latin-1, so only the start of the first split is touched
-    however large the file is.
+def _first_line(spark: SparkSession, file: str) -> tuple[str, bytes]:
+    """(path, first line that is not blank) of a file, named as ``_metadata.file_path`` names it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "ISO-8859-1"))
+    try:
+        line = reader.readLine()
+        while line is not None and not line.strip():
+            line = reader.readLine()
+    finally:
+        reader.close()
+    return path.toString(), (line or "").encode("latin-1")
+
+
+def file_layouts(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None) -> dict[Layout, list[str]]:
+    """Files below ``path`` by layout; a given ``encoding`` is taken as it is.
+
+    One pass counts, per file, lines that are no UTF-8 and lines with an odd number of quotes; only a file with such a
+    line can hold a cell that runs over lines, and is then read whole by one task.  The driver sees one row and one
+    header line per file.  Files without lines are left out.
     """
-    plain = spark.read.schema("line string").option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "")
-    lines = [r["line"] or "" for r in plain.csv(path).limit(SAMPLE_LINES).collect()]
-    sample = "\n".join(lines).encode("latin-1")[:SAMPLE_BYTES]
-    encoding = detect_encoding(sample)
-    first = sample.decode(encoding, "replace").splitlines()[0]
-    delimiter = detect_delimiter(first)
-    return encoding, delimiter, next(csv.reader([first], delimiter=delimiter))
+    value = F.col("value")
+    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
+    found = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count_if(~F.is_valid_utf8(value)).alias("broken"), F.count_if(quotes % 2 == 1).alias("open")
+    )
+    out: dict[Layout, list[str]] = {}
+    for row in sorted(found.collect()):
+        file, head = _first_line(spark, row["file"])
+        if not head:
+            continue
+        chosen = encoding or detect_encoding(head, row["broken"])
+        first = head.removeprefix(BOM).decode(chosen, "replace")
+        delimiter = detect_delimiter(first)
+        layout = Layout(chosen, delimiter, tuple(next(csv.reader([first], delimiter=delimiter))), row["open"] > 0)
+        out.setdefault(layout, []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", file))
+    return out
 
 
 def _squeezed(name: str) -> str:
@@ -134,37 +170,51 @@ def require(chosen: Mapping[str, str], kind: str, header: Sequence[str]) -> None
         raise MissingColumns(f"columns not found: {missing}; header: {list(header)}")
 
 
-def scan(spark: SparkSession, path: str, encoding: str, delimiter: str, header: Sequence[str]) -> DataFrame:
+def scan(spark: SparkSession, paths: Sequence[str], layout: Layout) -> DataFrame:
     """All columns as text under positional names ``c0..``; ``_short`` marks rows with missing cells.
 
     cp949 needs ``spark.sql.legacy.javaCharsets=true`` (see ``session.configure``).
     """
-    names = [f"c{i}" for i in range(len(header))]
+    names = [f"c{i}" for i in range(len(layout.header))]
     schema = ", ".join(f"{n} string" for n in names) + ", _bad string"
-    reader = spark.read.schema(schema).option("header", True).option("sep", delimiter).option("encoding", CHARSETS.get(encoding, encoding))
+    reader = spark.read.schema(schema).option("header", True).option("sep", layout.delimiter).option("encoding", CHARSETS.get(layout.encoding, layout.encoding))
     # Header names are irregular, the schema is enforced by position.
-    rows = reader.option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("quote", '"').option("escape", '"').csv(path)
+    reader = reader.option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", layout.multi_line)
+    rows = reader.option("quote", '"').option("escape", '"').csv(list(paths))
     return rows.select(*names, (F.col("_bad").isNotNull() & F.col(names[-1]).isNull()).alias("_short"))
 
 
 def read_prices(
-    spark: SparkSession, path: str, kind: str = "listing", encoding: str | None = None, overrides: Mapping[str, str] | None = None
+    spark: SparkSession, path: str | Sequence[str], kind: str = "listing", encoding: str | None = None, overrides: Mapping[str, str] | None = None,
+    layouts: Mapping[Layout, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """A price file with logical column names; only the mapped columns are read."""
-    found, delimiter, header = read_header(spark, path)
-    if kind == "study":
-        chosen = choose_columns(header)
-    else:
-        chosen = guess_columns(header, LISTING_ALIASES if kind == "listing" else STATS_ALIASES, overrides)
-    require(chosen, kind, header)
-    rows = scan(spark, path, encoding or found, delimiter, header)
-    return rows.select(*[F.col(f"c{list(header).index(source)}").alias(logical) for logical, source in chosen.items()], "_short")
+    """Price files with logical column names; only the mapped columns are read.
+
+    Every file's own header counts; a logical column some files lack is null there.  ``layouts`` (of
+    :func:`file_layouts`) saves the pass over the lines when it is known already.
+    """
+    parts = []
+    for layout, files in (layouts or file_layouts(spark, path, encoding)).items():
+        if kind == "study":
+            chosen = choose_columns(layout.header)
+        else:
+            chosen = guess_columns(layout.header, LISTING_ALIASES if kind == "listing" else STATS_ALIASES, overrides)
+        require(chosen, kind, layout.header)
+        picked = [F.col(f"c{layout.header.index(source)}").alias(logical) for logical, source in chosen.items()]
+        parts.append(scan(spark, files, layout).select(*picked, "_short"))
+    if not parts:
+        raise MissingColumns(f"no file with a header line below {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def undecoded(rows: DataFrame) -> Column:
+    """Number of rows with text that did not fit the encoding, as an aggregate; a load should report it or stop."""
+    return F.count_if(reduce(or_, (F.coalesce(F.contains(F.col(c), F.lit(REPLACED)), F.lit(False)) for c, t in rows.dtypes if t == "string")))
 
 
 def read_members(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Several study members with differing headers as one table; absent optional columns become ''."""
-    parts = [read_prices(spark, path, "study").drop("_short") for path in paths]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = read_prices(spark, list(paths), "study").drop("_short")
     optional = [c for c in ("sido", "sigungu", "dong_code")]
     rows = rows.withColumns({c: F.lit("") for c in optional if c not in rows.columns})
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in optional})

@@ -32,6 +32,37 @@ def test_scan_and_accounting(spark, tmp_path, encoding):
     assert (items["마"]["type"], items["마"]["price"]) == ("기타", -7)
 
 
+def test_every_file_keeps_its_own_header(spark, tmp_path):
+    write(tmp_path, "a [1].csv", ["법정동코드,단지명,면적,공시가격", "1153010700,가,46,5000"], "utf-8")
+    write(tmp_path, "나.csv", ["공시가격\t면적\t단지명\t법정동코드", "6000\t47\t나\t1153010700"], "cp949")
+    write(tmp_path, "empty.csv", [""], "utf-8")
+    rows = {r["name"]: (r["area"], r["price"]) for r in price_csv.read_prices(spark, str(tmp_path)).collect()}
+    assert rows == {"가": ("46", "5000"), "나": ("47", "6000")}
+
+
+def test_late_bytes_decide_the_encoding(spark, tmp_path):
+    path = write(tmp_path, "p.csv", ["name,단지명,면적,공시가격".replace("단지명", "x"), *["a,b,1,2"] * 2000, "a,b,1,가"], "cp949")
+    layouts = price_csv.file_layouts(spark, path)
+    assert [x.encoding for x in layouts] == ["cp949"]
+    header = ["단지명,면적,공시가격", "가,1,2"]
+    raw = price_csv.read_prices(spark, write(tmp_path, "q.csv", header, "cp949"), encoding="cp949")
+    assert raw.agg(price_csv.undecoded(raw)).first()[0] == 0
+    (tmp_path / "r.csv").write_bytes("\n".join(header).encode("utf-8") + b"\nb\xff,3,4")
+    raw = price_csv.read_prices(spark, str(tmp_path / "r.csv"), encoding="utf-8")
+    assert (raw.agg(price_csv.undecoded(raw)).first()[0], raw.count()) == (1, 2)
+
+
+def test_quoted_cells_run_over_lines(spark, tmp_path):
+    lines = ["단지명,면적,공시가격", '"가', '나 ""다""",46,5000', "라,47,6000"]
+    raw = price_csv.read_prices(spark, write(tmp_path, "p.csv", lines, "cp949"))
+    assert sorted((r["name"], r["area"], r["price"], r["_short"]) for r in raw.collect()) == [('가\n나 "다"', "46", "5000", False), ("라", "47", "6000", False)]
+
+
+def test_no_file_with_a_header(spark, tmp_path):
+    with pytest.raises(price_csv.MissingColumns):
+        price_csv.read_prices(spark, write(tmp_path, "p.csv", [""], "utf-8"))
+
+
 def test_header_variants():
     header = ["시도", " 읍면동 ", "동명", "공시 가격", "전용면적"]
     found = price_csv.guess_columns(header, price_csv.LISTING_ALIASES)
@@ -45,8 +76,9 @@ def test_header_variants():
 
 
 def test_detection():
-    assert price_csv.detect_encoding("가나".encode("cp949")) == "cp949"
-    assert price_csv.detect_encoding("가나".encode("utf-8")) == "utf-8-sig"
+    assert price_csv.detect_encoding("가나".encode("cp949"), 1) == "cp949"
+    assert price_csv.detect_encoding("가나".encode("utf-8"), 0) == "utf-8"
+    assert price_csv.detect_encoding("가나".encode("utf-8-sig"), 3) == "utf-8-sig"
     assert price_csv.detect_delimiter("a\tb\tc,d") == "\t" and price_csv.detect_delimiter("a,b") == ","
 
 
