@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by deletion-variant signatures.
+"""SimHash near-duplicates by deletion-variant signatures, and near copies by the similarity of their shingles.
 
 A 64-bit fingerprint is cut into ``max_bits // 2 + 1`` segments.  Of two fingerprints at most ``max_bits``
 bits apart, one segment then differs by at most one bit.  Every distinct fingerprint is indexed under
@@ -12,6 +12,9 @@ counting differing bits.  The pieces keep a bucket small (about 48 key bits) wha
 
 Exact copies never form pairs: the index holds distinct fingerprints.
 
+The pipeline's near copies (``keep_one``) go by another rule, a similarity of five-word shingles of 0.8 or more, for which
+two bits of a fingerprint are too narrow: there the candidates come from min-hash bands, and each is counted exactly.
+
 Edge cases: a null or blank text has fingerprint 0 and is linked like any other; repeated rows stay rows; null
 ids are ignored when the smallest id is taken (null if a group has no other); an empty table gives no rows.
 """
@@ -31,6 +34,12 @@ from .common import column, prepare, read_table, stored
 
 BITS = 64
 SEED = 42
+#: The pipeline's near copies: words of a shingle and least Jaccard similarity.
+COPY_WORDS = 5
+LEAST_SIMILARITY = 0.8
+BANDS, BAND_ROWS = 24, 4
+LEADER_ROUNDS = 2
+PAIRS_PER_BODY = 64
 
 
 def shingle_hashes(text: bytes | None, words_per_shingle: int) -> np.ndarray:
@@ -146,12 +155,120 @@ def groups(docs: DataFrame, max_bits: int = 2, words_per_shingle: int = 3) -> Da
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = 2, words_per_shingle: int = 3) -> DataFrame:
-    """The rows whose id is the smallest of their group, in the columns of ``docs``.
+def sketches(docs: DataFrame, words_per_shingle: int = COPY_WORDS) -> DataFrame:
+    """(doc_id, at, node, size, keys) for every row: hash of the row, of its words, distinct shingles, a key per band.
+
+    A band's key is made of ``BAND_ROWS`` min-hashes of the shingles, so two texts share it with (similarity **
+    ``BAND_ROWS``); texts of 0.8 share none of the ``BANDS`` keys in 3 of a million cases.
+    """
+    prepare(docs.sparkSession)
+    rng = np.random.default_rng(SEED)
+    turns, factors = (rng.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) for _ in range(2))
+    factors = factors * np.uint64(2) + np.uint64(1)
+
+    def keys(hashes: np.ndarray) -> list[int]:
+        least = np.full(len(turns), np.iinfo(np.uint64).max)
+        for low in range(0, len(hashes), 1024):
+            least = np.minimum(least, ((hashes[low : low + 1024] ^ turns) * factors).min(1))
+        return [xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, found = [], [], []
+            for text in batch.column("body").to_pylist():
+                hashes = np.unique(shingle_hashes(text, words_per_shingle)).astype(np.uint64)
+                nodes.append(xxh64_intdigest(b" ".join((text or b"").lower().split()), SEED))
+                sizes.append(len(hashes))
+                found.append(np.array(keys(hashes) if len(hashes) else [], np.uint64).view(np.int64))
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), node, pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "at", "node", "size", "keys"])
+
+    return _hashed(docs).mapInArrow(run, "doc_id bigint, at bigint, node bigint, size bigint, keys array<bigint>")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    doc_id, text = column(docs, "doc_id", "bigint"), column(docs, "text", "binary")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("at"), text.alias("body"))
+
+
+def similar(pairs: DataFrame, bodies: DataFrame, least: float, words_per_shingle: int = COPY_WORDS) -> DataFrame:
+    """The pairs (a, b) of nodes whose distinct shingles have a Jaccard similarity of ``least`` or more, counted exactly.
+
+    A node with many pairs is spread: its body is handed out once per ``PAIRS_PER_BODY`` pairs.
+    """
+    spread = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_BODY).cast("int").alias("salts"))
+    left = bodies.join(spread, bodies["node"] == spread["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("body").alias("body_a"))
+    right = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, mine = None, np.zeros(0, "<u8")
+        for batch in batches:
+            keep = []
+            for a, body_a, body_b in zip(*(batch.column(c).to_pylist() for c in ("a", "body_a", "body_b"))):
+                if a != known:
+                    known, mine = a, np.unique(shingle_hashes(body_a, words_per_shingle))
+                other = np.unique(shingle_hashes(body_b, words_per_shingle))
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                keep.append(both >= least * (len(mine) + len(other) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return right.join(left, ["a", "salt"]).select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shingle: int = COPY_WORDS) -> DataFrame:
+    """(doc_id, at, component_id) per row: the smallest id among the rows reachable over similar texts.
+
+    Candidates share a band's key.  First every text of a key meets the key's leader (another one each round); what
+    is one group by then needs no more pairs.  At last all pairs of a key that are in different groups and have not
+    met do, so no candidate is left out, and a large group does not make the square of its size.
+    """
+    rows = stored(sketches(docs, words_per_shingle), "copies")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("size").alias("size"), F.first("keys").alias("keys")), "copies-nodes")
+    entries = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    entries = stored(entries.join(shared, "key"), "copies-keys")
+    wanted = entries.select("node").distinct().join(nodes, "node").select("node", "at")
+    bodies = stored(_hashed(docs).select("at", "body").join(wanted, "at").select("node", "body").dropDuplicates(["node"]), "copies-bodies")
+    met = links = labels = None
+    for turn in range(LEADER_ROUNDS + 1):
+        now = entries.withColumn("root", F.col("node"))
+        if labels is not None:
+            now = entries.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if turn < LEADER_ROUNDS:
+            heads = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "root")).alias("head")).filter("low < high")
+            both = now.join(heads, "key").select(F.col("head.node").alias("a"), F.col("head.size").alias("size_a"), F.col("head.root").alias("root_a"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+        else:
+            counted = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+            major = counted.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+            live = now.join(major, "key")
+            minor = live.filter("root != major").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+            both = minor.join(live.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b")), "key")
+        # Sets of too unequal sizes cannot be similar.
+        both = both.filter((F.col("root_a") != F.col("root_b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9))
+        pairs = both.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min(F.struct("a", "b")).alias("p"))
+        if met is not None:
+            pairs = pairs.join(met, ["low", "high"], "left_anti")
+        pairs = stored(pairs.select("p.a", "p.b"), "copies-pairs")
+        met_now = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        met = met_now if met is None else met.unionByName(met_now)
+        found = stored(similar(pairs, bodies, least, words_per_shingle), "copies-links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links, "copies-components")
+    placed = nodes.select("node", "first").withColumn("root", F.col("node"))
+    if labels is not None:
+        placed = nodes.select("node", "first").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = stored(placed, "copies-placed")
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(placed.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "at", "component_id")
+
+
+def keep_one(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shingle: int = COPY_WORDS) -> DataFrame:
+    """The rows whose id is the smallest of their group of near copies, in the columns of ``docs``.
 
     Rows that repeat an id keep one of them per (id, text); rows with a null id stay.
     """
-    keep = groups(docs, max_bits, words_per_shingle).filter("doc_id = component_id").select("doc_id").distinct()
+    keep = near_copies(docs, least, words_per_shingle).filter("doc_id = component_id").select("doc_id").distinct()
     known = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return known.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 

@@ -77,5 +77,40 @@ def test_keep_one(spark):
     assert got == [(1, "t"), (9, "s"), (None, "u")]
 
 
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept(rows):
+    """Smallest id of each group linked by five-word similarities of 0.8 or more, by brute force."""
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    return sorted(min(i for (i, _), x in zip(rows, label) if x == g) for g in set(label))
+
+
+def test_keep_one_finds_similar_texts(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for base in ([word() for _ in range(rng.randint(40, 400))] for _ in range(25)):
+        for _ in range(6):
+            copy = base[:]
+            for i in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 25))):
+                copy[i] = word()
+            rows.append(" ".join(copy))
+    hot = [word() for _ in range(150)]
+    rows += [" ".join(hot[:i] + [word()] + hot[i + 1 :]) for i in range(0, 150, 2)] + ["", "short one", "Short  one"]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == kept(rows)
+
+
 def test_empty(spark):
+    assert S.keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert S.groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
