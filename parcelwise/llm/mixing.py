@@ -3,10 +3,13 @@
 * Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words; a target stops at
   ``most_epochs`` times the source's size and the excess is shared again by weight.  This is the level ``x`` with
   ``sum(min(cap, x * weight)) = all words``, found from running sums over the sources.
-* Schedule: slot ``i`` takes the van der Corput point of ``i`` through the cumulative targets to a source.  Any run
-  of slots therefore holds every source in nearly its share.  Slots are ranked per source.
+* Schedule: each source has as many turns as its target has blocks, the last one perhaps part of a block.  Slot ``i``
+  takes the van der Corput point of ``i`` through the cumulative turns to a source; numbers whose point lies behind all
+  turns are skipped, so each turn comes exactly once.  Any run of slots therefore holds every source in nearly its
+  share.  Slots are ranked per source.
 * Blocks: a source's documents, shuffled by a seeded hash, form a stream that repeats; it is cut into blocks of
-  ``block`` words.  The slot of rank ``r`` takes block ``r``; slots and blocks are joined on (source, r).
+  ``block`` words and at the target.  The slot of rank ``r`` takes block ``r``; slots and blocks are joined on (source, r).
+  Every source ends at its target, to the nearest word, however small it is beside a block.
 
 Sources and slots never meet in a cross join (points and intervals meet in grid cells), ranks and running sums are
 two-level, and a source with a third of the rows is spread over blocks.  Only the table of sources, one row each,
@@ -26,7 +29,7 @@ from .common import WORD, column, prefix_sums, read_table, stored
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 SEED = 20240229
-#: Slots a source has on average before blocks reach ``BLOCK_WORDS``; a source's share is off by a few slots.
+#: Slots a source has on average before blocks reach ``BLOCK_WORDS``; in a run of slots, a source's share is off by a few.
 SLOTS_PER_SOURCE = 2048
 BLOCK_WORDS = 4096
 _BUCKET_BITS = 12
@@ -75,24 +78,30 @@ def block_words(total: int, sources: int, most: int = BLOCK_WORDS, slots: int =
     return max(1, min(most, total // max(1, sources * slots)))
 
 
-def schedule(shares: DataFrame, slots: int, sources: int) -> DataFrame:
-    """(slot, key, r): which source each slot takes, and the slot's rank within the source."""
+def schedule(shares: DataFrame, slots: float, sources: int) -> DataFrame:
+    """(slot, key, r): which source each slot takes, and the slot's rank within the source.
+
+    A source has its share of ``slots``, made whole upwards; slot numbers have gaps.
+    """
     grid = max(1024, 4 * sources)
     order = Window.orderBy("key")
-    ends = shares.withColumn("top", F.sum("target").over(order)).withColumn("all", F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ends = ends.withColumn("low", F.coalesce(F.lag("top").over(order), F.lit(0.0)) / F.col("all")).withColumn("high", F.col("top") / F.col("all"))
-    ends = ends.filter("high > low").select("key", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * grid), F.least(F.lit(grid - 1), F.floor(F.col("high") * grid)))).alias("cell"))
-    digits = F.reverse(F.bin("slot"))
-    point = F.conv(digits, 2, 10).cast("double") / F.pow(F.lit(2.0), F.length(digits))
-    points = shares.sparkSession.range(1, slots + 1).select(F.col("id").alias("slot")).withColumn("point", point).withColumn("cell", F.floor(F.col("point") * grid))
-    hit = points.join(ends, "cell").filter("point >= low and point < high").select("slot", "key", F.floor(F.col("slot") / _CHUNK).alias("chunk"), F.lit(1).alias("one"))
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turns = shares.withColumn("turns", F.coalesce(F.ceil(F.col("target") * F.lit(float(slots)) / F.nullif(F.sum("target").over(everything), F.lit(0.0))), F.lit(0)))
+    ends = turns.withColumn("top", F.sum("turns").over(order)).withColumn("all", F.sum("turns").over(everything)).withColumn("low", F.col("top") - F.col("turns"))
+    total = ends.agg(F.coalesce(F.max("all"), F.lit(0))).first()[0]
+    bits = max(1, (total - 1).bit_length())
+    cell = lambda turn: F.floor(turn * grid / F.lit(max(1, total)))
+    ends = ends.filter("turns > 0").select("key", "low", "top", F.explode(F.sequence(cell(F.col("low")), cell(F.col("top") - 1))).alias("cell"))
+    turn = F.conv(F.rpad(F.reverse(F.bin("slot")), bits, "0"), 2, 10).cast("bigint")
+    points = shares.sparkSession.range(0, 1 << bits).select(F.col("id").alias("slot"), turn.alias("turn")).filter(F.col("turn") < total).withColumn("cell", cell(F.col("turn")))
+    hit = points.join(ends, "cell").filter("turn >= low and turn < top").select("slot", "key", F.floor(F.col("slot") / _CHUNK).alias("chunk"), F.lit(1).alias("one"))
     bases = prefix_sums(hit, ["key"], "chunk", "one", "base")
     rank = F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot")) - 1
     return hit.withColumn("inside", rank).join(bases, ["key", "chunk"]).select("slot", "key", (F.col("base") + F.col("inside")).alias("r"))
 
 
 def pieces(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mixture: documents cut at block borders, with the slot that takes each piece (null: not taken).
+    """The mixture: documents cut at block borders and at the target, with the slot that takes each piece (null: not taken).
 
     (doc_id, body_hash, key, size, source_size, target, at, slot, from_word, words); documents without words once,
     with a null slot.
@@ -101,15 +110,18 @@ def pieces(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int
     shares = stored(targets(sizes, weights, most_epochs), "mixing-targets")
     total, sources = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
     block = block_words(total, sources)
-    plan = stored(schedule(shares, -(-total // block), sources), "mixing-schedule")
+    plan = stored(schedule(shares, total / block, sources), "mixing-schedule")
     known = placed(sizes, seed).join(shares.select("key", "source_size", "target"), "key")
     epochs = known.filter("size > 0").withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most_epochs - 1)), lambda e: e * F.col("source_size") + F.col("at"))))
     cut = epochs.withColumn("r", F.explode(F.sequence(F.floor(F.col("p") / block), F.floor((F.col("p") + F.col("size") - 1) / block))))
     low = F.greatest(F.col("p"), F.col("r") * block)
     high = F.least(F.col("p") + F.col("size"), (F.col("r") + 1) * block)
-    cut = cut.withColumn("from_word", low - F.col("p")).withColumn("words", high - low)
+    goal = F.round("target").cast("bigint")
+    parts = F.array(F.struct(F.lit(True).alias("wanted"), low.alias("low"), F.least(high, goal).alias("high")), F.struct(F.lit(False).alias("wanted"), F.greatest(low, goal).alias("low"), high.alias("high")))
+    cut = cut.withColumn("part", F.explode(parts)).filter("part.low < part.high")
+    cut = cut.withColumn("from_word", F.col("part.low") - F.col("p")).withColumn("words", F.col("part.high") - F.col("part.low"))
     columns = ["doc_id", "body_hash", "key", "size", "source_size", "target", "at", "slot", "from_word", "words"]
-    taken = cut.join(plan, ["key", "r"], "left").select(*columns)
+    taken = cut.join(plan, ["key", "r"], "left").withColumn("slot", F.when(F.col("part.wanted"), F.col("slot"))).select(*columns)
     none = known.filter("size = 0").select(*columns[:7], F.lit(None).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("from_word"), F.lit(0).cast("bigint").alias("words"))
     return taken.unionByName(none)
 

@@ -62,6 +62,20 @@ def test_targets_sizes_and_takings(spark):
         assert abs(took[s] - want[s]) <= 12 * block
 
 
+def test_every_source_ends_at_its_target(spark):
+    rng = random.Random(8)
+    given = [(n, " ".join(["w"] * rng.randint(2000, 4000)), rng.choice("ab"), "x") for n in range(200)]
+    given += [(1000 + n, "few words here", f"tiny{n}", "x") for n in range(8)] + [(2000, " ".join(["w"] * 150), "z", "x")]
+    source_of, sizes, took = {r[0]: r[2] for r in given}, {}, {}
+    for _, t, s, _ in given:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    assert M.block_words(sum(sizes.values()), len(sizes)) > 3 * 3
+    for r in mixed(spark, given):
+        took[source_of[r.doc_id]] = took.get(source_of[r.doc_id], 0) + r.taken
+    for s, want in levels(sizes).items():
+        assert abs(took[s] - want) <= 0.5 + 1e-6
+
+
 def test_reruns_and_partitions_agree(spark):
     given = rows(2)
     key = lambda r: (r.doc_id or -1, r.size, r.taken)
