@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, collocations, decontaminate, merkle, mixing, personal, quality, secret_scan, simhash, suffix_dedup, token_files, warc
+from . import chat, collocations, decontaminate, html_extract, merkle, mixing, personal, quality, secret_scan, simhash, suffix_dedup, token_files, warc
 
-_MODULES = (mixing, token_files, secret_scan, warc, personal, simhash, suffix_dedup, quality, chat, decontaminate, merkle, collocations)
+_MODULES = (mixing, token_files, secret_scan, warc, personal, simhash, suffix_dedup, quality, chat, decontaminate, merkle, collocations, html_extract)
 
 
 def queries() -> dict:
