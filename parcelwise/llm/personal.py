@@ -3,7 +3,7 @@
 The field labels white-space separated words as nothing, email, ip, card or phone.  A word's score comes from features
 of its own shape and of its neighbours' shapes; labels of neighbours are tied by transition scores.  It is trained here,
 by maximum likelihood, from a small labelled table: sentences made from fixed templates by a rule, and at most
-``SAMPLE_DOCS`` documents (the smallest hashes of their ids) labelled by the base patterns.
+``SAMPLE_DOCS`` documents (the smallest hashes of their ids; of a longer one ``SAMPLE_CHARACTERS``) labelled by the base patterns.
 
 Decoding is exact and in numpy batches.  A word whose score for "nothing" leads by more than any two transitions can
 make up is "nothing" in the best labelling; such words cut a text into short pieces, and Viterbi runs over all pieces
@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,14 +30,16 @@ from .spans import Span, scan
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = tuple(f"crf_{k}" for k in BASE)
-# The base patterns.
+# The base patterns.  An address begins where a run of digits does and never gives digits back, so the
+# search is linear; the part of an email before the @ is found from the @ backwards (``emails``).
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-SAMPLE_DOCS = 300
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+SAMPLE_DOCS, SAMPLE_CHARACTERS = 300, 20_000
 #: Sentences for training: at most this many words each, and this many of them.
 SENTENCE_WORDS, MOST_SENTENCES = 16, 1000
 REMEMBERED_SHAPES = 300_000
@@ -68,7 +72,7 @@ def _digits(text: str) -> str:
 
 def _fits(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(int(x) <= 255 for x in found.split("."))
+        return all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in found.split(".")))
     if kind == "card":
         digits = _digits(found)
         return 14 <= len(digits) <= 19 and luhn(digits)
@@ -80,8 +84,24 @@ def _fits(kind: str, found: str) -> bool:
 _DIGIT = re.compile("[0-9]")
 
 
+def emails(text: str) -> list[Span]:
+    """Leftmost non-overlapping local parts with their hosts: around every @, not before the end of the last one."""
+    out: list[Span] = []
+    end, at = 0, text.find("@")
+    while at >= 0:
+        low = at
+        while low > end and text[low - 1] in _LOCAL:
+            low -= 1
+        host = _HOST.match(text, at + 1) if low < at else None
+        if host:
+            end = host.end()
+            out.append(("email", low, end))
+        at = text.find("@", max(at + 1, end))
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
-    out: list[Span] = [("email", *m.span()) for m in PATTERNS["email"].finditer(text)] if "@" in text else []
+    out = emails(text) if "@" in text else []
     if _DIGIT.search(text):
         for kind in BASE[1:]:
             if kind != "phone" or "+" in text:
@@ -303,12 +323,15 @@ def added_spans(text: str, found: list[tuple[int, int]], base: list[Span]) -> li
     """
     places = [m.span() for m in _WORD.finditer(text)]
     out: list[Span] = []
+    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
 
     def add(label: int, first: int, last: int) -> bool:
         low, high = places[first][0], places[last][1]
         body = text[low:high]
         low, high = low + len(body) - len(body.lstrip(_TRIM)), high - len(body) + len(body.rstrip(_TRIM))
-        if low >= high or not _whole(BASE[label - 1], text[low:high]) or any(a < high and low < b for _, a, b in base):
+        before = bisect_left(starts, high)  # base spans that begin before this one ends
+        if low >= high or (before and ends[before - 1] > low) or not _whole(BASE[label - 1], text[low:high]):
             return False
         out.append((ADDED[label - 1], low, high))
         return True
@@ -373,7 +396,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     sentences = template_sentences()
     if ids:
         doc_id = column(docs, "doc_id", "bigint")
-        texts = docs.filter(doc_id.isin(ids)).select(doc_id.alias("doc_id"), column(docs, "text", "string").alias("text")).orderBy("doc_id", "text").limit(sample_docs)
+        texts = docs.filter(doc_id.isin(ids)).select(doc_id.alias("doc_id"), F.substring(column(docs, "text", "string"), 1, SAMPLE_CHARACTERS).alias("text")).orderBy("doc_id", "text").limit(sample_docs)
         own = [s for r in texts.collect() for s in labelled_sentences(r.text or "")]
         marked, plain = [s for s in own if any(s[1])], [s for s in own if not any(s[1])]
         sentences += marked[: MOST_SENTENCES // 2] + plain[: MOST_SENTENCES - len(marked[: MOST_SENTENCES // 2])]

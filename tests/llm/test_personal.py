@@ -1,6 +1,8 @@
 import hashlib
 import itertools
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,6 +15,12 @@ TEXTS = [
 ]
 
 
+# The patterns as they are given, tried at every place.
+GIVEN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
 @pytest.fixture(scope="module")
 def field():
     return P.Field().fit(P.template_sentences())
@@ -21,8 +29,8 @@ def field():
 def spelled(text):
     text = text or ""
     out = []
-    for kind, pattern in P.PATTERNS.items():
-        for m in re.finditer(pattern.pattern, text):
+    for kind, pattern in GIVEN.items():
+        for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
             if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
                 continue
@@ -44,6 +52,25 @@ def test_base_spans_and_digests(spark):
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
 
 
+def test_base_spans_of_any_text():
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice(["1", "12", "255", "256", "007", "4111 1111 1111 1111", ".", ".", "@", "a", "b-c", "_", "+", "-", " ", "é", "(", "@x.y"]) for _ in range(rng.randint(0, 25)))
+        assert sorted(P.base_spans(text), key=lambda s: (s[1], P.BASE.index(s[0]))) == spelled(text), text
+
+
+def test_very_long_texts(spark, field):
+    """No text stops the job or takes more than its length."""
+    million = 1_000_000
+    texts = ["at 1.1.1." + "5" * 5000, "at 1.1.1." + "0" * 5000 + "1", "7" * million, "a" * million + " b@c.de", "@" * million, "a@" * (million // 2), "1." * (million // 2), "+1(" * (million // 3), "a@b." * (million // 4), "1.2.3.4 " * (million // 8)]
+    started = time.time()
+    found = [P.base_spans(t) for t in texts]
+    assert time.time() - started < 40
+    assert ("ip", 3, 9 + 5001) in found[1] and found[0] == [] and ("email", million + 1, million + 7) in found[3] and len(found[9]) == million // 8
+    docs = spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")
+    assert {r.doc_id: r.n_ip for r in P.personal_data(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     score, ties = rng.normal(size=(6, 4, 3)), rng.normal(size=(3, 3))
