@@ -19,6 +19,7 @@ import binascii
 import json
 import re
 import struct
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,7 +36,10 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Shortest run of base64 characters that can hold a key or a signed token's header.
 LEAST_BASE64 = 32
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]+?)-----END \1-----")
+_PEM_LINE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+#: What cannot stand between the lines of a key; inside a quoted text its line breaks may be escaped.
+_NOT_PEM = re.compile(r"[^A-Za-z0-9+/=\s:,.\\-]|\\(?![nr])")
+_ESCAPED_BREAK = re.compile(r"\\[nr]")
 _DOTTED = re.compile(rb"[A-Za-z0-9_.-]+")
 _OPENSSH = b"openssh-key-v1\0"
 
@@ -83,6 +87,9 @@ def is_der_key(data: bytes) -> bool:
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return False
     items = _items(data, outer[1], outer[2])
+    if items is not None and [tag for tag, _, _ in items] == [0x30, 0x04]:  # an encrypted key: algorithm with parameters, then bytes
+        inner = _items(data, items[0][1], items[0][2])
+        return bool(inner) and len(inner) == 2 and inner[0][0] == 0x06 and inner[1][0] == 0x30 and items[1][2] - items[1][1] >= 16
     if items is None or len(items) < 3 or items[0][0] != 0x02 or items[0][2] - items[0][1] != 1 or data[items[0][1]] > 1:
         return False
     if items[1][0] == 0x02:  # numbers of an RSA or DSA key
@@ -176,6 +183,28 @@ def confirmed(data: bytes, runs: list[tuple[int, int]], hexes: list[tuple[int, i
     return out
 
 
+def pem_bodies(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, base64 text) from each first line of a key to the nearest last line of its kind, leftmost first."""
+    lines = list(_PEM_LINE.finditer(text))
+    last: dict[str, list[int]] = {}
+    for n, line in enumerate(lines):
+        if line[1] == "END":
+            last.setdefault(line[2], []).append(n)
+    foreign = [m.start() for m in _NOT_PEM.finditer(text)]
+    out, covered = [], 0
+    for n, line in enumerate(lines):
+        ends = last.get(line[2], [])
+        k = bisect_left(ends, n)
+        if line[1] != "BEGIN" or line.start() < covered or k == len(ends):
+            continue
+        close = lines[ends[k]]
+        if bisect_left(foreign, line.end()) == bisect_left(foreign, close.start()):
+            covered = close.end()
+            body = _ESCAPED_BREAK.sub("\n", text[line.end() : close.start()])
+            out.append((line.start(), covered, "".join(x for x in body.splitlines() if ":" not in x).replace(" ", "")))
+    return out
+
+
 def find_secrets(texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     out = []
     for text in texts:
@@ -193,10 +222,7 @@ def find_secrets(texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
                 runs.append((a, b))
         added = [(k, place(a), place(b)) for k, a, b in confirmed(data, runs, hexes)] if runs or hexes else []
         if "PRIVATE KEY-----" in text:
-            for m in _PEM.finditer(text):
-                body = "".join(line for line in m[2].splitlines() if ":" not in line).replace(" ", "")
-                if key_kind(decoded(body.encode("ascii", "replace"))):
-                    added.append(("pem", *m.span()))
+            added += [("pem", a, b) for a, b, body in pem_bodies(text) if key_kind(decoded(body.encode("ascii", "replace")))]
         out.append((base_spans(text, [(place(a), place(b)) for a, b in hexes]), sorted(set(added))))
     return out
 

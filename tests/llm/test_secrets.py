@@ -3,6 +3,7 @@ import hashlib
 import json
 import re
 import struct
+import time
 
 from parcelwise.llm import secret_scan as S
 
@@ -68,3 +69,20 @@ def test_structures_are_confirmed():
 
 def test_empty(spark):
     assert S.secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pem_in_quoted_text_and_encrypted_keys():
+    quoted = '{"key": "' + PEM.replace("\n", "\\n") + '"}'
+    assert ("pem", PEM.replace("\n", "\\n")) in added(quoted)
+    assert not [k for k, _ in added(PEM.replace("\n", "\\q")) if k == "pem"]
+    item = lambda tag, body: bytes([tag, 0x82, *len(body).to_bytes(2, "big")]) + body if len(body) > 255 else bytes([tag, 0x81, len(body)]) + body if len(body) > 127 else bytes([tag, len(body)]) + body
+    locked = item(0x30, item(0x30, item(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + item(0x30, b"\x05\x00")) + item(0x04, bytes(range(200))))
+    assert ("der", B64(locked)) in added("x " + B64(locked))
+    assert not added("x " + B64(locked[:-1]))
+
+
+def test_many_first_lines_of_keys_take_linear_time():
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" * 30_000
+    started = time.time()
+    S.find_secrets([text, text + "-----END EC PRIVATE KEY-----"])
+    assert time.time() - started < 10
