@@ -134,13 +134,34 @@ def taken_words(mixture: DataFrame) -> DataFrame:
     return with_words.select(*columns, "taken").unionByName(mixture.filter("size = 0").select(*columns, F.lit(0).cast("bigint").alias("taken")))
 
 
+def first_words(text: Column, count: Column) -> Column:
+    """A text up to the end of its ``count``-th word."""
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the space behind it; space before the first is one of its own
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    return F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), count.cast("int") + lead), ""), r"[\x20\x09-\x0D]+$", "")
+
+
 def repeat_to_targets(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (to the nearest whole document), in its columns."""
-    taken = taken_words(pieces(docs)).groupBy(F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("body_hash").alias("_body")).agg(
-        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_times")).filter("_times > 0")
-    doc_id = column(docs, "doc_id", "bigint")
-    rows = docs.withColumns({"_id": F.coalesce(doc_id, F.lit(0).cast("bigint")), "_none": doc_id.isNull(), "_body": F.xxhash64(column(docs, "text", "string"))})
-    return rows.join(taken, ["_id", "_none", "_body"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` as often as the mix takes them, in its columns.
+
+    A source ends at its target: the document in which that lies is taken up to that word the last time, and ``n_chars``,
+    where there is one, is that of the cut text.  Rows equal in id and text share what is taken of them evenly.
+    """
+    body = ["_id", "_none", "_body"]
+    taken = taken_words(pieces(docs)).filter("size > 0").groupBy(F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("body_hash").alias("_body")).agg(
+        F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken"), F.max("size").alias("_size"))
+    whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
+    copies = F.concat(F.array_repeat(F.col("_size"), whole.cast("int")), F.filter(F.array(rest), lambda x: x > 0))
+    taken = taken.filter("_taken > 0").select(*body, "_size", copies.alias("_copies"))
+    doc_id, text = column(docs, "doc_id", "bigint"), column(docs, "text", "string")
+    rows = docs.withColumns({"_id": F.coalesce(doc_id, F.lit(0).cast("bigint")), "_none": doc_id.isNull(), "_body": F.xxhash64(text)})
+    rows = rows.join(taken, body).withColumn("_words", F.explode("_copies"))
+    made = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(first_words(F.col("text").cast("string"), F.col("_words")))
+    rows = rows.withColumn("text", made.cast(docs.schema["text"].dataType))
+    if "n_chars" in docs.columns:
+        cut = F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text"))
+        rows = rows.withColumn("n_chars", cut.cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

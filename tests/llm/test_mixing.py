@@ -117,3 +117,21 @@ def test_repeated_rows_of_the_mix(spark):
 def test_no_words(spark, given):
     got = mixed(spark, given)
     assert [(r.size, r.taken, r.target) for r in got] == [(0, 0, 0.0)] * len(given)
+
+
+def test_the_mix_ends_at_the_word(spark):
+    """One-document sources: each gets its target to half a word, with white space as in the text."""
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    given = [(1, "\t " + text(1000), "a"), (2, text(2000).replace(" w7 ", "\n\n w7  "), "b"), (3, text(100), "c"), (4, text(950), None), (5, None, "b"), (6, " ", "a")]
+    docs = spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in given], "doc_id long, text string, source string, n_chars int")
+    goals = {r.key: round(r.target) for r in M.targets(M.sized(docs)).collect()}
+    rows = M.repeat_to_targets(docs).collect()
+    words = {}
+    for r in rows:
+        whole = given[r.doc_id - 1][1]
+        assert whole == r.text or (whole.startswith(r.text) and whole[len(r.text)].isspace())
+        assert r.n_chars == len(r.text)
+        key = "n" if r.source is None else "s" + r.source
+        words[key] = words.get(key, 0) + len(r.text.split())
+    assert words == {k: v for k, v in goals.items() if v}
+    assert abs(sum(words.values()) - 4050) <= 2  # half a word a source
