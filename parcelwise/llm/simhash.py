@@ -215,40 +215,80 @@ def similar(pairs: DataFrame, bodies: DataFrame, least: float, words_per_shingle
     return right.join(left, ["a", "salt"]).select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _candidates(pairs: DataFrame, met: DataFrame | None, least: float) -> DataFrame:
+    """Distinct pairs of different groups and of sizes that can be similar, without those that have met."""
+    fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
+    pairs = pairs.filter((F.col("root_a") != F.col("root_b")) & fits).groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min(F.struct("a", "b")).alias("p"))
+    if met is not None:
+        pairs = pairs.join(met, ["low", "high"], "left_anti")
+    return pairs.select("p.a", "p.b")
+
+
+def _leader_pairs(now: DataFrame, turn: int) -> DataFrame:
+    """Every text of a key with the key's leader: its most popular text, after the first turn one outside its largest group."""
+    member = F.struct("popular", "node", "size", "root")
+    if turn == 0:
+        heads = now.groupBy("key").agg(F.max(member).alias("head"))
+    else:
+        counted = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(member).alias("head"))
+        major = counted.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        heads = counted.join(major, "key").filter("root != major").groupBy("key").agg(F.max("head").alias("head"))
+    return now.join(heads, "key").select(
+        F.col("head.node").alias("a"), F.col("head.size").alias("size_a"), F.col("head.root").alias("root_a"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+
+
+def prefix_pairs(live: DataFrame, bodies: DataFrame, least: float, words_per_shingle: int) -> DataFrame:
+    """Pairs of texts of different groups that an exact prefix filter leaves; ``live`` has (node, root).
+
+    Shingles are ordered by how many texts have them, rarest first.  Of two similar sets, each has a common shingle among
+    its first ``size - ceil(least * size) + 1``, and the place of a common one bounds how many more there can be.  What a
+    text has to itself comes first and is only counted, so texts that share no more than a common passage, or that differ
+    in too many places of their own, never meet.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.unique(shingle_hashes(t, words_per_shingle)).view(np.int64) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array([len(g) for g in grams], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["node", "root", "size", "grams"])
+
+    texts = bodies.join(live, "node").select("node", "root", "body").mapInArrow(run, "node bigint, root bigint, size bigint, grams array<bigint>")
+    tokens = stored(texts.select("node", "root", "size", F.explode("grams").alias("gram")), "copies-grams")
+    common = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = tokens.join(common, "gram").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("shared"))
+    alone, prefix = F.col("size") - F.size("shared"), F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
+    front = held.filter(alone < prefix).select("node", "root", "size", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("k", "x"))
+    front = stored(front.select(F.col("x.gram").alias("gram"), "node", "root", "size", (F.col("size") - F.col("alone") - F.col("k")).alias("rest")), "copies-prefixes")
+    left, right = (front.select("gram", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}"), F.col("rest").alias(f"rest_{x}")) for x in "ab")
+    enough = F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    return left.join(right, (left["gram"] == right["gram"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough)
+
+
 def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shingle: int = COPY_WORDS) -> DataFrame:
-    """(doc_id, at, component_id) per row: the smallest id among the rows reachable over similar texts.
+    """(doc_id, at, component_id, group) per row: the smallest id among the rows reachable over similar texts, and the group's own name.
 
-    Candidates share a band's key.  First every text of a key meets the key's leader (another one each round); what
-    is one group by then needs no more pairs.  At last all pairs of a key that are in different groups and have not
-    met do, so no candidate is left out, and a large group does not make the square of its size.
+    Candidates share a band's key.  First every text of a key meets the key's leader, in ``LEADER_ROUNDS`` turns with another
+    one each; what is one group by then needs no more pairs.  Texts of keys that still hold several groups then meet
+    through an exact prefix filter, so no pair is left out, and a large group does not make the square of its size.
     """
     rows = stored(sketches(docs, words_per_shingle), "copies")
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("size").alias("size"), F.first("keys").alias("keys")), "copies-nodes")
     entries = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = stored(entries.join(shared, "key"), "copies-keys")
-    wanted = entries.select("node").distinct().join(nodes, "node").select("node", "at")
+    popular = entries.groupBy("node").agg(F.sum("n").alias("popular"))
+    wanted = popular.join(nodes, "node").select("node", "at")
     bodies = stored(_hashed(docs).select("at", "body").join(wanted, "at").select("node", "body").dropDuplicates(["node"]), "copies-bodies")
+    entries = stored(entries.join(popular, "node").select("key", "node", "size", "popular"), "copies-entries")
     met = links = labels = None
     for turn in range(LEADER_ROUNDS + 1):
         now = entries.withColumn("root", F.col("node"))
         if labels is not None:
             now = entries.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if turn < LEADER_ROUNDS:
-            heads = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "root")).alias("head")).filter("low < high")
-            both = now.join(heads, "key").select(F.col("head.node").alias("a"), F.col("head.size").alias("size_a"), F.col("head.root").alias("root_a"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+            both = _leader_pairs(now, turn)
         else:
-            counted = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-            major = counted.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-            live = now.join(major, "key")
-            minor = live.filter("root != major").select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-            both = minor.join(live.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b")), "key")
-        # Sets of too unequal sizes cannot be similar.
-        both = both.filter((F.col("root_a") != F.col("root_b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9))
-        pairs = both.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min(F.struct("a", "b")).alias("p"))
-        if met is not None:
-            pairs = pairs.join(met, ["low", "high"], "left_anti")
-        pairs = stored(pairs.select("p.a", "p.b"), "copies-pairs")
+            open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+            both = prefix_pairs(now.join(open_keys, "key", "left_semi").select("node", "root").distinct(), bodies, least, words_per_shingle)
+        pairs = stored(_candidates(both, met, least), "copies-pairs")
         met_now = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         met = met_now if met is None else met.unionByName(met_now)
         found = stored(similar(pairs, bodies, least, words_per_shingle), "copies-links")
@@ -260,17 +300,18 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shin
         placed = nodes.select("node", "first").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed, "copies-placed")
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(placed.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "at", "component_id")
+    return rows.join(placed.join(smallest, "root").select("node", F.col("root").alias("group"), "component_id"), "node").select("doc_id", "at", "component_id", "group")
 
 
 def keep_one(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shingle: int = COPY_WORDS) -> DataFrame:
-    """The rows whose id is the smallest of their group of near copies, in the columns of ``docs``.
+    """One row of each group of near copies, in the columns of ``docs``: of the rows with its smallest id, that of the smallest hash.
 
-    Rows that repeat an id keep one of them per (id, text); rows with a null id stay.
+    A null id comes after all others, so a group keeps a row without an id only where none of its rows has one.
     """
-    keep = near_copies(docs, least, words_per_shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    found = near_copies(docs, least, words_per_shingle)
+    keep = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("x")).select(F.col("x.at").alias("_at"))
+    marked = docs.withColumn("_at", F.xxhash64(column(docs, "doc_id", "bigint"), column(docs, "text", "binary")))
+    return marked.join(keep, "_at", "left_semi").dropDuplicates(["_at"]).select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

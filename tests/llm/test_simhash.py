@@ -74,7 +74,15 @@ def test_long_chain_is_one_component(spark):
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d", "s"), (1, "a b c d", "t"), (1, "a b c d", "t"), (None, "a b c d", "u"), (9, "other words here now", "s")], "doc_id long, text string, source string")
     got = sorted(((r.doc_id, r.source) for r in S.keep_one(docs).collect()), key=str)
-    assert got == [(1, "t"), (9, "s"), (None, "u")]
+    assert got == [(1, "t"), (9, "s")]
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    """Ids are not unique: the group's smallest id may stand on rows of other groups too."""
+    a, b, c = "one two three four five six", "quite another text of seven words here", "a third text that nobody else has written"
+    docs = spark.createDataFrame([(0, b), (1, a), (1, b), (None, a), (None, c), (None, c), (2, None), (None, None)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in S.keep_one(docs).collect()), key=str)
+    assert got == sorted([(0, b), (1, a), (2, None), (None, c)], key=str)
 
 
 def shingles(text):
@@ -105,6 +113,17 @@ def test_keep_one_finds_similar_texts(spark):
             rows.append(" ".join(copy))
     hot = [word() for _ in range(150)]
     rows += [" ".join(hot[:i] + [word()] + hot[i + 1 :]) for i in range(0, 150, 2)] + ["", "short one", "Short  one"]
+    for k in (2, 3, 4, 5, 6, 9):  # farther copies of one text: some are linked to it, some only to each other, some to none
+        for _ in range(12):
+            copy = hot[:]
+            for i in rng.sample(range(len(copy)), k):
+                copy[i] = word()
+            rows.append(" ".join(copy))
+            if rng.random() < 0.5:
+                copy[rng.randrange(len(copy))] = word()
+                rows.append(" ".join(copy))
+    shared = [word() for _ in range(60)]  # one long passage in texts of their own
+    rows += [" ".join([word() for _ in range(rng.randint(10, 60))] + shared) for _ in range(80)]
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
