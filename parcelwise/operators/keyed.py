@@ -2,9 +2,9 @@
 
 Joining requests to all units of their parcel would emit every pair inside a large parcel.  Here the
 fact table is first aggregated to one row per key (a few kinds of keys per fact row), so a lookup
-never fans out.  Facts meet the list of asked parcels by (pnu, salt): a hot parcel is spread over many
-tasks, and as that split is not one by parcel, Spark puts an exchange on the full key between the
-partial aggregate and the final one.
+never fans out.  Facts meet the list of asked parcels by (pnu, salt), where only a parcel that is too
+large for one task has more than one salt: the large ones and their sizes come from a top-k sketch.
+Behind that, Spark puts an exchange on the full key between the partial aggregate and the final one.
 """
 
 from __future__ import annotations
@@ -16,8 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Tasks the units of one parcel are spread over.
-SALTS = 32
+#: Rows of one parcel that a task may get, and the most parcels that can be split.  The sketch tracks ten
+#: times as many; a parcel it misses has less than that share of all rows.
+ROWS_PER_TASK = 200_000
+MOST_SPLIT = 10_000
+
+
+def split_parcels(facts: DataFrame) -> DataFrame:
+    """(pnu, splits): parcels with more than ``ROWS_PER_TASK`` rows and the tasks each one needs; at most ``MOST_SPLIT`` rows.
+
+    The sketch is merged from all partitions and never undercounts by more than its error bound, so a
+    parcel gets at most a few splits too many or too few; results do not depend on them.
+    """
+    top = facts.agg(F.call_function("approx_top_k", F.col("pnu"), F.lit(MOST_SPLIT), F.lit(10 * MOST_SPLIT)).alias("top"))
+    listed = top.select(F.explode("top").alias("x")).select(F.col("x.item").alias("pnu"), F.col("x.count").alias("n"))
+    return listed.where(F.col("n") > ROWS_PER_TASK).select("pnu", F.ceil(F.col("n") / ROWS_PER_TASK).cast("int").alias("_splits"))
 
 
 def of_parcels(facts: DataFrame, parcels: DataFrame) -> DataFrame:
@@ -26,8 +39,10 @@ def of_parcels(facts: DataFrame, parcels: DataFrame) -> DataFrame:
     The salt comes from the labels of a unit, so it is the same when a lost task runs again; copies of one
     unit share a salt.
     """
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64("dong", "floor", "ho"), F.lit(SALTS)))
-    wanted = parcels.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    large = F.broadcast(split_parcels(facts))  # bounded by MOST_SPLIT
+    splits = F.coalesce("_splits", F.lit(1))
+    salted = facts.join(large, "pnu", "left").withColumn("_salt", F.pmod(F.xxhash64("dong", "floor", "ho"), splits).cast("int")).drop("_splits")
+    wanted = parcels.join(large, "pnu", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_splits")
     return salted.join(wanted, ["pnu", "_salt"]).drop("_salt")
 
 
@@ -62,6 +77,26 @@ def aggregate_by_keys(facts: DataFrame, keys: list[Key], unit: Column, extra: Ma
     )
 
 
+def count_by_keys(facts: DataFrame, keys: list[Key], identity: Column) -> DataFrame:
+    """(pnu, kind, k1, k2) -> ``n`` and the smallest ``identity``, a bigint: plain columns and counters, aggregated by hash.
+
+    Where ``n`` is 1 the identity names the one fact; rows stay narrow however many kinds of keys there are.
+    """
+    exploded = facts.select("pnu", identity.alias("id"), F.explode(F.array_compact(F.array(*[k.struct() for k in keys]))).alias("key"))
+    return exploded.select("pnu", "key.*", "id").groupBy("pnu", "kind", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+
+
+def count_lookup(requests: DataFrame, slots: Mapping[str, Key], table: DataFrame, request: str = "request_id") -> DataFrame:
+    """Per request (unique ``request``) and slot, ``<slot>_n`` (0 without a row) and ``<slot>_id`` of its key's row in ``count_by_keys``.
+
+    Only the request's name and its keys travel; the caller joins the result to what else a request holds.
+    """
+    keyed = requests.select(request, "pnu", F.explode(F.array_compact(F.array(*[k.struct(s) for s, k in slots.items()]))).alias("key")).select(request, "pnu", "key.*")
+    found = keyed.join(table, ["pnu", "kind", "k1", "k2"])
+    each = [F.max(F.when(F.col("slot") == s, F.col(c))).alias(f"{s}_{c}") for s in slots for c in ("n", "id")]
+    return found.groupBy(request).agg(*each).withColumns({f"{s}_n": F.coalesce(f"{s}_n", F.lit(0).cast("bigint")) for s in slots})
+
+
 def lookup(requests: DataFrame, slots: Mapping[str, Key], table: DataFrame) -> DataFrame:
     """Add one struct column per slot with the table row of its key (null when there is none).
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import unit_key, unit_token
-from .keyed import Key, aggregate_by_keys, lookup, of_parcels
+from ..session import stored
+from .keyed import Key, count_by_keys, count_lookup, of_parcels
 
 # Fixed values of the output: how many labels a message lists.
 DONGS_LISTED = 10
@@ -31,6 +32,11 @@ def _unit_struct() -> Column:
     return F.struct("dong", "floor", "ho", "price", "name", "type")
 
 
+def _identity() -> Column:
+    """A number for a unit: equal for equal rows."""
+    return F.xxhash64("pnu", "dong", "floor", "ho", "price", "name", "type")
+
+
 def _wanted_parcels(requests: DataFrame) -> DataFrame:
     """One row per requested parcel with the forms of requests it gets."""
     return requests.where(F.col("pnu").isNotNull()).groupBy("pnu").agg(
@@ -50,56 +56,63 @@ def match_units(requests: DataFrame, units: DataFrame, year: str) -> DataFrame:
     the parcel when nothing matched), ``sample`` (a unit of the parcel), ``price``, ``needs_unit`` and
     ``warnings``.  :func:`explain_missing` adds why a named building or unit was not found.
     """
-    of_year = of_parcels(units.where(F.col("year") == year), _wanted_parcels(requests))
-    blank = F.lit("")
-    nd, nh = unit_token(F.col("dong")), unit_token(F.col("ho"))
-    table = aggregate_by_keys(
-        of_year,
+    # Read three times: for the keys, for the units they name, and for one unit of each parcel.
+    of_year = stored(of_parcels(units.where(F.col("year") == year), _wanted_parcels(requests)), "asked-units")
+    blank, identity = F.lit(""), _identity()
+    forms = of_year.select("pnu", "_both", "_ho_only", "_dong_only", identity.alias("_id"), _raw("dong").alias("_rd"), _raw("ho").alias("_rh"), unit_token(F.col("dong")).alias("_nd"), unit_token(F.col("ho")).alias("_nh"))
+    c = F.col
+    table = count_by_keys(
+        forms,
         [
             Key("parcel", blank, blank),
-            Key("raw2", _raw("dong"), _raw("ho"), F.col("_both")),
-            Key("norm2", nd, nh, F.col("_both")),
-            Key("raw_ho", blank, _raw("ho"), F.col("_ho_only")),
-            Key("norm_ho", blank, nh, F.col("_ho_only")),
-            Key("raw_dong", _raw("dong"), blank, F.col("_dong_only")),
-            Key("norm_dong", nd, blank, F.col("_dong_only")),
+            Key("built", blank, blank, c("_both") & (c("_nd") != "")),
+            Key("raw2", c("_rd"), c("_rh"), c("_both")),
+            Key("norm2", c("_nd"), c("_nh"), c("_both")),
+            Key("raw_ho", blank, c("_rh"), c("_ho_only")),
+            Key("norm_ho", blank, c("_nh"), c("_ho_only")),
+            Key("raw_dong", c("_rd"), blank, c("_dong_only")),
+            Key("norm_dong", c("_nd"), blank, c("_dong_only")),
         ],
-        _unit_struct(),
-        {"any_dong": nd != ""},
+        c("_id"),
     )
-    both, ho_only, dong_only = _given("dong") & _given("ho"), ~_given("dong") & _given("ho"), _given("dong") & ~_given("ho")
-    kind = F.when(both, "2").when(ho_only, "_ho").when(dong_only, "_dong")
-    first_raw, second_raw = F.when(_given("dong"), _raw("dong")).otherwise(""), F.when(_given("ho"), _raw("ho")).otherwise("")
-    first_norm, second_norm = F.when(_given("dong"), nd).otherwise(""), F.when(_given("ho"), nh).otherwise("")
-    found = lookup(
-        requests,
+    asked = requests.select(
+        "request_id", "pnu", _given("dong").alias("_gd"), _given("ho").alias("_gh"), _raw("dong").alias("_rd"), _raw("ho").alias("_rh"), unit_token(c("dong")).alias("_nd"), unit_token(c("ho")).alias("_nh"))
+    both = c("_gd") & c("_gh")
+    kind = F.when(both, "2").when(~c("_gd") & c("_gh"), "_ho").when(c("_gd") & ~c("_gh"), "_dong")
+    part = lambda given, form: F.when(c(given), c(form)).otherwise("")
+    counts = count_lookup(
+        asked,
         {
             "parcel": Key("parcel", blank, blank),
-            "raw": Key(F.concat(F.lit("raw"), kind), first_raw, second_raw, kind.isNotNull()),
-            "norm": Key(F.concat(F.lit("norm"), kind), first_norm, second_norm, kind.isNotNull()),
-            "no_dong": Key("norm2", blank, nh, both),
+            "built": Key("built", blank, blank, both),
+            "raw": Key(F.concat(F.lit("raw"), kind), part("_gd", "_rd"), part("_gh", "_rh"), kind.isNotNull()),
+            "norm": Key(F.concat(F.lit("norm"), kind), part("_gd", "_nd"), part("_gh", "_nh"), kind.isNotNull()),
+            "no_dong": Key("norm2", blank, c("_nh"), both),
         },
         table,
     )
-    count = lambda slot: F.coalesce(F.col(f"{slot}.n"), F.lit(0))
+    found = requests.join(counts, "request_id", "left")
+    count = lambda slot: F.coalesce(F.col(f"{slot}_n"), F.lit(0).cast("bigint"))
     tier = (
         F.when(count("raw") == 1, 1)
         .when(count("norm") > 0, 2)
-        .when(both & ~F.coalesce(F.col("parcel.any_dong"), F.lit(False)) & (count("no_dong") > 0), 3)
+        .when(_given("dong") & _given("ho") & (count("built") == 0) & (count("no_dong") > 0), 3)
     )
     found = found.withColumn("total", count("parcel")).withColumn("tier", tier)
     found = found.withColumn(
         "candidates",
-        F.when(F.col("tier") == 1, F.lit(1)).when(F.col("tier") == 2, count("norm")).when(F.col("tier") == 3, count("no_dong")).otherwise(0),
+        F.when(F.col("tier") == 1, F.lit(1).cast("bigint")).when(F.col("tier") == 2, count("norm")).when(F.col("tier") == 3, count("no_dong")).otherwise(F.lit(0).cast("bigint")),
     )
     one = F.col("candidates") == 1
-    found = found.withColumn(
-        "unit",
-        F.when(one & (F.col("tier") == 1), F.col("raw.unit"))
-        .when(one & (F.col("tier") == 2), F.col("norm.unit"))
-        .when(one & (F.col("tier") == 3), F.col("no_dong.unit")),
-    ).withColumn("single", F.when((F.col("candidates") == 0) & (F.col("total") == 1), F.col("parcel.unit")))
-    found = found.withColumn("sample", F.col("parcel.unit")).drop("parcel", "raw", "norm", "no_dong")
+    alone = (F.col("candidates") == 0) & (F.col("total") == 1)
+    chosen = F.when(one, F.when(F.col("tier") == 1, F.col("raw_id")).when(F.col("tier") == 2, F.col("norm_id")).when(F.col("tier") == 3, F.col("no_dong_id"))).when(alone, F.col("parcel_id"))
+    found = found.withColumn("_id", chosen).drop(*[f"{slot}_{x}" for slot in ("parcel", "built", "raw", "norm", "no_dong") for x in ("n", "id")])
+    # The one unit that an identity names, and one of each parcel's units, come from the facts by plain keys.
+    named = of_year.select("pnu", identity.alias("_id"), _unit_struct().alias("_unit"))
+    named = named.join(found.where(F.col("_id").isNotNull()).select("pnu", "_id").distinct(), ["pnu", "_id"], "left_semi").groupBy("pnu", "_id").agg(F.min("_unit").alias("_unit"))
+    samples = of_year.groupBy("pnu").agg(F.min(_unit_struct()).alias("sample"))
+    found = found.join(named, ["pnu", "_id"], "left").join(samples, "pnu", "left")
+    found = found.withColumn("unit", F.when(one, F.col("_unit"))).withColumn("single", F.when(alone, F.col("_unit")))
     found = found.withColumn("price", F.coalesce(F.col("unit"), F.col("single"))["price"]).withColumn(
         "needs_unit", (F.col("total") > 0) & F.col("unit").isNull() & F.col("single").isNull()
     )
@@ -201,21 +214,13 @@ def attach_last_year(matched: DataFrame, units: DataFrame, last_year: str) -> Da
     keyed = matched.select("request_id", "pnu", unit_key(anchor["dong"], anchor["floor"], anchor["ho"]).alias("_key"), anchor.isNotNull().alias("_anchored"))
     parcels = keyed.where(F.col("pnu").isNotNull()).select("pnu").distinct()
     of_year = of_parcels(units.where(F.col("year") == last_year), parcels)
-    table = aggregate_by_keys(
-        of_year,
-        [Key("parcel", F.lit(""), F.lit("")), Key("unit", unit_key(F.col("dong"), F.col("floor"), F.col("ho")), F.lit(""))],
-        F.struct("price"),
-    )
-    found = lookup(
-        keyed,
-        {"parcel": Key("parcel", F.lit(""), F.lit("")), "same": Key("unit", F.col("_key"), F.lit(""), F.col("_anchored"))},
-        table,
-    )
-    total = F.coalesce(F.col("parcel.n"), F.lit(0))
-    same = F.coalesce(F.col("same.n"), F.lit(0))
-    last = found.select(
-        "request_id", total.alias("total_last"), same.alias("_same"), F.when(same == 1, F.col("same.unit.price")).alias("price_last")
-    )
+    blank = F.lit("")
+    # Where a key has one unit, the smallest price is that unit's price.
+    table = count_by_keys(of_year, [Key("parcel", blank, blank), Key("unit", unit_key(F.col("dong"), F.col("floor"), F.col("ho")), blank)], F.col("price"))
+    found = count_lookup(keyed, {"parcel": Key("parcel", blank, blank), "same": Key("unit", F.col("_key"), blank, F.col("_anchored"))}, table)
+    found = keyed.select("request_id").join(found, "request_id", "left")
+    total, same = F.coalesce(F.col("parcel_n"), F.lit(0).cast("bigint")), F.coalesce(F.col("same_n"), F.lit(0).cast("bigint"))
+    last = found.select("request_id", total.alias("total_last"), same.alias("_same"), F.when(same == 1, F.col("same_id")).alias("price_last"))
     joined = matched.join(last, "request_id", "left")
     note = F.lit("전년도에서 동일 세대를 확인하지 못해 비교 생략")
     suffix = (

@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from parcelwise.operators import keyed
 from parcelwise.operators import officetel as O
 from parcelwise.operators import units as U
 
@@ -81,24 +82,31 @@ def test_upsert_keeps_the_last_load(spark):
     assert sorted((r["year"], r["price"], r["building"]) for r in O.latest_per_key(loads).collect()) == [("2025", 4, ""), ("2026", 6, "")]
 
 
-def test_hot_parcel_is_spread(spark):
-    """Without broadcast, the units of a parcel meet by (pnu, salt) and are exchanged on the full key."""
+def test_hot_parcel_is_spread(spark, monkeypatch):
+    """A parcel is split by its size, others are not copied; behind that, rows are exchanged on the full key."""
+    monkeypatch.setattr(keyed, "ROWS_PER_TASK", 150)
     units = [("HOT" if n % 3 else f"P{n}", "2026", "", "1", str(n % 900), n, "단지", "다세대") for n in range(1, 3000)]
+    facts = spark.createDataFrame(units, UNIT)
+    hot = [u for u in units if u[0] == "HOT"]
+    assert [tuple(r) for r in keyed.split_parcels(facts).collect()] == [("HOT", -(-len(hot) // 150))]
     asked = [(1, "HOT", None, "7"), (2, "P3", None, "3"), (3, "HOT", None, "none"), (4, "HOT", None, None)]
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
-        matched = U.match_units(spark.createDataFrame(asked, REQUEST), spark.createDataFrame(units, UNIT), "2026")
-        plan = matched._jdf.queryExecution().executedPlan().toString()
-        got = {r["request_id"]: (r["total"], r["candidates"], r["price"]) for r in matched.collect()}
+        spread = keyed.of_parcels(facts, spark.createDataFrame([("HOT",), ("P3",)], "pnu string"))
+        plan = spread._jdf.queryExecution().executedPlan().toString()
+        parts = spread.groupBy(F.spark_partition_id().alias("part")).agg(F.sum((F.col("pnu") == "HOT").cast("int")).alias("n")).collect()
+        got = {r["request_id"]: (r["total"], r["candidates"], r["price"]) for r in U.match_units(spark.createDataFrame(asked, REQUEST), facts, "2026").collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    hot = [u for u in units if u[0] == "HOT"]
+    assert spread.count() == len(hot) + 1
+    assert len(parts) == 4 and max(r["n"] for r in parts) < 0.6 * len(hot)
     sevens = sum(u[4] == "7" for u in hot)
     assert got == {1: (len(hot), sevens, None), 2: (1, 1, 3), 3: (len(hot), 0, None), 4: (len(hot), 0, None)}
-    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan)
-    assert any("_salt" in e for e in exchanges)
-    assert re.search(r"Exchange hashpartitioning\(pnu#\d+, key#\d+[^\n]*\n[^\n]*Aggregate\(key=\[pnu#\d+, key#\d+\][^\n]*partial_count", plan)
+    assert any("_salt" in e for e in re.findall(r"Exchange hashpartitioning\(([^)]*)", plan))
+    table = keyed.count_by_keys(spread, [keyed.Key("ho", F.col("ho"), F.lit(""))], F.col("price"))
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pnu" in plan and "SortAggregate" not in plan and plan.count("HashAggregate(") >= 2
