@@ -66,8 +66,12 @@ def _price(text: Column) -> Column:
 
 
 def explode_units(decoded: DataFrame, *keep: str) -> DataFrame:
-    """Price rows of decoded responses in the layout of the unit table; a bad price is null."""
-    rows = decoded.select(*keep, F.explode("rows").alias("r"))
+    """Price rows of decoded responses in the layout of the unit table; a bad price is null.
+
+    An outer explode: for an inner one Spark infers a filter on the array and pushes it to the scan, where every
+    body would be parsed again for it.
+    """
+    rows = decoded.select(*keep, F.explode_outer("rows").alias("r")).where(F.col("r").isNotNull())
     return rows.select(
         *keep, F.col("r.pnu").alias("unit_pnu"), F.col("r.aphusNm").alias("name"), F.col("r.aphusSeCodeNm").alias("type"), F.col("r.dongNm").alias("dong"),
         F.col("r.floorNm").alias("floor"), F.col("r.hoNm").alias("ho"), F.col("r.prvuseAr").alias("area"), _price(F.col("r.pblntfPc")).alias("price"),
