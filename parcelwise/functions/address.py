@@ -123,7 +123,7 @@ def parse_address(df: DataFrame, source: str, target: str = "parsed") -> DataFra
 
 
 def lot_number(parsed: Column) -> Column:
-    """'504-32', or '504' without a sub lot."""
+    """'86-15', or '86' without a sub lot."""
     sub = parsed["sub_lot"]
     return F.when(sub.isNull() | (sub == "0"), parsed["main_lot"]).otherwise(F.concat_ws("-", parsed["main_lot"], sub))
 

@@ -17,13 +17,13 @@ from .units import MATCHED, _TOTAL, _TWO_YEARS, token
 # Every spelling of request the parser knows, built from the address parts.
 _VARIANT = f"""CASE CAST(request_id % 8 AS INT)
  WHEN 0 THEN {_FULL}
- WHEN 1 THEN concat('서울특별시   강서구 화곡동 산 ', n, ' 그린빌 B', h, '호')
- WHEN 2 THEN concat('경기 성남시 분당구 백현동 ', n, '-', m, ' 외 3필지 봇들마을 제', f, '동 제', h, '호')
- WHEN 3 THEN concat('서울 영등포구 도신로 ', n, '길 ', m)
+ WHEN 1 THEN concat('서울특별시   물결구 누리동 산 ', n, ' 솔밭빌 B', h, '호')
+ WHEN 2 THEN concat('경기 성남시 햇살구 은빛동 ', n, '-', m, ' 외 3필지 꽃잎마을 제', f, '동 제', h, '호')
+ WHEN 3 THEN concat('서울 바람구 달맞이로 ', n, '길 ', m)
  WHEN 4 THEN concat('부산 중앙동 ', n)
  WHEN 5 THEN concat('강원 춘천시 동면 ', n, '-', m, ' 지하 1층 ', h, '호')
  WHEN 6 THEN '   '
- ELSE concat(lpad(n, 4, '1'), '-1996-', lpad(m, 6, '0')) END"""
+ ELSE concat(lpad(n, 4, '1'), '-2007-', lpad(m, 6, '0')) END"""
 
 _TEXTS = f"WITH address_parts AS ({{parts}}) SELECT request_id, n, m, f, h, {_VARIANT} AS q FROM address_parts"
 
@@ -51,7 +51,7 @@ def k10_derived_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def k11_stripped_texts(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "address_parts").selectExpr("request_id", "n", "m", "f", "h", f"{_FULL} AS q")
-    tailed = F.concat(F.lit("강서구 정원빌라 "), F.col("f"), F.lit("동 "), F.col("h"), F.lit("호"))
+    tailed = F.concat(F.lit("물결구 새봄빌라 "), F.col("f"), F.lit("동 "), F.col("h"), F.lit("호"))
     return rows.select(
         "request_id", A.strip_detail(F.col("q")).alias("without_detail"), A.strip_unit_tail(tailed, F.col("f"), F.col("h")).alias("without_tail")
     )
@@ -72,7 +72,7 @@ def j10_register_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Register numbers with a known address for every second lot."""
     texts = _texts(spark, sf)
     book = texts.where("request_id % 8 = 7 AND CAST(n AS INT) % 2 = 0").select(
-        F.regexp_replace("q", "-", "").alias("register_number"), F.lit("서울 강서구 화곡동 504-32 정원빌라 제202호").alias("address")
+        F.regexp_replace("q", "-", "").alias("register_number"), F.lit("서울 물결구 누리동 86-15 새봄빌라 제202호").alias("address")
     )
     routed = P.route(texts.select("request_id", "q"), book)
     return routed.where("register_number IS NOT NULL").select("request_id", "register_number", "needs_address_lookup", "parsed.main_lot", "parsed.ho")
@@ -111,7 +111,7 @@ def k33_refinement(spark: SparkSession, sf: str) -> DataFrame:
 
 def _known_parcels(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "requests").select(
-        "request_id", F.concat(F.lit("서울 강서구 화곡동 "), F.col("request_id").cast("string")).alias("q"), "dong", "ho", "pnu"
+        "request_id", F.concat(F.lit("서울 물결구 누리동 "), F.col("request_id").cast("string")).alias("q"), "dong", "ho", "pnu"
     )
 
 
@@ -241,12 +241,36 @@ def s10_paged_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     return R.completeness(R.decode_price_bodies(landed)).select("pnu", "received", "expected", F.col("pages").cast("int").alias("pages"), "complete")
 
 
+def s10_reassembled_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as parcels with a unit per order line, seven a page, so that most have more than twenty pages.
+
+    By parcel, page 25 is an error, page 2 is missing, or only 100 units are announced; else all pages are read.
+    """
+    s = F.col("s")
+    sizes = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    pages = sizes.withColumn("page", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / 7).cast("int")))).where((s % 4 != 3) | (F.col("page") != 2))
+    numbers = F.sequence((F.col("page") - 1) * 7 + 1, F.least(F.col("page") * 7, F.col("n").cast("int")))
+    units = F.transform(numbers, lambda h: F.struct(s.cast("string").alias("pnu"), h.cast("string").alias("hoNm"), F.format_number(s * 1000 + h, 0).alias("pblntfPc"), F.lit("2026").alias("stdrYear")))
+    total = F.when(s % 4 == 2, F.lit(100)).otherwise(F.col("n"))
+    envelope = F.to_json(F.struct(F.struct(total.alias("totalCount"), units.alias("field")).alias("apartHousingPrices")))
+    body = F.when((s % 4 == 1) & (F.col("page") == 25), F.lit('{"apartHousingPrices":{"resultCode":"SYSTEM_ERROR"}}')).otherwise(envelope)
+    landed = pages.select(s.cast("string").alias("pnu"), F.lit("2026").alias("year"), "page", body.alias("body"))
+    return R.reassemble(R.decode_price_bodies(landed)).select("pnu", "year", "unit_pnu", F.col("ho").cast("bigint").alias("ho"), "price")
+
+
+def j11_region_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """All candidate parcels of the ambiguous queries, one row each, with the key to look up next."""
+    primary = view(spark, sf, "primary_candidates")
+    return G.region_candidates(G.parcel_groups(primary), G.primary_results(primary).where("ambiguous"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         k08_input_class, k09_address_parse, k10_derived_texts, k11_stripped_texts, k12_query_choice, a15_parcel_groups, j10_register_lookup,
         j11_parcel_candidates, j12_query_ladder, u03_first_success, k33_refinement, j07_source_precedence, k15_checks, e1_address_lookup,
         j13_known_parcel, k13_confidence, k16_price_change, s08_price_responses, s08_response_errors, s09_address_responses, s10_paged_reassembly,
+        s10_reassembled_rows, j11_region_candidates,
     )
 }
 
@@ -254,12 +278,12 @@ _T = f"t AS (SELECT request_id, n, m, f, h, CAST(request_id % 8 AS INTEGER) AS v
 # The parts each spelling must parse to, stated directly.
 _PARSED = f"""{_T}, p AS (SELECT *,
  CASE WHEN v IN (0, 1, 3) THEN '서울특별시' WHEN v = 2 THEN '경기도' WHEN v = 4 THEN '부산광역시' WHEN v = 5 THEN '강원특별자치도' END AS sido,
- CASE WHEN v IN (0, 1) THEN '강서구' WHEN v = 2 THEN '성남시 분당구' WHEN v = 3 THEN '영등포구' WHEN v = 5 THEN '춘천시' END AS sigungu,
- CASE WHEN v IN (0, 1) THEN '화곡동' WHEN v = 2 THEN '백현동' WHEN v = 4 THEN '중앙동' WHEN v = 5 THEN '동면' END AS emd,
+ CASE WHEN v IN (0, 1) THEN '물결구' WHEN v = 2 THEN '성남시 햇살구' WHEN v = 3 THEN '바람구' WHEN v = 5 THEN '춘천시' END AS sigungu,
+ CASE WHEN v IN (0, 1) THEN '누리동' WHEN v = 2 THEN '은빛동' WHEN v = 4 THEN '중앙동' WHEN v = 5 THEN '동면' END AS emd,
  CASE WHEN v = 1 THEN '1' ELSE '0' END AS mountain,
  CASE WHEN v IN (0, 1, 2, 4, 5) THEN n WHEN v = 7 THEN lpad(n, 4, '1') END AS main_lot,
- CASE WHEN v IN (0, 2, 5) THEN m WHEN v IN (1, 4) THEN '0' WHEN v = 7 THEN '1996' END AS sub_lot,
- CASE WHEN v = 0 THEN '정원빌라' WHEN v = 1 THEN '그린빌' WHEN v = 2 THEN '봇들마을' WHEN v = 3 THEN concat('도신로', n, '길') WHEN v = 7 THEN concat('-', lpad(m, 6, '0')) END AS building,
+ CASE WHEN v IN (0, 2, 5) THEN m WHEN v IN (1, 4) THEN '0' WHEN v = 7 THEN '2007' END AS sub_lot,
+ CASE WHEN v = 0 THEN '새봄빌라' WHEN v = 1 THEN '솔밭빌' WHEN v = 2 THEN '꽃잎마을' WHEN v = 3 THEN concat('달맞이로', n, '길') WHEN v = 7 THEN concat('-', lpad(m, 6, '0')) END AS building,
  CASE WHEN v = 2 THEN f END AS building_dong, CASE WHEN v = 3 THEN m END AS building_no,
  CASE WHEN v = 0 THEN concat('제', f) WHEN v = 5 THEN '지하1' END AS floor,
  CASE WHEN v IN (0, 2, 5) THEN h WHEN v = 1 THEN concat('B', h) END AS ho, v = 3 AS is_road,
@@ -269,11 +293,11 @@ _LADDER = f"""{_T}, pq AS (SELECT query, count(DISTINCT concat(main_lot, '-', su
  l AS (SELECT t.*, CASE WHEN p1.query IS NOT NULL THEN 1 WHEN p2.query IS NOT NULL THEN 2 WHEN s3.query IS NOT NULL THEN 3 WHEN p4.query IS NOT NULL THEN 4 END AS rung,
  coalesce(p1.history, p2.history) AS history FROM t LEFT JOIN pq p1 ON p1.query = full_q LEFT JOIN pq p2 ON p2.query = cut_q LEFT JOIN sq s3 ON s3.query = full_q LEFT JOIN pq p4 ON p4.query = lot_q),
  lad AS (SELECT *, coalesce(rung < 4, false) AS geo_ok, coalesce(rung = 4, false) AS ambiguous, CAST(CASE WHEN rung IN (1, 2) THEN 1 WHEN rung = 3 THEN 2 ELSE 0 END AS INTEGER) AS geo_tier,
- CASE WHEN rung < 4 THEN concat('11500103001', lpad(n, 4, '0'), lpad(m, 4, '0')) END AS geo_pnu,
+ CASE WHEN rung < 4 THEN concat('47710253001', lpad(n, 4, '0'), lpad(m, 4, '0')) END AS geo_pnu,
  CASE WHEN rung = 1 THEN CASE WHEN history = '1' THEN '변동이력 있는 주소(과거주소 가능)' ELSE '' END
  WHEN rung = 2 THEN concat('juso 결과 없음', CASE WHEN history = '1' THEN ' / 변동이력 있는 주소(과거주소 가능)' ELSE '' END)
  WHEN rung = 3 THEN 'juso 결과 없음 / juso 결과 없음'
- WHEN rung = 4 THEN concat('juso 결과 없음 / juso 결과 없음 / 카카오 결과 없음 / 절삭검색 적용(''', lot_q, ''') / 동명이지 2곳 매칭(서울특별시 강서구 화곡동 / 서울특별시 강서구 화곡동) - 상위 행정구역 필요')
+ WHEN rung = 4 THEN concat('juso 결과 없음 / juso 결과 없음 / 카카오 결과 없음 / 절삭검색 적용(''', lot_q, ''') / 동명이지 2곳 매칭(서울특별시 물결구 누리동 / 서울특별시 물결구 누리동) - 상위 행정구역 필요')
  ELSE 'juso 결과 없음 / juso 결과 없음 / 카카오 결과 없음 / 정제 실패 - 모든 폴백 소진' END AS notes FROM l)"""
 _LADDER_VIEWS = ("address_parts", "primary_candidates", "secondary_candidates")
 _KNOWN = f"""up2 AS (SELECT {_MOVED} FROM unit_price), {_TWO_YEARS.replace('FROM unit_price)', 'FROM up2)')},
@@ -315,10 +339,10 @@ ORACLES = {
         SELECT request_id, lot, lot_address, CASE WHEN is_road THEN concat_ws(' ', sido, sigungu, building, building_no) ELSE lot_address END AS search_query FROM a""",
         "address_parts",
     ),
-    "k11_stripped_texts": with_views(f"WITH {_T} SELECT request_id, cut_q AS without_detail, '강서구 정원빌라' AS without_tail FROM t", "address_parts"),
+    "k11_stripped_texts": with_views(f"WITH {_T} SELECT request_id, cut_q AS without_detail, '물결구 새봄빌라' AS without_tail FROM t", "address_parts"),
     "k12_query_choice": with_views(
-        f"""WITH {_PARSED} SELECT request_id, CASE v WHEN 0 THEN concat('서울특별시 강서구 화곡동 ', n, '-', m) WHEN 1 THEN concat('서울특별시 강서구 화곡동 산 ', n)
-        WHEN 2 THEN concat('경기도 성남시 분당구 백현동 ', n, '-', m) WHEN 3 THEN q WHEN 4 THEN concat('부산광역시 중앙동 ', n) WHEN 5 THEN concat('강원특별자치도 춘천시 동면 ', n, '-', m) END AS query,
+        f"""WITH {_PARSED} SELECT request_id, CASE v WHEN 0 THEN concat('서울특별시 물결구 누리동 ', n, '-', m) WHEN 1 THEN concat('서울특별시 물결구 누리동 산 ', n)
+        WHEN 2 THEN concat('경기도 성남시 햇살구 은빛동 ', n, '-', m) WHEN 3 THEN q WHEN 4 THEN concat('부산광역시 중앙동 ', n) WHEN 5 THEN concat('강원특별자치도 춘천시 동면 ', n, '-', m) END AS query,
         building_dong AS dong, CASE WHEN request_id % 3 = 0 THEN '77' ELSE ho END AS ho FROM p""",
         "address_parts",
     ),
@@ -329,7 +353,7 @@ ORACLES = {
     ),
     "j10_register_lookup": with_views(
         f"""WITH {_T}, b AS (SELECT DISTINCT replace(q, '-', '') AS r FROM t WHERE v = 7 AND CAST(n AS INTEGER) % 2 = 0)
-        SELECT request_id, replace(q, '-', '') AS register_number, b.r IS NULL AS needs_address_lookup, CASE WHEN b.r IS NOT NULL THEN '504' END AS main_lot,
+        SELECT request_id, replace(q, '-', '') AS register_number, b.r IS NULL AS needs_address_lookup, CASE WHEN b.r IS NOT NULL THEN '86' END AS main_lot,
         CASE WHEN b.r IS NOT NULL THEN '202' END AS ho FROM t LEFT JOIN b ON b.r = replace(q, '-', '') WHERE v = 7""",
         "address_parts",
     ),
@@ -337,7 +361,7 @@ ORACLES = {
         """WITH g AS (SELECT query, count(*) AS candidates, count(DISTINCT concat(main_lot, '-', sub_lot)) AS parcels, max(history) AS history, max(building_kind) AS kind,
         min(concat(adm_code, '1', lpad(main_lot, 4, '0'), lpad(sub_lot, 4, '0'))) AS pnu FROM primary_candidates GROUP BY query)
         SELECT query, parcels = 1 AS ok, parcels > 1 AS ambiguous, CASE WHEN parcels = 1 THEN pnu END AS pnu, CASE WHEN parcels = 1 THEN kind = '1' END AS is_apartment, candidates,
-        CASE WHEN parcels > 1 THEN '동명이지 2곳 매칭(서울특별시 강서구 화곡동 / 서울특별시 강서구 화곡동) - 상위 행정구역 필요' WHEN history = '1' THEN '변동이력 있는 주소(과거주소 가능)' ELSE '' END AS notes FROM g""",
+        CASE WHEN parcels > 1 THEN '동명이지 2곳 매칭(서울특별시 물결구 누리동 / 서울특별시 물결구 누리동) - 상위 행정구역 필요' WHEN history = '1' THEN '변동이력 있는 주소(과거주소 가능)' ELSE '' END AS notes FROM g""",
         "primary_candidates",
     ),
     "j12_query_ladder": with_views(f"WITH {_LADDER} SELECT request_id, geo_ok, ambiguous, geo_tier, rung, geo_pnu, notes FROM lad", *_LADDER_VIEWS),
@@ -391,4 +415,13 @@ ORACLES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY page) AS rn FROM p)
         SELECT CAST(l_orderkey AS VARCHAR) AS pnu, count(*) AS received, CAST(4 AS BIGINT) AS expected, CAST(max(page) AS INTEGER) AS pages, count(*) >= 4 AS complete
         FROM r WHERE rn = page AND page <= 4 AND NOT (l_orderkey % 2 = 0 AND page >= 3) GROUP BY l_orderkey""",
+    "s10_reassembled_rows": """WITH n AS (SELECT l_suppkey AS s, count(*) AS n FROM lineitem GROUP BY l_suppkey),
+        h AS (SELECT s, unnest(range(1, least(n, CASE s % 4 WHEN 1 THEN 24 * 7 WHEN 2 THEN 15 * 7 WHEN 3 THEN 7 ELSE n END) + 1)) AS ho FROM n)
+        SELECT CAST(s AS VARCHAR) AS pnu, '2026' AS year, CAST(s AS VARCHAR) AS unit_pnu, ho, s * 1000 + ho AS price FROM h""",
+    "j11_region_candidates": with_views(
+        """WITH k AS (SELECT *, concat(substr(adm_code, 1, 10), '1', lpad(main_lot, 4, '0'), lpad(sub_lot, 4, '0')) AS pnu FROM primary_candidates),
+        g AS (SELECT query, pnu, min(pos) AS pos, min(sido) AS sido, min(sigungu) AS sigungu, min(emd) AS emd, arg_min(road_address, pos) AS address FROM k GROUP BY query, pnu)
+        SELECT query, pos, pnu, substr(pnu, 1, 10) AS pnu_prefix, sido, sigungu, emd, address FROM g WHERE query IN (SELECT query FROM g GROUP BY query HAVING count(*) > 1)""",
+        "primary_candidates",
+    ),
 }

@@ -155,7 +155,7 @@ def s07_upsert_table(spark: SparkSession, sf: str) -> DataFrame:
 def t01_request_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Requests written as files, streamed through the lookup, answers read back."""
     inbox, answers, checkpoint = (scratch_path(spark, n) for n in ("inbox", "answers", "stream"))
-    requests = view(spark, sf, "requests").select("request_id", F.lit("서울 강서구 화곡동 1").alias("q"), "dong", "ho", "pnu")
+    requests = view(spark, sf, "requests").select("request_id", F.lit("서울 물결구 누리동 1").alias("q"), "dong", "ho", "pnu")
     requests.write.json(inbox)
     sources = P.Sources(view(spark, sf, "unit_price"), view(spark, sf, "officetel"), view(spark, sf, "primary_candidates"), view(spark, sf, "secondary_candidates"))
     start_lookup_stream(spark, inbox, answers, checkpoint, sources, "2026", "2025").awaitTermination()

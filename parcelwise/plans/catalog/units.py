@@ -150,7 +150,7 @@ def k07_register_numbers(spark: SparkSession, sf: str) -> DataFrame:
     text = (
         F.when(F.col("o_orderkey") % 3 == 0, digits)
         .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" "), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 4), F.lit("-"), F.substring(digits, 9, 6)))
-        .otherwise(F.concat(F.lit("화곡동 "), F.col("o_orderkey").cast("string")))
+        .otherwise(F.concat(F.lit("누리동 "), F.col("o_orderkey").cast("string")))
     )
     return table(spark, sf, "orders").select("o_orderkey", K.register_number(text).alias("register_number"))
 

@@ -71,8 +71,8 @@ FROM lineitem WHERE l_returnflag = 'N'
 
 ADDRESSES = """
 SELECT o_orderkey AS request_id,
-       concat('서울 강서구 화곡동 ', CAST(1 + o_custkey % 1999 AS STRING), '-', CAST(1 + o_orderkey % 99 AS STRING),
-              ' 정원빌라 제', CAST(1 + o_orderkey % 4 AS STRING), '층 제', CAST(100 * (1 + o_orderkey % 4) + o_custkey % 8 AS STRING), '호') AS q
+       concat('서울 물결구 누리동 ', CAST(1 + o_custkey % 1999 AS STRING), '-', CAST(1 + o_orderkey % 99 AS STRING),
+              ' 새봄빌라 제', CAST(1 + o_orderkey % 4 AS STRING), '층 제', CAST(100 * (1 + o_orderkey % 4) + o_custkey % 8 AS STRING), '호') AS q
 FROM orders
 """
 
@@ -104,9 +104,9 @@ SELECT o_orderkey AS request_id, CAST(1 + o_custkey % 1999 AS STRING) AS n, CAST
 FROM orders
 """
 
-_LOT = "concat('서울 강서구 화곡동 ', n, '-', m)"
-_CUT = f"concat({_LOT}, ' 정원빌라')"
-_FULL = f"concat({_LOT}, ' 정원빌라 제', f, '층 제', h, '호')"
+_LOT = "concat('서울 물결구 누리동 ', n, '-', m)"
+_CUT = f"concat({_LOT}, ' 새봄빌라')"
+_FULL = f"concat({_LOT}, ' 새봄빌라 제', f, '층 제', h, '호')"
 
 # Landed search results: by kind the full text, the text without unit, the bare lot (two parcels),
 # the other provider, or nothing is known.
@@ -117,8 +117,8 @@ WITH a AS ({ADDRESS_PARTS}), c AS (
   UNION ALL SELECT {_CUT}, 1, n, m FROM a WHERE kind = 1
   UNION ALL SELECT {_LOT}, 0, n, m FROM a WHERE kind = 3
   UNION ALL SELECT {_LOT}, 1, n, CAST(CAST(m AS INT) + 100 AS STRING) FROM a WHERE kind = 3)
-SELECT DISTINCT query, pos, '1150010300' AS adm_code, '0' AS mountain, n AS main_lot, m AS sub_lot, '서울특별시' AS sido, '강서구' AS sigungu,
-       '화곡동' AS emd, concat('서울특별시 강서구 화곡동 ', n, '-', m) AS lot_address, concat('화곡로 ', n, ' #', CAST(pos AS STRING)) AS road_address,
+SELECT DISTINCT query, pos, '4771025300' AS adm_code, '0' AS mountain, n AS main_lot, m AS sub_lot, '서울특별시' AS sido, '물결구' AS sigungu,
+       '누리동' AS emd, concat('서울특별시 물결구 누리동 ', n, '-', m) AS lot_address, concat('누리로 ', n, ' #', CAST(pos AS STRING)) AS road_address,
        CASE WHEN CAST(n AS INT) % 2 = 0 THEN '1' ELSE '0' END AS building_kind, CASE WHEN CAST(n AS INT) % 3 = 0 THEN '1' ELSE '0' END AS history,
        CAST(NULL AS STRING) AS error
 FROM c
@@ -126,8 +126,8 @@ FROM c
 
 SECONDARY_CANDIDATES = f"""
 WITH a AS ({ADDRESS_PARTS})
-SELECT DISTINCT {_FULL} AS query, 0 AS pos, '1150010300' AS adm_code, 'N' AS mountain, n AS main_lot, m AS sub_lot,
-       concat('서울 강서구 화곡동 ', n, '-', m) AS address_name, true AS has_address
+SELECT DISTINCT {_FULL} AS query, 0 AS pos, '4771025300' AS adm_code, 'N' AS mountain, n AS main_lot, m AS sub_lot,
+       concat('서울 물결구 누리동 ', n, '-', m) AS address_name, true AS has_address
 FROM a WHERE kind = 2
 """
 

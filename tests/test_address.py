@@ -11,15 +11,15 @@ def parse(spark, text):
 
 
 @pytest.mark.parametrize("text, expected", [
-    ("서울특별시 강서구 화곡동 504-32 정원빌라 제2층 제202호", dict(sido="서울특별시", sigungu="강서구", emd="화곡동", main_lot="504", sub_lot="32", building="정원빌라", floor="제2", ho="202", kind="등기부주소", lot="서울특별시 강서구 화곡동 504-32")),
-    ("서울 관악구 신림동 1640 그린빌 402호", dict(sido="서울특별시", emd="신림동", main_lot="1640", sub_lot="0", ho="402")),
-    ("경기 성남시 분당구 백현동 537 봇들마을 제101동 제303호", dict(sigungu="성남시 분당구", emd="백현동", building_dong="101", ho="303")),
-    ("강원특별자치도 춘천시 동면 산 12-3", dict(mountain="1", main_lot="12", sub_lot="3", lot="강원특별자치도 춘천시 동면 산 12-3")),
-    ("서울특별시 영등포구 도신로 29길 28", dict(is_road=True, building_no="28", main_lot=None, query="서울특별시 영등포구 도신로29길 28", kind="도로명주소")),
-    ("서울 구로구 경인로 302", dict(is_road=True, building_no="302")),
-    ("서울 강서구 화곡동 504-32", dict(kind="지번주소")),
-    ("1146-1996-072481", dict(kind="등기고유번호")),
-    ("서울 강서구 화곡동 504-32 지하101호", dict(ho="101")),
+    ("대전광역시 물결구 누리동 86-15 새봄빌라 제4층 제409호", dict(sido="대전광역시", sigungu="물결구", emd="누리동", main_lot="86", sub_lot="15", building="새봄빌라", floor="제4", ho="409", kind="등기부주소", lot="대전광역시 물결구 누리동 86-15")),
+    ("대전 물결구 샛별동 77 솔밭빌 12호", dict(sido="대전광역시", emd="샛별동", main_lot="77", sub_lot="0", ho="12")),
+    ("충남 바람시 햇살구 은빛동 903 꽃잎마을 제7동 제1102호", dict(sigungu="바람시 햇살구", emd="은빛동", building_dong="7", ho="1102")),
+    ("전북특별자치도 바람군 구름면 산 5-61", dict(mountain="1", main_lot="5", sub_lot="61", lot="전북특별자치도 바람군 구름면 산 5-61")),
+    ("대전광역시 물결구 달맞이로 8길 41", dict(is_road=True, building_no="41", main_lot=None, query="대전광역시 물결구 달맞이로8길 41", kind="도로명주소")),
+    ("대전 물결구 달맞이로 1250", dict(is_road=True, building_no="1250")),
+    ("대전 물결구 누리동 86-15", dict(kind="지번주소")),
+    ("4771-2007-310258", dict(kind="등기고유번호")),
+    ("대전 물결구 누리동 86-15 지하3호", dict(ho="3")),
     ("   ", dict(kind=None, warnings=["빈 입력"])),
 ])
 def test_parse(spark, text, expected):
@@ -29,12 +29,12 @@ def test_parse(spark, text, expected):
 
 def test_filter_on_parsed_columns_plans(spark):
     """A filter on parsed parts must not blow the plan up when it is pushed down."""
-    rows = A.parse_address(spark.createDataFrame([("서울 강서구 화곡동 1",)], "q string"), "q")
+    rows = A.parse_address(spark.createDataFrame([("대전 물결구 누리동 1",)], "q string"), "q")
     assert rows.where(F.col("parsed.main_lot") == "1").where(A.input_class(F.col("q"), F.col("parsed")) == "지번주소").count() == 1
 
 
 def test_strip(value):
-    assert value(A.strip_detail(F.col("q")), q="서울 강서구 화곡동 504-32 102동 301호") == "서울 강서구 화곡동 504-32"
+    assert value(A.strip_detail(F.col("q")), q="대전 물결구 누리동 86-15 7동 1102호") == "대전 물결구 누리동 86-15"
     tail = A.strip_unit_tail(F.col("q"), F.col("d"), F.col("h"))
-    assert value(tail, q="구로구 진오피스텔 105동 201호", d="105", h="201") == "구로구 진오피스텔"
-    assert value(tail, q="구로구 진오피스텔", d="105", h="201") == "구로구 진오피스텔"
+    assert value(tail, q="물결구 한빛오피스텔 7동 1102호", d="7", h="1102") == "물결구 한빛오피스텔"
+    assert value(tail, q="물결구 한빛오피스텔", d="7", h="1102") == "물결구 한빛오피스텔"

@@ -10,7 +10,7 @@ OFFICE = "pnu string, ldcode string, building string, dong string, floor string,
 
 
 def address(code, main, sub, road="가상로 1", kind="1", emd="가상동"):
-    return {"admCd": code, "mtYn": "0", "lnbrMnnm": main, "lnbrSlno": sub, "siNm": "서울", "sggNm": "가구", "emdNm": emd, "jibunAddr": f"{emd} {main}-{sub}", "roadAddr": road, "bdKdcd": kind, "hstryYn": "0"}
+    return {"admCd": code, "mtYn": "0", "lnbrMnnm": main, "lnbrSlno": sub, "siNm": "대전", "sggNm": "가구", "emdNm": emd, "jibunAddr": f"{emd} {main}-{sub}", "roadAddr": road, "bdKdcd": kind, "hstryYn": "0"}
 
 
 def body(*items, error="0"):
@@ -21,27 +21,27 @@ def body(*items, error="0"):
 def found(spark):
     landed = spark.createDataFrame(
         [
-            ("서울특별시 강서구 화곡동 504-32", body(address("1150010300", "504", "32"))),
-            ("서울특별시 강서구 화곡동 343-32", body(address("1150010300", "343", "32"))),
-            ("중앙동 300", body(address("2611010100", "300", "0"), address("3011010100", "300", "0"))),
-            ("서울특별시 가구 역삼동 737", body(address("1168010100", "737", "0", "테헤란로 152"), address("1168010100", "737", "0", "테헤란로 152 (별칭)"))),
+            ("대전광역시 물결구 누리동 86-15", body(address("4771025300", "86", "15"))),
+            ("대전광역시 물결구 누리동 12-4", body(address("4771025300", "12", "4"))),
+            ("별빛동 41", body(address("2717012200", "41", "0"), address("2920011800", "41", "0"))),
+            ("대전광역시 가구 물빛동 905", body(address("3023013100", "905", "0", "은하대로 77"), address("3023013100", "905", "0", "은하대로 77 (별칭)"))),
         ],
         "query string, body string",
     )
-    docs = json.dumps({"documents": [{"address": {"b_code": "1150010300", "mountain_yn": "N", "main_address_no": "504", "sub_address_no": "32", "address_name": "화곡동 504-32"}}]})
-    second = spark.createDataFrame([("서울특별시 마포구 가상동 9", docs)], "query string, body string")
-    units = [("1150010300105040032", y, "", "2", "202", p, "정원빌라", "다세대") for y, p in (("2026", 228_000_000), ("2025", 240_000_000))]
-    units += [("1168010100107370000", "2026", d, "1", h, 500_000_000, "단지", "아파트") for d in ("101", "102") for h in ("101", "1403")]
-    office = [("1150010300103430032", "1150010300", "타워", "1", "2", "201", 29.84, 12.87, p, y) for y, p in (("2026", 2_005_000), ("2025", 2_084_000))]
+    docs = json.dumps({"documents": [{"address": {"b_code": "4771025300", "mountain_yn": "N", "main_address_no": "86", "sub_address_no": "15", "address_name": "누리동 86-15"}}]})
+    second = spark.createDataFrame([("대전광역시 바람구 가상동 9", docs)], "query string, body string")
+    units = [("4771025300100860015", y, "", "4", "409", p, "새봄빌라", "다세대") for y, p in (("2026", 131_500_000), ("2025", 126_000_000))]
+    units += [("3023013100109050000", "2026", d, "1", h, 310_000_000, "단지", "아파트") for d in ("7", "8") for h in ("21", "1102")]
+    office = [("4771025300100120004", "4771025300", "타워", "1", "5", "512", 33.5, 14.25, p, y) for y, p in (("2026", 1_730_000), ("2025", 1_815_000))]
     sources = P.Sources(
         spark.createDataFrame(units, UNIT), spark.createDataFrame(office, OFFICE), R.decode_primary(landed), R.decode_secondary(second),
-        spark.createDataFrame([("11461996072481", "서울 강서구 화곡동 504-32 정원빌라 제202호")], "register_number string, address string"),
+        spark.createDataFrame([("47712007310258", "대전 물결구 누리동 86-15 새봄빌라 제409호")], "register_number string, address string"),
     )
     requests = [
-        (1, "서울 강서구 화곡동 504-32 정원빌라 제202호", None, None, None), (2, "서울 강서구 화곡동 343-32 타워 201호", None, None, None),
-        (3, "중앙동 300", None, None, None), (4, "서울 가구 역삼동 737", None, None, None), (5, "서울 가구 역삼동 737", "101", "1403", None),
-        (6, "9999-1996-072481", None, None, None), (7, "", None, None, None), (8, "아무 글", None, "202", "1150010300105040032"),
-        (9, "서울 마포구 가상동 9 제202호", None, None, None), (10, "서울특별시 영등포구 도신로 29길 28", None, None, None), (11, "1146-1996-072481", None, "202", "1150010300105040032"),
+        (1, "대전 물결구 누리동 86-15 새봄빌라 제409호", None, None, None), (2, "대전 물결구 누리동 12-4 타워 512호", None, None, None),
+        (3, "별빛동 41", None, None, None), (4, "대전 가구 물빛동 905", None, None, None), (5, "대전 가구 물빛동 905", "7", "1102", None),
+        (6, "9999-2007-310258", None, None, None), (7, "", None, None, None), (8, "아무 글", None, "409", "4771025300100860015"),
+        (9, "대전 바람구 가상동 9 제409호", None, None, None), (10, "대전광역시 물결구 달맞이로 8길 41", None, None, None), (11, "4771-2007-310258", None, "409", "4771025300100860015"),
     ]
     rows = spark.createDataFrame(requests, "request_id bigint, q string, dong string, ho string, pnu string")
     return {r["request_id"]: r for r in P.lookup(rows, sources, "2026", "2025").collect()}
@@ -53,7 +53,7 @@ def test_every_request_is_answered(found):
 
 def test_villa(found):
     row = found[1]
-    assert (row["pnu"], row["ho"], row["price_last"], row["price_this"], row["price_delta"]) == ("1150010300105040032", "202", 240_000_000, 228_000_000, -12_000_000)
+    assert (row["pnu"], row["ho"], row["price_last"], row["price_this"], row["price_delta"]) == ("4771025300100860015", "409", 126_000_000, 131_500_000, 5_500_000)
     assert (row["status"], row["confidence_score"], row["confidence_grade"]) == ("SUCCESS", 83, "B")
     states = {c["key"]: c["state"] for c in row["checks"]}
     assert states == {"address": "PASS", "unit": "PASS", "price": "PASS", "compare": "PASS", "registry": "SKIP"}
@@ -61,14 +61,14 @@ def test_villa(found):
 
 def test_office_unit(found):
     row = found[2]
-    assert (row["property_type"], row["price_this"], row["price_last"]) == ("오피스텔", round(2_005_000 * 42.71), round(2_084_000 * 42.71))
-    assert (row["price_calc"]["unit_price_per_m2"], row["price_calc"]["total_area_m2"]) == (2_005_000, 42.71)
+    assert (row["property_type"], row["price_this"], row["price_last"]) == ("오피스텔", 82_607_500, 86_666_250)
+    assert (row["price_calc"]["unit_price_per_m2"], row["price_calc"]["total_area_m2"]) == (1_730_000, 47.75)
 
 
 def test_ambiguous_and_collapsed_addresses(found):
     assert (found[3]["status"], found[3]["pnu"]) == ("NEEDS_ADDRESS_SELECTION", None)
-    assert found[4]["status"] == "NEEDS_UNIT_SELECTION" and found[4]["pnu"] == "1168010100107370000" and found[4]["is_target"] is False
-    assert (found[5]["price_this"], found[5]["status"]) == (500_000_000, "SUCCESS_CURRENT_ONLY")
+    assert found[4]["status"] == "NEEDS_UNIT_SELECTION" and found[4]["pnu"] == "3023013100109050000" and found[4]["is_target"] is False
+    assert (found[5]["price_this"], found[5]["status"]) == (310_000_000, "SUCCESS_CURRENT_ONLY")
 
 
 def test_requests_without_an_address(found):
@@ -77,10 +77,10 @@ def test_requests_without_an_address(found):
 
 
 def test_known_parcel_skips_the_ladder(found):
-    assert (found[8]["price_this"], found[8]["confidence_grade"]) == (228_000_000, "C")
+    assert (found[8]["price_this"], found[8]["confidence_grade"]) == (131_500_000, "C")
     assert found[11]["input_type"] == "등기고유번호" and {c["key"]: c["state"] for c in found[11]["checks"]}["registry"] == "PASS"
 
 
 def test_fallback_provider_and_road_address(found):
-    assert found[9]["pnu"] == "1150010300105040032" and "juso 결과 없음" in found[9]["warnings"]
+    assert found[9]["pnu"] == "4771025300100860015" and "juso 결과 없음" in found[9]["warnings"]
     assert found[10]["pnu"] is None and not any("절삭검색" in w for w in found[10]["warnings"])

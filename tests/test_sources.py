@@ -101,13 +101,13 @@ def test_pages_stop_at_a_gap(spark):
 
 
 def test_sheets_and_upsert(spark, tmp_path):
-    row = lambda no, kind, lot, ho, price: (no, kind, "d", "1150010300", "일반", lot, "32", "타워", None, "지상", "2", ho, price, "29.84", None)
+    row = lambda no, kind, lot, ho, price: (no, kind, "d", "4771025300", "일반", lot, "32", "타워", None, "지상", "2", ho, price, "29.84", None)
     names = [f"c{i}" for i in range(15)]
     schema = ", ".join(f"{n} string" for n in names)
-    sheet = spark.createDataFrame([row("1", "오피스텔", "343", "201", "10"), row("2", "상가", "343", "1", "10"), row("3", "오피스텔", "x", "2", "10")], schema)
-    load = officetel_sheets.ingest([sheet, sheet.limit(0)], "2026", ["11"])
+    sheet = spark.createDataFrame([row("1", "오피스텔", "12", "201", "10"), row("2", "상가", "12", "1", "10"), row("3", "오피스텔", "x", "2", "10")], schema)
+    load = officetel_sheets.ingest([sheet, sheet.limit(0)], "2026", ["47"])
     assert tuple(load.accounting.collect()[0]) == (1, 1)
-    assert [(r["pnu"], r["dong"], r["price"], r["share"]) for r in load.rows.collect()] == [("1150010300103430032", "", 10, None)]
+    assert [(r["pnu"], r["dong"], r["price"], r["share"]) for r in load.rows.collect()] == [("4771025300100120032", "", 10, None)]
     path = str(tmp_path / "table")
     sinks.upsert_officetel(spark, path, load.rows)
     sinks.upsert_officetel(spark, path, load.rows.withColumn("price", F.lit(11).cast("bigint")))

@@ -66,12 +66,12 @@ def test_every_request_comes_back_once(spark):
 
 
 def test_officetel(spark):
-    rows = [("P", "1150010300", "타워", "1", "2", "201", 29.84, 12.87, 2_084_000, "2025"), ("P", "1150010300", "타워", "1", "2", "201", 29.84, 12.87, 2_005_000, "2026"),
-            ("P", "1150010300", "타워", "1", "2", "202", 30.0, None, 1_000, "2026")]
+    rows = [("P", "4771025300", "타워", "1", "2", "201", 26.5, 10.25, 1_480_000, "2025"), ("P", "4771025300", "타워", "1", "2", "201", 26.5, 10.25, 1_520_000, "2026"),
+            ("P", "4771025300", "타워", "1", "2", "202", 30.0, None, 1_000, "2026")]
     table = spark.createDataFrame(rows, "pnu string, ldcode string, building string, dong string, floor string, ho string, prvuse double, share double, price bigint, year string")
     requests = spark.createDataFrame([(1, "P", None, "201호"), (2, "P", None, "999"), (3, "P", None, None)], REQUEST)
     found = {r["request_id"]: r for r in O.attach_last_year(O.match_officetel(requests, table, "2026"), table, "2025").collect()}
-    assert (found[1]["price"], found[1]["price_last"]) == (round(2_005_000 * 42.71), round(2_084_000 * 42.71))
+    assert (found[1]["price"], found[1]["price_last"]) == (55_860_000, 54_390_000)  # 36.75 square metres
     assert (found[2]["price"], found[2]["needs_unit"]) == (None, False) and "미매칭" in found[2]["warnings"][0]
     assert (found[3]["price"], found[3]["needs_unit"]) == (None, True)
 
