@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # Korean price files come as cp949; its Java charset is not in Spark's default list.
     "spark.sql.legacy.javaCharsets": "true",
+    # Bytes that do not fit an encoding are replaced and counted, as the CSV reader does, not an error.
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 

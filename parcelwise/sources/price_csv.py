@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Column name aliases of the listing files.
@@ -106,17 +106,20 @@ def _first_line(spark: SparkSession, file: str) -> tuple[str, bytes]:
     return path.toString(), (line or "").encode("latin-1")
 
 
+def _odd_quotes(text: Column) -> Column:
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1
+
+
 def file_layouts(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None) -> dict[Layout, list[str]]:
     """Files below ``path`` by layout; a given ``encoding`` is taken as it is.
 
     One pass counts, per file, lines that are no UTF-8 and lines with an odd number of quotes; only a file with such a
-    line can hold a cell that runs over lines, and is then read whole by one task.  The driver sees one row and one
+    line can hold a cell that runs over lines, and goes through :func:`records`.  The driver sees one row and one
     header line per file.  Files without lines are left out.
     """
     value = F.col("value")
-    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
     found = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.count_if(~F.is_valid_utf8(value)).alias("broken"), F.count_if(quotes % 2 == 1).alias("open")
+        F.count_if(~F.is_valid_utf8(value)).alias("broken"), F.count_if(_odd_quotes(value)).alias("open")
     )
     out: dict[Layout, list[str]] = {}
     for row in sorted(found.collect()):
@@ -170,17 +173,92 @@ def require(chosen: Mapping[str, str], kind: str, header: Sequence[str]) -> None
         raise MissingColumns(f"columns not found: {missing}; header: {list(header)}")
 
 
+def _ends_open(line: Column, delimiter: str, opened: bool) -> Column:
+    """Whether a quoted cell is open after ``line``, given whether one was before it.
+
+    A quote opens a cell only at the cell's start; elsewhere in an unquoted cell it is text.
+    """
+    step = lambda is_open, piece: F.when(is_open, ~_odd_quotes(piece)).otherwise(piece.startswith('"') & _odd_quotes(piece))
+    return F.when(F.contains(line, F.lit('"')), F.aggregate(F.split(line, re.escape(delimiter)), F.lit(opened), step)).otherwise(F.lit(opened))
+
+
+def _turned(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Add what the rows before each row (inside ``keys``) do to the state 0 (closed) or 1 (open): see :func:`_state`.
+
+    A row either sets the state (``_set`` is 0 or 1), or turns it (``_turn`` is 1), or leaves it.
+    """
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_turns", F.coalesce(F.sum("_turn").over(before), F.lit(0)))
+    return rows.withColumn("_fixed", F.last(F.col("_set") - F.col("_turns"), ignorenulls=True).over(before))
+
+
+def _state(entry: Column) -> Column:
+    return F.pmod(F.coalesce(F.col("_fixed"), entry) + F.col("_turns"), F.lit(2))
+
+
+def records(spark: SparkSession, paths: Sequence[str], delimiter: str) -> DataFrame:
+    """Records of files whose quoted cells may run over lines, ``value`` as read, without each file's header.
+
+    Files are split at any byte.  Every line either sets, turns or leaves the state "inside a quoted cell"; these
+    effects compose, so one small row per split (its effect, and how many records start in it for either state before
+    it) gives the state every split begins with.  Lines are then told apart inside their split, and only lines of
+    records that have several are grouped.  Lines end with a line feed, a carriage return before it belongs to the end;
+    blank lines between records are dropped.  A cell that never closes runs to the end of its file.
+    """
+    keys = ["_file", "_split"]
+    value = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line")
+    )
+    after = [_ends_open(value, delimiter, opened).cast("int") for opened in (False, True)]
+    lines = lines.withColumn("_blank", F.rtrim(value, F.lit(" \t\r")) == "").withColumn("_after0", after[0]).withColumn("_after1", after[1])
+    lines = lines.withColumn("_set", F.when(F.col("_after0") == F.col("_after1"), F.col("_after0")))
+    lines = _turned(lines.withColumn("_turn", (F.col("_after0") > F.col("_after1")).cast("int")), keys, "_line")
+    starts = lambda entry: (_state(entry) == 0) & ~F.col("_blank")
+
+    splits = lines.groupBy(*keys).agg(
+        F.sum("_turn").alias("_turn"), F.max_by(F.col("_set") - F.col("_turns"), F.when(F.col("_set").isNotNull(), F.col("_line"))).alias("_last"),
+        F.count_if(starts(F.lit(0))).alias("_starts0"), F.count_if(starts(F.lit(1))).alias("_starts1"),
+    )
+    splits = splits.withColumn("_set", F.pmod(F.col("_last") + F.col("_turn"), F.lit(2)))
+    splits = splits.withColumn("_turn", F.when(F.col("_set").isNull(), F.col("_turn") % 2).otherwise(0))
+    of_file = Window.partitionBy("_file")
+    splits = _turned(splits, ["_file"], "_split").withColumn("_entry", _state(F.lit(0)))
+    own = F.when(F.col("_entry") == 0, F.col("_starts0")).otherwise(F.col("_starts1"))
+    begun = F.when(own > 0, F.struct(F.col("_split").alias("split"), own.alias("n")))
+    earlier = of_file.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        *keys, "_entry", F.last(begun, ignorenulls=True).over(earlier).alias("_running"), F.min(F.when(own > 0, F.col("_split"))).over(of_file).alias("_head")
+    )
+
+    told = lines.join(splits, keys).withColumn("_open", _state(F.col("_entry")) == 1).withColumn("_first", starts(F.col("_entry")))
+    told = told.where(F.col("_open") | F.col("_first"))
+    upto = Window.partitionBy(*keys).orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)
+    told = told.withColumn("_n", F.count_if("_first").over(upto))
+    record = F.when(F.col("_n") > 0, F.struct(F.col("_split").alias("split"), F.col("_n").alias("n"))).otherwise(F.col("_running"))
+    told = told.withColumn("_record", record).where((F.col("_record.split") != F.col("_head")) | (F.col("_record.n") != 1))
+    alone = F.col("_first") & (F.col("_after0") == 0)
+    parts = told.where(~alone).groupBy("_file", "_record").agg(F.array_sort(F.collect_list(F.struct("_split", "_line", "value"))).alias("_parts"))
+    joined = parts.select(F.array_join(F.col("_parts.value"), "\n").alias("value"))
+    return told.where(alone).select("value").unionAll(joined).select(F.rtrim("value", F.lit("\r")).alias("value"))
+
+
 def scan(spark: SparkSession, paths: Sequence[str], layout: Layout) -> DataFrame:
     """All columns as text under positional names ``c0..``; ``_short`` marks rows with missing cells.
 
-    cp949 needs ``spark.sql.legacy.javaCharsets=true`` (see ``session.configure``).
+    cp949 needs ``spark.sql.legacy.javaCharsets=true``; bytes that do not fit are replaced, which files with cells over
+    lines owe to ``spark.sql.legacy.codingErrorAction=true`` (see ``session.configure``).
     """
     names = [f"c{i}" for i in range(len(layout.header))]
     schema = ", ".join(f"{n} string" for n in names) + ", _bad string"
-    reader = spark.read.schema(schema).option("header", True).option("sep", layout.delimiter).option("encoding", CHARSETS.get(layout.encoding, layout.encoding))
-    # Header names are irregular, the schema is enforced by position.
-    reader = reader.option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", layout.multi_line)
-    rows = reader.option("quote", '"').option("escape", '"').csv(list(paths))
+    options = {"sep": layout.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    charset = CHARSETS.get(layout.encoding, layout.encoding)
+    if layout.multi_line:
+        text = F.decode(F.col("value").cast("binary"), charset)
+        rows = records(spark, paths, layout.delimiter).select(F.from_csv(text, schema, options).alias("r")).select("r.*")
+    else:
+        # Header names are irregular, the schema is enforced by position.
+        rows = spark.read.schema(schema).options(header=True, enforceSchema=True, encoding=charset, **options).csv(list(paths))
     return rows.select(*names, (F.col("_bad").isNotNull() & F.col(names[-1]).isNull()).alias("_short"))
 
 

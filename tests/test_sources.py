@@ -1,3 +1,7 @@
+import csv
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +62,37 @@ def test_quoted_cells_run_over_lines(spark, tmp_path):
     assert sorted((r["name"], r["area"], r["price"], r["_short"]) for r in raw.collect()) == [('가\n나 "다"', "46", "5000", False), ("라", "47", "6000", False)]
 
 
+@pytest.mark.parametrize("split", [16, 61, 1000, 1 << 20])
+@pytest.mark.parametrize("encoding,end", [("utf-8", "\n"), ("cp949", "\r\n")])
+def test_cells_over_lines_are_read_by_many_tasks(spark, tmp_path, split, encoding, end):
+    rng = random.Random(split)
+    texts = ["가", "나,다", 'q"q', "줄\n줄", "\n\n", '"', '",\n"', "", 'x\n"y",\nz', "tail\n"]
+    for name in ("a.csv", "b.csv"):
+        with open(tmp_path / name, "w", encoding=encoding, newline="") as f:
+            out = csv.writer(f, lineterminator=end)
+            out.writerow(["단지명", "면적", "공시가격"])
+            for i in range(60):
+                if i % 7 == 0:
+                    f.write(end)
+                f.write(f'5" {i},x"y,1{end}' if i % 5 == 0 else "")
+                out.writerow([rng.choice(texts), f"{i}", rng.choice(texts)])
+    with open(tmp_path / "a.csv", "ab") as f:
+        f.write('"끝나지 않는\n칸,1'.encode(encoding))
+    layouts = price_csv.file_layouts(spark, str(tmp_path))
+    (layout, paths), = layouts.items()
+    assert layout.multi_line
+    whole = spark.read.schema("c0 string, c1 string, c2 string").options(
+        header=True, multiLine=True, quote='"', escape='"', encoding=price_csv.CHARSETS[layout.encoding]).csv(paths)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        lines = price_csv.scan(spark, paths, layout)
+        got = Counter(tuple(r) for r in lines.drop("_short").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == Counter(tuple(r) for r in whole.collect()) and sum(got.values()) > 120
+
+
 def test_no_file_with_a_header(spark, tmp_path):
     with pytest.raises(price_csv.MissingColumns):
         price_csv.read_prices(spark, write(tmp_path, "p.csv", [""], "utf-8"))
