@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.confidence import KEY_ERRORS
 from ..functions.keys import unit_key, unit_token
 from ..session import stored
 from .keyed import Key, count_by_keys, count_lookup, of_parcels
@@ -18,6 +19,7 @@ from .keyed import Key, count_by_keys, count_lookup, of_parcels
 DONGS_LISTED = 10
 HOS_LISTED = 8
 ELSEWHERE_LISTED = 6
+NO_UNITS = "해당 PNU 공시가격 없음"
 
 
 def _given(name: str) -> Column:
@@ -189,7 +191,7 @@ def _match_warnings() -> Column:
     unresolved = F.col("needs_unit") & (F.col("candidates") == 0)
     return F.array_compact(
         F.array(
-            F.when(F.col("total") == 0, F.lit("해당 PNU 공시가격 없음")),
+            F.when(F.col("total") == 0, F.lit(NO_UNITS)),
             F.when(F.col("tier") == 3, F.lit("공시가 데이터에 동 구분이 없어 호로만 특정")),
             F.when(
                 F.col("candidates") > 1,
@@ -230,7 +232,7 @@ def attach_last_year(matched: DataFrame, units: DataFrame, last_year: str) -> Da
     )
     warnings = F.array_compact(
         F.array(
-            F.when(F.col("total_last") == 0, F.lit("해당 PNU 공시가격 없음")),
+            F.when(F.col("total_last") == 0, F.lit(NO_UNITS)),
             F.when(F.col("total_last") > 1, F.concat(F.lit("세대 "), F.col("total_last").cast("string"), F.lit("건 - 동·호를 입력해야 특정 가능"))),
             F.when(anchor.isNotNull() & (F.col("_same") != 1), F.concat(note, suffix)),
         )
@@ -238,6 +240,25 @@ def attach_last_year(matched: DataFrame, units: DataFrame, last_year: str) -> Da
     return joined.withColumn("warnings_last", warnings).drop("_same")
 
 
+def name_errors(matched: DataFrame, errors: DataFrame, this_year: str, last_year: str) -> DataFrame:
+    """Say which error left a parcel without units, in place of the warning that it has none.
+
+    ``errors`` holds (pnu, year, error_code), ``matched`` the warnings of both years.  Parcels with units keep theirs.
+    """
+    by_parcel = errors.where(F.col("year").isin(this_year, last_year) & F.col("pnu").isNotNull()).groupBy("pnu").agg(
+        F.min(F.when(F.col("year") == this_year, F.col("error_code"))).alias("_error"),
+        F.min(F.when(F.col("year") == last_year, F.col("error_code"))).alias("_error_last"),
+    )
+
+    def named(warnings: str, error: str) -> Column:
+        code = F.col(error)
+        text = F.concat(F.when(code.isin(*KEY_ERRORS), "인증 오류: ").otherwise("API 오류: "), code)
+        return F.when(code.isNull(), F.col(warnings)).otherwise(F.transform(warnings, lambda w: F.when(w == NO_UNITS, text).otherwise(w)))
+
+    joined = matched.join(by_parcel, "pnu", "left")
+    return joined.withColumns({"warnings": named("warnings", "_error"), "warnings_last": named("warnings_last", "_error_last")}).select(*matched.columns)
+
+
 def available_units(requests: DataFrame, units: DataFrame, year: str) -> DataFrame:
     """Distinct (dong, ho) labels of every parcel that still needs a unit, with their natural rank keys.
 

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ...functions import address as A
@@ -264,13 +264,55 @@ def j11_region_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return G.region_candidates(G.parcel_groups(primary), G.primary_results(primary).where("ambiguous"))
 
 
+# Units of a parcel and year in pages of five.  The second page of some parcels never landed, so that later ones are not
+# read either; the answer for others is an error.
+_PAGE = "CAST(floor((row_number() OVER (PARTITION BY pnu, year ORDER BY dong, floor, ho, price, name, type) + 4) / 5) AS INT)"
+_ERROR = """CASE WHEN substr(pnu, 15, 1) = '3' THEN CASE CAST(substr(pnu, 8, 3) AS INT) % 4 WHEN 0 THEN 'INCORRECT_KEY' WHEN 1 THEN 'SYSTEM_ERROR'
+ WHEN 2 THEN 'OVER_REQUEST_LIMIT' ELSE 'UNAVAILABLE_KEY' END END"""
+_GAP = "substr(pnu, 15, 1) IN ('1', '4', '7')"
+
+
+def _landed_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """The unit table as the pages a provider would have sent."""
+    c = F.col
+    unit = F.struct(
+        c("dong").alias("dongNm"), c("floor").alias("floorNm"), c("ho").alias("hoNm"), c("price").cast("string").alias("pblntfPc"),
+        c("name").alias("aphusNm"), c("type").alias("aphusSeCodeNm"),
+    )
+    paged = view(spark, sf, "unit_price").withColumn("page", F.expr(_PAGE))
+    pages = paged.groupBy("pnu", "year", "page").agg(F.collect_list(unit).alias("field"), F.count(F.lit(1)).alias("n"))
+    pages = pages.withColumn("total", F.sum("n").over(Window.partitionBy("pnu", "year")))
+    sent = F.to_json(F.struct(F.struct(c("total").alias("totalCount"), F.struct("field").alias("fields")).alias("apartHousingPrices")))
+    error = F.expr(_ERROR)
+    failed = F.to_json(F.struct(F.struct(error.alias("resultCode")).alias("apartHousingPrices")))
+    return pages.where(~F.expr(_GAP) | (c("page") != 2)).select("pnu", "year", "page", F.when(error.isNotNull(), failed).otherwise(sent).alias("body"))
+
+
+def k14_landed_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole lookup over landed answers: every status a request can end with, errors and missing pages named.
+
+    Requests with a known parcel, and texts that name two parcels (negative ids).
+    """
+    prices = R.price_tables(_landed_prices(spark, sf))
+    # The search text of a request names the province in full.
+    primary = view(spark, sf, "primary_candidates").withColumn("query", F.regexp_replace("query", "^서울 ", "서울특별시 "))
+    sources = P.landed_sources(prices, view(spark, sf, "officetel"), primary, view(spark, sf, "secondary_candidates"))
+    none = F.lit(None).cast("string")
+    texts = view(spark, sf, "address_parts").where("kind = 3").select(
+        (-1 - F.col("request_id")).alias("request_id"), F.expr(_FULL).alias("q"), none.alias("dong"), none.alias("ho"), none.alias("pnu")
+    )
+    found = P.lookup(_known_parcels(spark, sf).unionByName(texts), sources, "2026", "2025")
+    told = F.filter(F.array_distinct("warnings"), lambda w: w.rlike("오류: |^★"))
+    return found.select("request_id", "status", "price_this", F.array_join(told, " / ").alias("told"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         k08_input_class, k09_address_parse, k10_derived_texts, k11_stripped_texts, k12_query_choice, a15_parcel_groups, j10_register_lookup,
         j11_parcel_candidates, j12_query_ladder, u03_first_success, k33_refinement, j07_source_precedence, k15_checks, e1_address_lookup,
         j13_known_parcel, k13_confidence, k16_price_change, s08_price_responses, s08_response_errors, s09_address_responses, s10_paged_reassembly,
-        s10_reassembled_rows, j11_region_candidates,
+        s10_reassembled_rows, j11_region_candidates, k14_landed_status,
     )
 }
 
@@ -300,7 +342,7 @@ _LADDER = f"""{_T}, pq AS (SELECT query, count(DISTINCT concat(main_lot, '-', su
  WHEN rung = 4 THEN concat('juso 결과 없음 / juso 결과 없음 / 카카오 결과 없음 / 절삭검색 적용(''', lot_q, ''') / 동명이지 2곳 매칭(서울특별시 물결구 누리동 / 서울특별시 물결구 누리동) - 상위 행정구역 필요')
  ELSE 'juso 결과 없음 / juso 결과 없음 / 카카오 결과 없음 / 정제 실패 - 모든 폴백 소진' END AS notes FROM l)"""
 _LADDER_VIEWS = ("address_parts", "primary_candidates", "secondary_candidates")
-_KNOWN = f"""up2 AS (SELECT {_MOVED} FROM unit_price), {_TWO_YEARS.replace('FROM unit_price)', 'FROM up2)')},
+_KNOWN = f"""up2 AS ({{units}}), {_TWO_YEARS.replace('FROM unit_price)', 'FROM up2)')},
  o AS (SELECT *, {token('ho')} AS nh, concat_ws('|', {token('dong')}, {token('floor')}, {token('ho')}) AS k, {_TOTAL} AS t FROM officetel),
  oc AS (SELECT * FROM o WHERE year = '2026'), opar AS (SELECT pnu, count(*) AS total, min(t) AS only_t, min(k) AS only_k FROM oc GROUP BY pnu),
  ohit AS (SELECT pnu, nh, t, k FROM (SELECT *, row_number() OVER (PARTITION BY pnu, nh ORDER BY building, dong, floor, ho, price, prvuse, share NULLS FIRST) AS rn FROM oc) WHERE rn = 1),
@@ -323,6 +365,11 @@ _KNOWN = f"""up2 AS (SELECT {_MOVED} FROM unit_price), {_TWO_YEARS.replace('FROM
   greatest(0, CASE WHEN src = 'apt_choice' OR src = 'ofc_choice' THEN 15 ELSE 15 + CASE WHEN (src = 'apt' AND candidates = 1) OR (src = 'ofc' AND ohm) THEN 28 ELSE 0 END END - 3 * serious) AS score FROM w),
  g AS (SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'F' END AS grade,
   CASE WHEN src LIKE '%_choice' THEN 'NEEDS_UNIT_SELECTION' WHEN price_this IS NOT NULL AND p_last IS NOT NULL THEN 'SUCCESS' WHEN price_this IS NOT NULL THEN 'SUCCESS_CURRENT_ONLY' ELSE 'NOT_FOUND' END AS status FROM s)"""
+_KNOWN_MOVED = _KNOWN.replace("{units}", f"SELECT {_MOVED} FROM unit_price")
+# What the pages tell: nothing where the answer is an error, the first page where the second is missing.
+_KNOWN_LANDED = "paged AS (SELECT *, {page} AS page, count(*) OVER (PARTITION BY pnu, year) AS announced FROM unit_price), ".replace("{page}", _PAGE) + _KNOWN.replace(
+    "{units}", f"SELECT * FROM paged WHERE {_ERROR} IS NULL AND NOT ({_GAP} AND page > 1)"
+)
 
 ORACLES = {
     "k08_input_class": with_views(
@@ -375,13 +422,13 @@ ORACLES = {
         *_LADDER_VIEWS,
     ),
     "j07_source_precedence": with_views(
-        f"""WITH {_KNOWN} SELECT request_id, CASE WHEN src LIKE 'apt%' THEN CASE supp % 3 WHEN 0 THEN '아파트' WHEN 1 THEN '연립' ELSE '다세대' END WHEN src LIKE 'ofc%' THEN '오피스텔' END AS property_type,
+        f"""WITH {_KNOWN_MOVED} SELECT request_id, CASE WHEN src LIKE 'apt%' THEN CASE supp % 3 WHEN 0 THEN '아파트' WHEN 1 THEN '연립' ELSE '다세대' END WHEN src LIKE 'ofc%' THEN '오피스텔' END AS property_type,
         NOT (src LIKE 'apt%' AND supp % 3 = 0) AS is_target, src LIKE '%_choice' AS needs_unit, price_this, p_last AS price_last, price_this - p_last AS price_delta,
         CAST(score AS INTEGER) AS confidence_score, grade AS confidence_grade, grade IN ('C', 'F') AS needs_manual_check, status FROM g""",
         "unit_price", "requests", "officetel",
     ),
     "k15_checks": with_views(
-        f"""WITH {_KNOWN} SELECT status, 'PASS' AS address, CASE WHEN src LIKE '%_choice' THEN 'FAIL' WHEN price_this IS NOT NULL THEN 'PASS' ELSE 'UNKNOWN' END AS unit,
+        f"""WITH {_KNOWN_MOVED} SELECT status, 'PASS' AS address, CASE WHEN src LIKE '%_choice' THEN 'FAIL' WHEN price_this IS NOT NULL THEN 'PASS' ELSE 'UNKNOWN' END AS unit,
         CASE WHEN price_this IS NOT NULL THEN 'PASS' ELSE 'FAIL' END AS price, CASE WHEN p_last IS NOT NULL THEN 'PASS' WHEN price_this IS NOT NULL THEN 'UNKNOWN' ELSE 'SKIP' END AS compare,
         'SKIP' AS registry, count(*) AS requests FROM g GROUP BY ALL""",
         "unit_price", "requests", "officetel",
@@ -424,4 +471,13 @@ ORACLES = {
         SELECT query, pos, pnu, substr(pnu, 1, 10) AS pnu_prefix, sido, sigungu, emd, address FROM g WHERE query IN (SELECT query FROM g GROUP BY query HAVING count(*) > 1)""",
         "primary_candidates",
     ),
+    "k14_landed_status": with_views(
+        f"""WITH {_KNOWN_LANDED}, e AS (SELECT *, {_ERROR} AS code FROM g), ann AS (SELECT pnu, max(announced) AS announced FROM paged WHERE year = '2026' GROUP BY pnu),
+        k AS (SELECT e.*, announced, CASE WHEN src = 'none' AND code IS NOT NULL THEN concat(CASE WHEN code = 'SYSTEM_ERROR' THEN 'API' ELSE '인증' END, ' 오류: ', code)
+        WHEN candidates = 0 AND total > 0 AND dong <> '' AND total < announced THEN concat('★세대 일부만 조회됨: ', total, '/', announced, '건 — 페이지 수신 누락 (이 때문에 못 찾았을 수 있어요)') ELSE '' END AS told
+        FROM e LEFT JOIN ann ON ann.pnu = e.pnu)
+        SELECT request_id, CASE WHEN told LIKE '인증%' THEN 'SOURCE_ERROR' ELSE status END AS status, price_this, told FROM k
+        UNION ALL SELECT -1 - request_id, 'NEEDS_ADDRESS_SELECTION', NULL, '' FROM address_parts WHERE kind = 3""",
+        "unit_price", "requests", "officetel", "address_parts",
+    ),
 }

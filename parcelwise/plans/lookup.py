@@ -16,6 +16,7 @@ from ..functions import confidence as C
 from ..functions import keys as K
 from ..operators import geocode, officetel, units
 from ..session import stored
+from ..sources.responses import PriceTables
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,13 @@ class Sources:
     primary: DataFrame
     secondary: DataFrame
     register: DataFrame | None = None  # register_number, address
-    expected: DataFrame | None = None  # pnu, expected
+    expected: DataFrame | None = None  # pnu, expected, and the year where several are told apart
+    errors: DataFrame | None = None  # pnu, year, error_code
+
+
+def landed_sources(prices: PriceTables, officetel: DataFrame, primary: DataFrame, secondary: DataFrame, register: DataFrame | None = None) -> Sources:
+    """Sources whose housing prices are landed answers, with their totals and errors."""
+    return Sources(prices.units, officetel, primary, secondary, register, prices.expected, prices.errors)
 
 
 def route(requests: DataFrame, register: DataFrame | None = None) -> DataFrame:
@@ -172,7 +179,12 @@ def lookup(requests: DataFrame, sources: Sources, this_year: str, last_year: str
     resolved = stored(resolve_parcels(requests, sources), "resolved")
     asked = resolved.where(F.col("pnu").isNotNull()).select("request_id", "pnu", "dong", "ho")
     matched = stored(units.attach_last_year(units.match_units(asked, sources.units, this_year), sources.units, last_year), "matched")
-    explained = units.explain_missing(matched, sources.units, this_year, sources.expected)
+    expected = sources.expected
+    if expected is not None and "year" in expected.columns:
+        expected = expected.where(F.col("year") == this_year)
+    explained = units.explain_missing(matched, sources.units, this_year, expected)
+    if sources.errors is not None:
+        explained = units.name_errors(explained, sources.errors, this_year, last_year)
     apt = explained.select("request_id", F.struct("unit", "single", "sample", "price", "needs_unit", "warnings", "price_last", "warnings_last").alias("apt"))
     office = officetel.attach_last_year(officetel.match_officetel(asked, sources.officetel, this_year), sources.officetel, last_year)
     ofc = office.select("request_id", F.struct("unit", "sample", "is_matched", "price", "needs_unit", "warnings", "price_last", "warnings_last").alias("ofc"))

@@ -7,10 +7,13 @@ then parsed with a fixed schema.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # The fields of one price row.
 PRICE_FIELDS = (
     "pnu", "aphusNm", "aphusSeCodeNm", "dongNm", "floorNm", "hoNm", "prvuseAr", "pblntfPc", "stdrYear", "ldCodeNm",
@@ -112,6 +115,29 @@ def completeness(decoded: DataFrame) -> DataFrame:
     ).withColumn("complete", F.col("received") >= F.col("expected"))
 
 
+@dataclass(frozen=True)
+class PriceTables:
+    """What landed price answers say: units, announced totals, errors that left a parcel without units."""
+
+    units: DataFrame  # the unit table
+    expected: DataFrame  # pnu, year, received, expected, pages, complete
+    errors: DataFrame  # pnu, year, error_code
+
+
+def price_tables(landed: DataFrame) -> PriceTables:
+    """Landed pages (pnu, year, page, body) as the tables a lookup reads.
+
+    An error on the first page leaves the parcel without units in that year; on a later page it ends the reading there,
+    and the announced total tells that units are missing.  A first page that landed more than once with different
+    errors gives the smallest code, and none where one of them was read.
+    """
+    decoded = stored(decode_price_bodies(landed.select("pnu", "year", "page", "body")).drop("body"), "price-answers")
+    first = decoded.where(F.col("page") == 1).groupBy("pnu", "year").agg(
+        F.min("error_code").alias("error_code"), F.max(F.col("error_code").isNull()).alias("_read")
+    )
+    return PriceTables(reassemble(decoded), completeness(decoded), first.where(~F.col("_read")).drop("_read"))
+
+
 def decode_primary(landed: DataFrame) -> DataFrame:
     """First provider's bodies (query, body) to candidate rows; errors and empty answers keep one row."""
     df = landed.withColumn("_code", F.get_json_object("body", "$.results.common.errorCode"))

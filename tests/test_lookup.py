@@ -84,3 +84,28 @@ def test_known_parcel_skips_the_ladder(found):
 def test_fallback_provider_and_road_address(found):
     assert found[9]["pnu"] == "4771025300100860015" and "juso 결과 없음" in found[9]["warnings"]
     assert found[10]["pnu"] is None and not any("절삭검색" in w for w in found[10]["warnings"])
+
+
+def test_errors_and_missing_pages_of_landed_answers(spark):
+    def page(*homes, total=None):
+        fields = [{"dongNm": d, "floorNm": "1", "hoNm": h, "pblntfPc": "90,000,000", "aphusNm": "단지", "aphusSeCodeNm": "연립"} for d, h in homes]
+        return json.dumps({"apartHousingPrices": {"totalCount": total or len(homes), "field": fields}})
+
+    failed = lambda code: json.dumps({"apartHousingPrices": {"resultCode": code}})
+    parcels = {n: f"47710253001000{n}0000" for n in range(1, 7)}
+    pages = [
+        (parcels[1], "2026", 1, failed("INVALID_KEY")), (parcels[1], "2025", 1, failed("INVALID_KEY")), (parcels[2], "2026", 1, failed("SYSTEM_ERROR")),
+        (parcels[3], "2026", 1, page(("1", "101"), ("1", "102"), total=4)), (parcels[3], "2026", 2, failed("INVALID_KEY")),
+        (parcels[4], "2026", 1, page(("1", "101"))), (parcels[4], "2025", 1, failed("OVER_REQUEST_LIMIT")),
+        (parcels[5], "2026", 1, failed("INVALID_KEY")), (parcels[5], "2026", 1, page(("1", "101"))), (None, "2026", 1, failed("INVALID_KEY")), (parcels[6], "2026", 1, None),
+    ]
+    prices = R.price_tables(spark.createDataFrame(pages, "pnu string, year string, page int, body string"))
+    none = spark.createDataFrame([], "query string, body string")
+    sources = P.landed_sources(prices, spark.createDataFrame([], OFFICE), R.decode_primary(none), R.decode_secondary(none))
+    requests = spark.createDataFrame([(n, f"글 {n}", "1", "103" if n == 3 else "101", pnu) for n, pnu in parcels.items()], "request_id bigint, q string, dong string, ho string, pnu string")
+    rows = {r["request_id"]: r for r in P.lookup(requests, sources, "2026", "2025").collect()}
+    assert {n: r["status"] for n, r in rows.items()} == {
+        1: "SOURCE_ERROR", 2: "NOT_FOUND", 3: "NEEDS_UNIT_SELECTION", 4: "SOURCE_ERROR", 5: "SUCCESS_CURRENT_ONLY", 6: "NOT_FOUND"}
+    assert rows[1]["warnings"].count("인증 오류: INVALID_KEY") == 2 and "API 오류: SYSTEM_ERROR" in rows[2]["warnings"]
+    assert any(w.startswith("★세대 일부만 조회됨: 2/4건") for w in rows[3]["warnings"])
+    assert (rows[4]["price_this"], rows[5]["price_this"]) == (90_000_000, 90_000_000) and "해당 PNU 공시가격 없음" in rows[6]["warnings"]
