@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,11 +127,26 @@ def a18_histogram_approximation(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(S.histogram_approximation(train, test), 6, "numbers_per_dong", "pass_share_mae_pp")
 
 
+# Key columns and rounding of every report's lines.
+_REPORTS = {
+    "cleaning": ([], {}), "excluded": ([], {}), "q1_summary": (["scope"], {}), "q1_metric_distribution": (["metric"], {}),
+    "area_bins": (["scope", "area_bin"], {"mean_unit": 2, "median_unit": 2, "mean_price": 2}), "area_effect": (["scope"], {"won_slope": 3}),
+    "models": (["model", "threshold"], {}), "models_by_region": (["region", "model", "threshold"], {}), "intervals": (["interval"], {}), "histogram": ([], {}),
+}
+
+
 def s15_study_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole study written as CSV; the area-class report read back."""
+    """The whole study written as CSV; every report read back, one row for each of its numbers."""
     output = scratch_path(spark, "study-reports")
-    run_study(_raw(spark, sf), output)
-    return spark.read.option("header", True).csv(f"{output}/area_bins").select("scope", "area_bin", F.col("n").cast("bigint").alias("n"))
+    reports = run_study(_raw(spark, sf), output)
+    parts = []
+    for name, (keys, digits) in _REPORTS.items():
+        schema = ", ".join(f"`{c}` {'string' if c in keys else 'double'}" for c in reports[name].columns)
+        lines = spark.read.option("header", True).schema(schema).csv(f"{output}/{name}")
+        numbers = F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, digits.get(c, 6)).alias("value")) for c in lines.columns if c not in keys])
+        rows = lines.select(F.lit(name).alias("report"), F.concat_ws("|", *keys).alias("line"), F.explode(numbers).alias("m"))
+        parts.append(rows.select("report", "line", "m.measure", "m.value").where(F.col("value").isNotNull()))
+    return reduce(DataFrame.unionAll, parts)
 
 
 QUERIES = {
@@ -246,9 +263,33 @@ ORACLES = {
         SELECT count(*) AS groups, round(avg(bins) * 2, 6) AS numbers_per_dong, round(avg(abs(approx - share)) * 100, 6) AS pass_share_mae_pp FROM t JOIN a ON a.grp = t.grp""",
         "housing_units",
     ),
-    "s15_study_outputs": with_views(
-        f"""WITH {_D}, s AS {_SCOPES.format(t='d')}, c AS (SELECT * FROM (SELECT DISTINCT scope FROM s) CROSS JOIN (SELECT unnest(['~30', '30~45', '45~60', '60~85', '85~']) AS area_bin))
-        SELECT c.scope, c.area_bin, count(price) AS n FROM c LEFT JOIN s ON s.scope = c.scope AND s.area_bin = c.area_bin GROUP BY c.scope, c.area_bin""",
+}
+
+_REPORT_SQL = {
+    "cleaning": with_views(
+        "SELECT count(*) AS rows_before, 0 AS bad_missing, count(*) FILTER (area <= 0 OR price <= 0) AS bad_nonpositive, "
+        "count(*) FILTER (area > 0 AND price > 0 AND (area > 500 OR price / area < 10000 OR price / area > 100000000)) AS bad_implausible FROM housing_units WHERE type <> '아파트'",
         "housing_units",
     ),
+    "excluded": with_views(
+        f"""WITH {_D}, c AS (SELECT count(*) AS n FROM d0 GROUP BY grp) SELECT count(*) FILTER (n < 5) AS excluded_groups, coalesce(sum(n) FILTER (n < 5), 0) AS excluded_rows,
+        count(*) FILTER (n >= 5) AS groups, coalesce(sum(n) FILTER (n >= 5), 0) AS rows FROM c""",
+        "housing_units",
+    ),
+    **{name: ORACLES[query] for name, query in {
+        "q1_summary": "a11_dispersion_summary", "q1_metric_distribution": "a12_metric_distribution", "area_bins": "a13_area_bins", "area_effect": "a14_area_effect",
+        "models": "a16_model_errors", "models_by_region": "a16_model_errors_by_region", "intervals": "a17_interval_decisions", "histogram": "a18_histogram_approximation",
+    }.items()},
 }
+
+
+def _report_lines(name: str) -> str:
+    """The numbers of one report's SQL, one row each."""
+    keys, _ = _REPORTS[name]
+    line = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+    numbers = f"* EXCLUDE ({', '.join(keys)})" if keys else "*"
+    return f"""SELECT '{name}' AS report, line, measure, value FROM (UNPIVOT (SELECT {line} AS line, CAST(COLUMNS({numbers}) AS DOUBLE) FROM ({_REPORT_SQL[name]}))
+ ON COLUMNS(* EXCLUDE (line)) INTO NAME measure VALUE value)"""
+
+
+ORACLES["s15_study_outputs"] = " UNION ALL ".join(_report_lines(name) for name in _REPORTS)
