@@ -29,6 +29,22 @@ def clean_units(raw: DataFrame) -> DataFrame:
     ).where((F.col("price") > 0) & F.col("code").isNotNull() & (F.col("dong") != ""))
 
 
+def accounting(raw: DataFrame) -> DataFrame:
+    """Rows read, kept by :func:`clean_units`, and rejected by the first reason that holds."""
+    target = F.coalesce(N.is_target_type(F.col("type")), F.lit(False)) if "type" in raw.columns else F.lit(True)
+    reason = (
+        F.when(~target, "type")
+        .when(~F.coalesce(N.parse_price_plain(F.col("price")) > 0, F.lit(False)), "price")
+        .when(N.district_code(F.col("ldcode"), strict=True).isNull(), "code")
+        .when(F.trim(F.coalesce(F.col("eupmyeondong"), F.lit(""))) == "", "dong")
+        .otherwise("kept")
+    )
+    counts = [F.count_if(F.col("_r") == r).alias(f"bad_{r}") for r in ("type", "price", "code", "dong")]
+    return raw.select(reason.alias("_r")).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("_r") == "kept").alias("kept"), F.count_if(F.col("_r") != "kept").alias("skipped"), *counts
+    )
+
+
 def target_units(units: DataFrame) -> DataFrame:
     """The same selection on rows that are typed already (code, dong, type, price)."""
     return units.where(N.is_target_type(F.col("type")) & (F.col("price") > 0) & (F.col("dong") != "")).select("code", "dong", "price")

@@ -15,8 +15,9 @@ from ...sources.views import table, view, with_views
 from ...streaming.lookup_stream import start_lookup_stream
 from .. import lookup as P
 from .listing import LIMIT, _ITEMS
-from .areas import _STATS
-from .lookup import _KNOWN, _MOVED
+from ..areas import build_areas
+from .areas import _CLEAN, _DISTRICT_RANKED, _STATS, _U, _hist
+from .lookup import _KNOWN
 
 
 def k22_parse_money(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,17 +125,47 @@ def s14_read_back(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.read_district(spark, path, "11030", _ITEM_SCHEMA).select("code", "name", "bld_dong", "ho", "price")
 
 
-def _area_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    counted = A.value_counts(A.target_units(view(spark, sf, "housing_units")))
-    return A.dong_stats(counted), A.district_stats(counted)
+def _area_job(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """The area job over the raw rows, with coordinates for most neighbourhoods and every second district."""
+    raw = view(spark, sf, "raw_price_rows").withColumn("sigungu", F.concat_ws(" ", "sido", "sigungu"))
+    code = F.substring("ldcode", 1, 5)
+    known = raw.select(code.alias("code"), F.col("eupmyeondong").alias("dong")).where("dong <> 'D3'").distinct()
+    known = known.unionByName(known.where("try_cast(code AS INT) % 20 = 0").select("code", F.lit(None).cast("string").alias("dong")))
+    known = known.select("code", "dong", (F.col("code").try_cast("double") / 300).alias("lat"), (F.col("code").try_cast("double") / 90).alias("lon"))
+    path = scratch_path(spark, "areas")
+    return path, build_areas(raw, path, 2026, known)
+
+
+_AREA_ROW = "code string, count bigint, avg bigint, median bigint, hist array<bigint>, lat double, lon double"
+
+
+def _written(spark: SparkSession, path: str, more: str) -> DataFrame:
+    rows = spark.read.schema(f"{_AREA_ROW}, {more}").json(path)
+    return rows.withColumns({"hist": F.array_join(F.col("hist").cast("array<string>"), ","), "lat": F.round("lat", 4), "lon": F.round("lon", 4)})
 
 
 def s12_area_payload(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "areas")
-    areas, index = _area_tables(spark, sf)
-    sinks.write_area_payload(areas, index, path, 2026)
-    stored = spark.read.json(f"{path}/areas")
-    return stored.select(F.col("code").cast("string").alias("code"), "dong", "count", "median", "p25", F.size("hist").alias("bins"))
+    """The neighbourhood rows as written."""
+    path, _ = _area_job(spark, sf)
+    return _written(spark, f"{path}/areas", "dong string, p25 bigint, p75 bigint, min bigint, max bigint")
+
+
+def s13_area_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The district index as written."""
+    path, _ = _area_job(spark, sf)
+    more = "sido string, region string, short string, area_count bigint, total_count bigint, price_year int, bin_size bigint, bin_max bigint, types array<string>"
+    return _written(spark, f"{path}/index", more).withColumn("types", F.array_join("types", ","))
+
+
+def s13_area_provinces(spark: SparkSession, sf: str) -> DataFrame:
+    """The province list as written."""
+    path, _ = _area_job(spark, sf)
+    return spark.read.schema("sido string, name string").json(f"{path}/sido")
+
+
+def p07_stats_accounting(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows read, kept and rejected by reason."""
+    return A.accounting(view(spark, sf, "raw_price_rows"))
 
 
 def s13_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,6 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         k22_parse_money, k23_format_money, k24_map_codes, s01_price_csv_scan, s01_mixed_headers, s01_quoted_breaks, s05_multi_member, s11_district_items, s12_area_payload, s13_index, s14_read_back,
+        s13_area_index, s13_area_provinces, p07_stats_accounting,
         s07_upsert_table, t01_request_stream,
     )
 }
@@ -179,6 +211,11 @@ def _code(v: str) -> str:
     return f"concat({digits})"
 
 
+_RAW_UNITS = _CLEAN.replace("trim(sigungu)", "concat(sido, ' ', sigungu)") + ", u AS (SELECT code, dong, price FROM clean)"
+_RAW_STATS = _STATS.replace(_U, _RAW_UNITS)
+_RAW_INDEX = _DISTRICT_RANKED.replace(_U, _RAW_UNITS) + ", names AS (SELECT code, min(region) AS region FROM clean GROUP BY code)"
+_COORDINATES = "CASE WHEN {known} THEN round(CAST(s.code AS DOUBLE) / 300, 4) END AS lat, CASE WHEN {known} THEN round(CAST(s.code AS DOUBLE) / 90, 4) END AS lon"
+
 ORACLES = {
     "k22_parse_money": f"""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE l_linenumber WHEN 1 THEN {_SPELLED} * 100000000 + (l_partkey % 9 + 1) * 10000000
         WHEN 2 THEN {_SPELLED} * 100000000 + (l_partkey % 9 + 1) * 10000000 WHEN 3 THEN {_SPELLED} * 10000000 WHEN 4 THEN l_partkey WHEN 5 THEN (l_partkey % 9 + 1) * 10000000 + 5000000 END AS BIGINT) AS won FROM lineitem""",
@@ -210,7 +247,29 @@ ORACLES = {
     "s11_district_items": with_views(f"WITH {_ITEMS} SELECT code, count(*) AS rows, min(price) AS cheapest FROM items GROUP BY code", "raw_price_rows"),
     "s14_read_back": with_views(f"WITH {_ITEMS} SELECT code, name, bld_dong, ho, price FROM items WHERE code = '11030'", "raw_price_rows"),
     "s12_area_payload": with_views(
-        f"WITH {_STATS} SELECT code, dong, count, median, p25, CAST(51 AS INTEGER) AS bins FROM stats WHERE count >= 5", "housing_units"
+        f"""WITH {_RAW_STATS}, {_hist('code, dong')}, hj AS (SELECT code, dong, string_agg(CAST(c AS VARCHAR), ',' ORDER BY bin) AS hist FROM dense GROUP BY ALL)
+        SELECT s.code, s.dong, count, avg, median, hist, {_COORDINATES.format(known="s.dong <> 'D3'")}, p25, p75, min, max
+        FROM stats s JOIN hj ON hj.code = s.code AND hj.dong = s.dong WHERE count >= 5""",
+        "raw_price_rows",
+    ),
+    "s13_area_index": with_views(
+        f"""WITH {_RAW_INDEX}, {_hist('code')}, hj AS (SELECT code, string_agg(CAST(c AS VARCHAR), ',' ORDER BY bin) AS hist FROM dense GROUP BY code)
+        SELECT s.code, count, avg, median, hist, {_COORDINATES.format(known="CAST(s.code AS INTEGER) % 20 = 0")}, substr(s.code, 1, 2) AS sido, region, string_split(region, ' ')[-1] AS short,
+        area_count, total_count, CAST(2026 AS INTEGER) AS price_year, CAST(10000000 AS BIGINT) AS bin_size, CAST(500000000 AS BIGINT) AS bin_max, '연립,다세대' AS types
+        FROM d s JOIN kd ON kd.code = s.code JOIN hj ON hj.code = s.code JOIN names ON names.code = s.code""",
+        "raw_price_rows",
+    ),
+    "s13_area_provinces": with_views(
+        f"""WITH {_RAW_INDEX} SELECT substr(names.code, 1, 2) AS sido, string_split(arg_min(region, names.code), ' ')[1] AS name FROM names JOIN kd ON kd.code = names.code GROUP BY 1""",
+        "raw_price_rows",
+    ),
+    "p07_stats_accounting": with_views(
+        r"""WITH r AS (SELECT CASE WHEN NOT regexp_matches(coalesce(type, ''), '연립|다세대') THEN 'type'
+        WHEN NOT regexp_matches(replace(price, ',', ''), '^([0-9]+\.?[0-9]*|\.[0-9]+)$') OR TRY_CAST(replace(price, ',', '') AS DOUBLE) < 1 THEN 'price'
+        WHEN NOT regexp_matches(trim(ldcode), '^[0-9]{5}') THEN 'code' WHEN trim(eupmyeondong) = '' THEN 'dong' ELSE 'kept' END AS r FROM raw_price_rows)
+        SELECT count(*) AS total, count(*) FILTER (r = 'kept') AS kept, count(*) FILTER (r <> 'kept') AS skipped, count(*) FILTER (r = 'type') AS bad_type,
+        count(*) FILTER (r = 'price') AS bad_price, count(*) FILTER (r = 'code') AS bad_code, count(*) FILTER (r = 'dong') AS bad_dong FROM r""",
+        "raw_price_rows",
     ),
     "s07_upsert_table": with_views(
         """WITH loads AS (SELECT *, 1 AS seq FROM officetel UNION ALL SELECT * REPLACE (price + 7 AS price), 2 AS seq FROM officetel WHERE CAST(ho AS INTEGER) % 2 = 1 AND year = '2026')
@@ -219,7 +278,7 @@ ORACLES = {
         "officetel",
     ),
     "t01_request_stream": with_views(
-        "WITH " + _KNOWN.replace(_MOVED, "*") + """
+        "WITH " + _KNOWN.replace("{units}", "SELECT * FROM unit_price") + """
         SELECT request_id, price_this, p_last AS price_last, src LIKE '%_choice' AS needs_unit FROM g""",
         "unit_price", "requests", "officetel",
     ),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.guarantee import BIN_MAX, BIN_SIZE, POLICY
+from ..operators.areas import sido_list
 from ..operators.officetel import KEY, latest_per_key
 
 
@@ -28,7 +29,10 @@ def read_district(spark: SparkSession, path: str, code: str, schema: str) -> Dat
 
 
 def write_area_payload(areas: DataFrame, index: DataFrame, path: str, price_year: int) -> None:
-    """Neighbourhood rows per district, largest first, and the district index with its parameters."""
+    """Neighbourhood rows per district, largest first, the district index with its parameters, and the province list.
+
+    ``index`` is read twice.
+    """
     ordered = areas.withColumn("_rank", -F.col("count"))
     ordered.repartitionByRange("code", "_rank", "dong").sortWithinPartitions("code", "_rank", "dong").drop("_rank").write.mode(
         "overwrite"
@@ -40,6 +44,7 @@ def write_area_payload(areas: DataFrame, index: DataFrame, path: str, price_year
         }
     )
     write_index(described, f"{path}/index")
+    sido_list(index).orderBy("sido").coalesce(1).write.mode("overwrite").json(f"{path}/sido")
 
 
 def write_index(index: DataFrame, path: str) -> None:
