@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ...functions import address as A
 from ...functions import confidence as C
 from ...operators import geocode as G
+from ...session import scratch_path
 from ...sources import responses as R
 from ...sources.views import _CUT, _FULL, _LOT, table, view, with_views
+from ...streaming.page_stream import start_page_stream
 from .. import lookup as P
 from .units import MATCHED, _TOTAL, _TWO_YEARS, token
 
@@ -241,7 +243,7 @@ def s10_paged_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     return R.completeness(R.decode_price_bodies(landed)).select("pnu", "received", "expected", F.col("pages").cast("int").alias("pages"), "complete")
 
 
-def s10_reassembled_rows(spark: SparkSession, sf: str) -> DataFrame:
+def _many_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as parcels with a unit per order line, seven a page, so that most have more than twenty pages.
 
     By parcel, page 25 is an error, page 2 is missing, or only 100 units are announced; else all pages are read.
@@ -254,8 +256,21 @@ def s10_reassembled_rows(spark: SparkSession, sf: str) -> DataFrame:
     total = F.when(s % 4 == 2, F.lit(100)).otherwise(F.col("n"))
     envelope = F.to_json(F.struct(F.struct(total.alias("totalCount"), units.alias("field")).alias("apartHousingPrices")))
     body = F.when((s % 4 == 1) & (F.col("page") == 25), F.lit('{"apartHousingPrices":{"resultCode":"SYSTEM_ERROR"}}')).otherwise(envelope)
-    landed = pages.select(s.cast("string").alias("pnu"), F.lit("2026").alias("year"), "page", body.alias("body"))
-    return R.reassemble(R.decode_price_bodies(landed)).select("pnu", "year", "unit_pnu", F.col("ho").cast("bigint").alias("ho"), "price")
+    return pages.select(s.cast("string").alias("pnu"), F.lit("2026").alias("year"), "page", body.alias("body"))
+
+
+def s10_reassembled_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of parcels of many pages."""
+    rows = R.reassemble(R.decode_price_bodies(_many_pages(spark, sf)))
+    return rows.select("pnu", "year", "unit_pnu", F.col("ho").cast("bigint").alias("ho"), "price")
+
+
+def t01_page_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pages landed as files in no order, streamed in several batches, the units read back."""
+    inbox, units, checkpoint = (scratch_path(spark, n) for n in ("pages", "page-units", "page-stream"))
+    _many_pages(spark, sf).repartition(6, F.xxhash64("pnu", "page")).write.json(inbox)
+    start_page_stream(spark, inbox, units, checkpoint, files_per_batch=2).awaitTermination()
+    return spark.read.parquet(units).select("pnu", "year", "unit_pnu", F.col("ho").cast("bigint").alias("ho"), "price")
 
 
 def j11_region_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,7 +327,7 @@ QUERIES = {
         k08_input_class, k09_address_parse, k10_derived_texts, k11_stripped_texts, k12_query_choice, a15_parcel_groups, j10_register_lookup,
         j11_parcel_candidates, j12_query_ladder, u03_first_success, k33_refinement, j07_source_precedence, k15_checks, e1_address_lookup,
         j13_known_parcel, k13_confidence, k16_price_change, s08_price_responses, s08_response_errors, s09_address_responses, s10_paged_reassembly,
-        s10_reassembled_rows, j11_region_candidates, k14_landed_status,
+        s10_reassembled_rows, j11_region_candidates, k14_landed_status, t01_page_stream,
     )
 }
 
@@ -481,3 +496,4 @@ ORACLES = {
         "unit_price", "requests", "officetel", "address_parts",
     ),
 }
+ORACLES["t01_page_stream"] = ORACLES["s10_reassembled_rows"]

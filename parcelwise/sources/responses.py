@@ -27,6 +27,11 @@ def _schema(fields: tuple[str, ...]) -> str:
     return "array<struct<" + ",".join(f"{name}:string" for name in fields) + ">>"
 
 
+def price_rows_schema() -> str:
+    """Type of the column ``rows`` that :func:`decode_price_bodies` adds."""
+    return _schema(PRICE_FIELDS)
+
+
 def _as_array(json: Column) -> Column:
     """JSON text of a list; a single object becomes a list of one."""
     return F.when(json.startswith("["), json).when(json.startswith("{"), F.concat(F.lit("["), json, F.lit("]"))).otherwise(F.lit("[]"))
