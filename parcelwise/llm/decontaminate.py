@@ -6,7 +6,8 @@
 2. Documents are cut into passages of 48 words, 16 apart.  A randomised SVD of the TF-IDF passages gives the latent
    space: a random basis is sharpened by passes over the distributed passages (each task adds up its part of
    ``A'AQ``, Spark sums the parts per word) and made orthonormal on the driver, whose matrix is vocabulary by rank.
-   The fit takes the benchmark's own passages and at most ``FIT_DOCS`` documents (by hash of the id).
+   The fit takes the benchmark's own passages and those of every document.  Documents are turned into word numbers once
+   per block; the counts, the passes and the search all read those.
 3. Every passage of every document is projected and compared with every benchmark passage: the cosine of the passage
    and the item's projection, as a share of the item's own.  A passage counts as no longer than the item, and words outside the
    vocabulary not at all, so what surrounds a short item, and the size of the corpus, do not hide it.
@@ -33,17 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, prepare, read_table, stored
+from .common import column, prepare, read_table, remove, stored
 
 STEP, STEPS = 16, 3
 RANK = 128
 COMMON_SHARE, LEAST_COMMON = 0.05, 50
-FIT_DOCS = 4000
 LEAST_COSINE = 0.3
 LEAST_LCS = 0.7
 LEAST_ANSWER = 0.6
 BLOCK_ITEMS = 2000
 POWER_ROUNDS = 2
+#: Bytes of partial rows that one group of words adds up.
+PART_BYTES = 16 << 20
 #: Numbers in a stream of words: outside the vocabulary, and none (behind a text).
 UNKNOWN, PADDING = -1, -2
 SEED = 11
@@ -68,6 +70,28 @@ def numbered(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(vocabulary.get, words, repeat(UNKNOWN)), np.int32, len(words))
 
 
+def encoded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """(doc_id, body_hash, words): each row's text as 32-bit word numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([numbered(t, vocabulary).tobytes() for t in batch.column("body").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body_hash"), words], ["doc_id", "body_hash", "words"])
+
+    return docs.select("doc_id", "body_hash", "body").mapInArrow(run, "doc_id bigint, body_hash bigint, words binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("words" if "words" in docs.columns else "body")
+
+
+def _numbers(batch: pa.RecordBatch, vocabulary: dict[bytes, int]) -> list[np.ndarray]:
+    """Word numbers of a batch, from its column ``words`` if it is encoded, else from its texts."""
+    if "words" in batch.schema.names:
+        return [np.frombuffer(w, np.int32) for w in batch.column("words").to_pylist()]
+    return [numbered(t, vocabulary) for t in batch.column("body").to_pylist()]
+
+
 def common_subsequence(masks: dict[int, int], size: int, other: list[int]) -> int:
     """Length of the longest common subsequence, 64 words of the item and more at a time in the bits of a number.
 
@@ -152,15 +176,14 @@ class Index:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen, total = np.zeros(len(vocabulary) + 1, np.int64), 0
             for batch in batches:
-                for text in batch.column("body").to_pylist():
-                    found = numbered(text, vocabulary)
+                for found in _numbers(batch, vocabulary):
                     seen[np.unique(found[found >= 0])] += 1
                     total += 1
             seen[-1] = total
             some = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], ["word", "n"])
 
-        counted = docs.select("body").mapInArrow(count, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+        counted = _texts(docs).mapInArrow(count, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         df = np.zeros(len(vocabulary) + 1)
         df[counted["word"]] = counted["n"]
         self.idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
@@ -174,26 +197,27 @@ class Index:
         """Squared weights by number; behind them those of no word and of a word outside the vocabulary, both nothing."""
         return np.concatenate([self.idf**2, [0.0, 0.0]])
 
-    def fit(self, sample: DataFrame, rank: int = RANK) -> None:
-        """Randomised SVD: right singular vectors of the TF-IDF passages of the sample and the items."""
+    def fit(self, docs: DataFrame, rank: int = RANK) -> None:
+        """Randomised SVD: right singular vectors of the TF-IDF passages of the documents and the items."""
         size = len(self.vocabulary)
         rank = min(rank, size)
         own = self.item_passages()[0]
         basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, rank)))[0]
         for _ in range(POWER_ROUNDS):
-            basis = np.linalg.qr(self._sharpened(sample, own, basis))[0]
-        small = basis.T @ self._sharpened(sample, own, basis)
+            basis = np.linalg.qr(self._sharpened(docs, own, basis))[0]
+        small = basis.T @ self._sharpened(docs, own, basis)
         values, turn = np.linalg.eigh((small + small.T) / 2)
         self.basis = basis @ turn[:, np.argsort(-values)]
 
-    def _sharpened(self, sample: DataFrame, own: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
-        vocabulary, idf, squares = self.vocabulary, self.idf, self.squares()
-        parts = 64
+    def _sharpened(self, docs: DataFrame, own: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
+        vocabulary, idf = self.vocabulary, self.idf
+        texts = _texts(docs)
+        parts = 1 + basis.nbytes * texts.rdd.getNumPartitions() // PART_BYTES
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(basis)
             for batch in batches:
-                total += gram_times([numbered(t, vocabulary) for t in batch.column("body").to_pylist()], idf, basis, squares)
+                total += gram_times(_numbers(batch, vocabulary), idf, basis)
             some = np.flatnonzero(np.abs(total).sum(1))
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array((some % parts).astype(np.int32)), pa.array(some.astype(np.int32)), pa.array([total[n].tobytes() for n in some], pa.binary())], ["part", "word", "row"])
@@ -204,25 +228,41 @@ class Index:
             np.add.at(total, at, np.stack([np.frombuffer(r) for r in group["row"]]))
             return pd.DataFrame({"word": words.astype(np.int32), "row": [r.tobytes() for r in total]})
 
-        summed = sample.select("body").mapInArrow(part, "part int, word int, row binary").groupBy("part").applyInPandas(add, "word int, row binary").toPandas()
-        out = gram_times(own, idf, basis, squares)
+        summed = texts.mapInArrow(part, "part int, word int, row binary").groupBy("part").applyInPandas(add, "word int, row binary").toPandas()
+        out = gram_times(own, idf, basis)
         for word, row in zip(summed["word"], summed["row"]):
             out[word] += np.frombuffer(row)
         return out
 
 
-def gram_times(numbers: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, squares: np.ndarray) -> np.ndarray:
+def gram_times(numbers: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """``A'(A basis)`` for the TF-IDF passages of some texts."""
     out = np.zeros_like(basis)
-    vectors, _, firsts = passages(numbers, idf[:, None] * basis, squares)
-    if len(firsts):
-        stream, _ = grid(numbers)
-        by_step = np.zeros((len(stream) // STEP, basis.shape[1]))
-        for k in range(STEPS):
-            np.add.at(by_step, firsts + k, vectors)
-        inside = np.flatnonzero(stream >= 0)
-        inside = inside[idf[stream[inside]] > 0]
-        np.add.at(out, stream[inside], idf[stream[inside], None] * by_step[inside // STEP])
+    stream, firsts = grid(numbers)
+    inside = np.flatnonzero(stream >= 0)
+    inside = inside[idf[stream[inside]] > 0]
+    if not len(inside):
+        return out
+    words, steps = stream[inside], inside // STEP
+    cuts = np.flatnonzero(np.append(True, np.diff(steps) > 0))
+    row_of = np.zeros(len(stream) // STEP, np.int64)  # steps without a weighted word share row 0
+    row_of[steps[cuts]] = np.arange(1, len(cuts) + 1)
+    sums = np.zeros((len(cuts) + 1, basis.shape[1]), np.float32)
+    vectors = (idf[:, None] * basis).astype(np.float32)
+    place = np.arange(len(words)) - np.repeat(cuts, np.diff(np.append(cuts, len(words))))
+    for k in range(int(place.max()) + 1):  # the k-th weighted word of every step that has one
+        at = np.flatnonzero(place == k)
+        sums[row_of[steps[at]]] += vectors[words[at]]
+    rows = np.stack([row_of[firsts + k] for k in range(STEPS)])
+    rows = rows[:, rows.any(0)]
+    whole = sum(sums[r] for r in rows)
+    back = np.zeros_like(sums)
+    for r in rows:  # a step is the k-th of one passage only, so no row but 0 comes twice
+        back[r] += whole
+    order = np.argsort(words, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(words[order]) > 0))
+    some = words[order[starts]]
+    out[some] = idf[some, None] * np.add.reduceat(back[row_of[steps[order]]], starts, axis=0)
     return out
 
 
@@ -276,7 +316,7 @@ def search(docs: DataFrame, index: Index, least_cosine: float = LEAST_COSINE, le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [numbered(t, vocabulary) for t in batch.column("body").to_pylist()]
+            found = _numbers(batch, vocabulary)
             sums, lengths, firsts = passages(found, vectors, squares)
             bounds = np.concatenate([[0], np.cumsum([max(STEPS, -(-len(x) // STEP)) for x in found])])
             able = np.array([possible(x) for x in found]).reshape(len(found), len(ids))
@@ -319,23 +359,20 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, fit_docs: int = FIT_DOCS, block_items: int = BLOCK_ITEMS, **limits: float) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, **limits: float) -> DataFrame:
     """Every confirmed (row of ``docs``, item)."""
     spark = prepare(docs.sparkSession)
     source = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), F.xxhash64(column(docs, "text", "string")).alias("body_hash"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("body"))
-    total = source.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < (fit_docs << 20) // max(1, total)
-    sample = None
     out = spark.createDataFrame([], _HITS)
     for items in _blocks(benchmark, block_items):
         index = Index(items)
-        if not index.items or not total:
+        if not index.items:
             continue
-        if sample is None:
-            sample = stored(source.filter(share).select("body"), "latent-sample")
-        index.weight_frequencies(source)
-        index.fit(sample)
-        out = out.unionByName(search(source, index, **limits))
+        texts = stored(encoded(source, index.vocabulary), "latent-words")
+        index.weight_frequencies(texts)
+        index.fit(texts)
+        out = out.unionByName(stored(search(texts, index, **limits), "latent-hits"))
+        remove(texts)
     return out
 
 

@@ -124,3 +124,43 @@ def test_short_items_of_ordinary_words_in_a_large_corpus(spark):
     docs += [(20_000 + n, f"{fill(50)} {' '.join(w for k, w in enumerate(t.split()) if k != 3)} {fill(50)}", "x") for n, t in items]
     got = set(found(spark, docs, items))
     assert {(10_000 + n, n) for n, _ in items} | {(20_000 + n, n) for n, _ in items} <= got
+
+
+def test_space_is_fitted_on_every_document(spark, monkeypatch):
+    seen, fit = [], D.Index.fit
+
+    def counted(self, docs, *rest):
+        seen.append(docs.count())
+        fit(self, docs, *rest)
+
+    monkeypatch.setattr(D.Index, "fit", counted)
+    docs = [(n, f"{ITEMS[n % 25][1]} {n}", "x") for n in range(9000)]
+    found(spark, docs, block_items=20)
+    assert seen == [9000, 9000]
+
+
+def test_encoded_rows_give_the_same_space(spark):
+    rows = [(n, n, t) for n, t, _ in world()[0]] + [(None, 7, ""), (3, 3, ITEMS[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, body_hash long, body string")
+    plain, coded = D.Index(ITEMS), D.Index(ITEMS)
+    texts = D.encoded(docs, coded.vocabulary)
+    for index, frame in ((plain, docs), (coded, texts)):
+        index.weight_frequencies(frame)
+        index.fit(frame, rank=8)
+    assert (plain.idf == coded.idf).all() and np.allclose(np.abs(np.diag(plain.basis.T @ coded.basis)), 1, atol=1e-4)
+    assert [(r.doc_id, r.body_hash) for r in texts.collect()] == [r[:2] for r in rows]
+
+
+def test_gram_product():
+    own = np.random.default_rng(4)
+    numbers = [own.integers(-1, 30, n).astype(np.int32) for n in (0, 3, 47, 48, 49, 300)] + [np.full(500, -1, np.int32), np.append(np.full(200, -1), 7).astype(np.int32)]
+    idf, basis = own.random(30) + 1, own.standard_normal((30, 5))
+    idf[:6] = 0
+    stream, firsts = D.grid(numbers)
+    rows = np.zeros((len(firsts), 30))
+    for i, f in enumerate(firsts):
+        mine = stream[f * D.STEP : (f + D.STEPS) * D.STEP]
+        np.add.at(rows[i], mine[mine >= 0], 1)
+    rows *= idf
+    assert np.allclose(D.gram_times(numbers, idf, basis), rows.T @ (rows @ basis), rtol=1e-4, atol=1e-2)
+    assert not D.gram_times([], idf, basis).any()
