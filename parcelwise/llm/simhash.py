@@ -12,8 +12,10 @@ counting differing bits.  The pieces keep a bucket small (about 48 key bits) wha
 
 Exact copies never form pairs: the index holds distinct fingerprints.
 
-The pipeline's near copies (``keep_one``) go by another rule, a similarity of five-word shingles of 0.8 or more, for which
-two bits of a fingerprint are too narrow: there the candidates come from min-hash bands, and each is counted exactly.
+The pipeline's near copies (``keep_one``) are texts whose five-word shingles have a similarity of 0.8 or more.  The texts are
+grouped by their SimHash fingerprints in the same way, and every text is counted exactly against its group's leader.  Of the
+pairs at 0.8 many lie farther apart than any distance the index can take (about 10 of 64 bits): what the fingerprints leave
+in different groups then meets through min-hash bands and an exact prefix filter, and is counted exactly too.
 
 Edge cases: a null or blank text has fingerprint 0 and is linked like any other; repeated rows stay rows; null
 ids are ignored when the smallest id is taken (null if a group has no other); an empty table gives no rows.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import column, prepare, read_table, stored
+from .common import column, prepare, read_table, remove, stored
 
 BITS = 64
 SEED = 42
@@ -39,6 +41,7 @@ COPY_WORDS = 5
 LEAST_SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 4
 LEADER_ROUNDS = 2
+COPY_BITS = 2
 PAIRS_PER_BODY = 64
 
 
@@ -143,20 +146,24 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def linked(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """Distinct fingerprints with ``root``, the smallest one reachable over links of at most ``max_bits`` bits."""
+    found = components(links(distinct, max_bits), "simhash-components")
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def groups(docs: DataFrame, max_bits: int = 2, words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) per row: the smallest id among the rows reachable over links."""
     rows = stored(fingerprints(docs, words_per_shingle), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(rows, max_bits), "simhash-components")
-    placed = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = stored(placed, "simhash-placed")
+    placed = stored(linked(distinct, max_bits), "simhash-placed")
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = placed.join(smallest, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def sketches(docs: DataFrame, words_per_shingle: int = COPY_WORDS) -> DataFrame:
-    """(doc_id, at, node, size, keys) for every row: hash of the row, of its words, distinct shingles, a key per band.
+    """(doc_id, at, node, size, fp, keys) for every row: hash of the row, of its words, distinct shingles, their fingerprint, a key per band.
 
     A band's key is made of ``BAND_ROWS`` min-hashes of the shingles, so two texts share it with (similarity **
     ``BAND_ROWS``); texts of 0.8 share none of the ``BANDS`` keys in 3 of a million cases.
@@ -174,16 +181,17 @@ def sketches(docs: DataFrame, words_per_shingle: int = COPY_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, found = [], [], []
+            nodes, sizes, fps, found = [], [], [], []
             for text in batch.column("body").to_pylist():
                 hashes = np.unique(shingle_hashes(text, words_per_shingle)).astype(np.uint64)
                 nodes.append(xxh64_intdigest(b" ".join((text or b"").lower().split()), SEED))
                 sizes.append(len(hashes))
+                fps.append(fingerprint(hashes))
                 found.append(np.array(keys(hashes) if len(hashes) else [], np.uint64).view(np.int64))
             node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), node, pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "at", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), node, pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "at", "node", "size", "fp", "keys"])
 
-    return _hashed(docs).mapInArrow(run, "doc_id bigint, at bigint, node bigint, size bigint, keys array<bigint>")
+    return _hashed(docs).mapInArrow(run, "doc_id bigint, at bigint, node bigint, size bigint, fp bigint, keys array<bigint>")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -224,6 +232,20 @@ def _candidates(pairs: DataFrame, met: DataFrame | None, least: float) -> DataFr
     return pairs.select("p.a", "p.b")
 
 
+def fingerprint_pairs(nodes: DataFrame, max_bits: int = COPY_BITS) -> DataFrame:
+    """Every text with the leaders of its fingerprint and of its SimHash group; ``nodes`` has (node, size, fp).
+
+    A group is that of ``groups``: fingerprints reachable over links of at most ``max_bits`` bits.  Its leader has the
+    fingerprint of most texts.
+    """
+    distinct = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("size", "node")).alias("head"))
+    placed = stored(linked(distinct, max_bits), "copies-simhash")
+    leaders = placed.groupBy("root").agg(F.max(F.struct("n", "head"))["head"].alias("leader"), F.sum("n").alias("texts")).filter("texts > 1")
+    texts = nodes.join(placed.join(leaders, "root").select("fp", "head", "leader"), "fp")
+    both = texts.select("node", "size", F.explode(F.array("head", "leader")).alias("head")).filter("node != head.node")
+    return both.select(F.col("head.node").alias("a"), F.col("head.size").alias("size_a"), F.col("head.node").alias("root_a"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("node").alias("root_b"))
+
+
 def _leader_pairs(now: DataFrame, turn: int) -> DataFrame:
     """Every text of a key with the key's leader: its most popular text, after the first turn one outside its largest group."""
     member = F.struct("popular", "node", "size", "root")
@@ -262,33 +284,39 @@ def prefix_pairs(live: DataFrame, bodies: DataFrame, least: float, words_per_shi
     return left.join(right, (left["gram"] == right["gram"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough)
 
 
-def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shingle: int = COPY_WORDS) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shingle: int = COPY_WORDS, max_bits: int = COPY_BITS) -> DataFrame:
     """(doc_id, at, component_id, group) per row: the smallest id among the rows reachable over similar texts, and the group's own name.
 
-    Candidates share a band's key.  First every text of a key meets the key's leader, in ``LEADER_ROUNDS`` turns with another
-    one each; what is one group by then needs no more pairs.  Texts of keys that still hold several groups then meet
-    through an exact prefix filter, so no pair is left out, and a large group does not make the square of its size.
+    First every text meets the leaders of its fingerprint and of its SimHash group.  What that leaves in different groups meets
+    by the keys of bands: every text of a key meets the key's leader, in ``LEADER_ROUNDS`` turns with another one each; what is
+    one group by then needs no more pairs.  Texts of keys that still hold several groups then meet through an exact prefix
+    filter, so no pair is left out, and a large group does not make the square of its size.
     """
     rows = stored(sketches(docs, words_per_shingle), "copies")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("size").alias("size"), F.first("keys").alias("keys")), "copies-nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "copies-nodes")
+    by_fingerprint = stored(_candidates(fingerprint_pairs(nodes.select("node", "size", "fp"), max_bits), None, least), "copies-pairs")
     entries = nodes.select(F.explode("keys").alias("key"), "node", "size")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    entries = stored(entries.join(shared, "key"), "copies-keys")
-    popular = entries.groupBy("node").agg(F.sum("n").alias("popular"))
-    wanted = popular.join(nodes, "node").select("node", "at")
+    counted = stored(entries.join(shared, "key"), "copies-keys")
+    popular = counted.groupBy("node").agg(F.sum("n").alias("popular"))
+    wanted = popular.select("node").unionByName(by_fingerprint.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(nodes, "node").select("node", "at")
     bodies = stored(_hashed(docs).select("at", "body").join(wanted, "at").select("node", "body").dropDuplicates(["node"]), "copies-bodies")
-    entries = stored(entries.join(popular, "node").select("key", "node", "size", "popular"), "copies-entries")
+    entries = stored(counted.join(popular, "node").select("key", "node", "size", "popular"), "copies-entries")
+    remove(counted)
     met = links = labels = None
-    for turn in range(LEADER_ROUNDS + 1):
-        now = entries.withColumn("root", F.col("node"))
-        if labels is not None:
-            now = entries.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if turn < LEADER_ROUNDS:
-            both = _leader_pairs(now, turn)
+    for turn in range(-1, LEADER_ROUNDS + 1):
+        if turn < 0:
+            pairs = by_fingerprint
         else:
-            open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-            both = prefix_pairs(now.join(open_keys, "key", "left_semi").select("node", "root").distinct(), bodies, least, words_per_shingle)
-        pairs = stored(_candidates(both, met, least), "copies-pairs")
+            now = entries.withColumn("root", F.col("node"))
+            if labels is not None:
+                now = entries.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            if turn < LEADER_ROUNDS:
+                both = _leader_pairs(now, turn)
+            else:
+                open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+                both = prefix_pairs(now.join(open_keys, "key", "left_semi").select("node", "root").distinct(), bodies, least, words_per_shingle)
+            pairs = stored(_candidates(both, met, least), "copies-pairs")
         met_now = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         met = met_now if met is None else met.unionByName(met_now)
         found = stored(similar(pairs, bodies, least, words_per_shingle), "copies-links")
@@ -303,12 +331,12 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shin
     return rows.join(placed.join(smallest, "root").select("node", F.col("root").alias("group"), "component_id"), "node").select("doc_id", "at", "component_id", "group")
 
 
-def keep_one(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shingle: int = COPY_WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shingle: int = COPY_WORDS, max_bits: int = COPY_BITS) -> DataFrame:
     """One row of each group of near copies, in the columns of ``docs``: of the rows with its smallest id, that of the smallest hash.
 
     A null id comes after all others, so a group keeps a row without an id only where none of its rows has one.
     """
-    found = near_copies(docs, least, words_per_shingle)
+    found = near_copies(docs, least, words_per_shingle, max_bits)
     keep = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("x")).select(F.col("x.at").alias("_at"))
     marked = docs.withColumn("_at", F.xxhash64(column(docs, "doc_id", "bigint"), column(docs, "text", "binary")))
     return marked.join(keep, "_at", "left_semi").dropDuplicates(["_at"]).select(*docs.columns)

@@ -133,3 +133,41 @@ def test_keep_one_finds_similar_texts(spark):
 def test_empty(spark):
     assert S.keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert S.groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_fingerprints_group_near_copies(spark, monkeypatch):
+    """Texts a few bits apart are grouped by their fingerprints alone, and only if their shingles are similar enough."""
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(n)]
+    rows = [(n, " ".join(words(120))) for n in range(20)]
+    fp = lambda text: S.fingerprint(S.np.unique(S.shingle_hashes(text.encode(), 5)))
+    apart = lambda a, b: ((fp(a) ^ fp(b)) & (2**64 - 1)).bit_count()
+    near = []
+    for n, text in rows:
+        for k in range(200):
+            copy = f"{text} more{k}"
+            if 1 <= apart(text, copy) <= 2:
+                near.append((100 + n, copy))
+                break
+    assert len(near) > 10
+    tiny = [(200, "one two three four five"), (201, "one two three four five six"), (202, None), (203, " ")]
+    rows += near + [(300, rows[0][1].title())] + tiny
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    empty = spark.createDataFrame([], "a long, size_a long, root_a long, b long, size_b long, root_b long")
+    nothing = lambda *given: empty
+    monkeypatch.setattr(S, "_leader_pairs", nothing)
+    monkeypatch.setattr(S, "prefix_pairs", nothing)
+    got = sorted(r.doc_id for r in S.keep_one(docs).collect())
+    assert got == [*range(20), 200, 201, 202]
+
+
+def test_fingerprint_pairs_keep_a_star_per_group(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    fps = base + [b ^ 1 << rng.randrange(63) for b in base[:20]] + base[:10] + [base[0] ^ 1 << k for k in range(30)]
+    nodes = [(n, 100 + n, fp) for n, fp in enumerate(fps)]
+    pairs = S.fingerprint_pairs(spark.createDataFrame(nodes, "node long, size long, fp long")).collect()
+    assert len(pairs) <= 2 * len(nodes) and all(r.size_a == 100 + r.a and r.size_b == 100 + r.b for r in pairs)
+    label = classes([(n, f) for n, _, f in nodes], 2)
+    joined = {r.node: r.root for r in S.components(spark.createDataFrame([(r.a, r.b) for r in pairs], "a long, b long")).collect()}
+    assert [joined.get(n, n) for n, _, _ in nodes] == label
