@@ -125,7 +125,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable over the edges (a, b), by alternating star contractions.
 
     Each round hangs neighbours on the smallest one they know; a round is written to the shared folder, so a
-    lost executor never replays earlier rounds.  Groups are only aggregated and joined, never gathered.
+    lost executor never replays earlier rounds, and takes the place of the one before.  Groups are only aggregated and
+    joined, never gathered.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
     mark = _mark(now)
@@ -135,7 +136,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
-        now = stored(small.filter("u != v").distinct(), name)
+        last, now = now, stored(small.filter("u != v").distinct(), name)
+        remove(last)
         mark, before = _mark(now), mark
         if mark == before:
             break

@@ -1,6 +1,11 @@
+import glob
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from parcelwise.llm import simhash as S
+from parcelwise.session import shared_folder
 
 
 def spelled(text, k=3):
@@ -71,6 +76,31 @@ def test_long_chain_is_one_component(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
+def test_rounds_of_components_leave_one_table(spark):
+    tables = lambda: set(glob.glob(f"{shared_folder(spark)}/only-the-last-*"))
+    edges, before = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"), tables()
+    assert S.components(edges, "only-the-last").count() == 30
+    assert len(tables() - before) == 1
+
+
+def test_stage_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        names = [found.apply(i).getName() for i in range(found.size())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before, counts = files(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    table = S.stored(counts, "counts")
+    for _ in range(50):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(r["count"] for r in table.collect()) == sorted(r["count"] for r in counts.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d", "s"), (1, "a b c d", "t"), (1, "a b c d", "t"), (None, "a b c d", "u"), (9, "other words here now", "s")], "doc_id long, text string, source string")
     got = sorted(((r.doc_id, r.source) for r in S.keep_one(docs).collect()), key=str)
