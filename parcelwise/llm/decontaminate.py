@@ -11,7 +11,8 @@
 3. Every passage of every document is projected and compared with every benchmark passage: the cosine of the passage
    and the item's projection, as a share of the item's own.  A passage counts as no longer than the item, and words outside the
    vocabulary not at all, so what surrounds a short item, and the size of the corpus, do not hide it.
-   Items of whose words too few are anywhere in the document cannot count and are left out before.
+   Items of whose words too few are anywhere in the document cannot count and are left out before; so are documents for
+   which no item is left.
 4. A candidate counts if the longest common subsequence of the item and the surroundings covers ``least_lcs`` of the
    item's words and that of its answer (the last sentence) ``least_answer`` of the answer's: a reworded copy still passes, words
    in common do not.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, prepare, read_table, remove, stored
+from .common import column, prepare, read_table, remove, slices, stored
 
 STEP, STEPS = 16, 3
 RANK = 128
@@ -44,6 +45,8 @@ LEAST_LCS = 0.7
 LEAST_ANSWER = 0.6
 BLOCK_ITEMS = 2000
 POWER_ROUNDS = 2
+#: Words of the texts whose passages are added up at a time.
+GRAM_WORDS = 25_000
 #: Bytes of partial rows that one group of words adds up.
 PART_BYTES = 16 << 20
 #: Numbers in a stream of words: outside the vocabulary, and none (behind a text).
@@ -216,8 +219,11 @@ class Index:
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(basis)
+            vectors = (idf[:, None] * basis).astype(np.float32)
             for batch in batches:
-                total += gram_times(_numbers(batch, vocabulary), idf, basis)
+                numbers = _numbers(batch, vocabulary)
+                for some in slices(numbers, [len(x) for x in numbers], GRAM_WORDS):
+                    add_gram_times(some, idf, vectors, total)
             some = np.flatnonzero(np.abs(total).sum(1))
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array((some % parts).astype(np.int32)), pa.array(some.astype(np.int32)), pa.array([total[n].tobytes() for n in some], pa.binary())], ["part", "word", "row"])
@@ -237,18 +243,24 @@ class Index:
 
 def gram_times(numbers: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """``A'(A basis)`` for the TF-IDF passages of some texts."""
-    out = np.zeros_like(basis)
+    out, vectors = np.zeros_like(basis), (idf[:, None] * basis).astype(np.float32)
+    for some in slices(numbers, [len(x) for x in numbers], GRAM_WORDS):
+        add_gram_times(some, idf, vectors, out)
+    return out
+
+
+def add_gram_times(numbers: list[np.ndarray], idf: np.ndarray, vectors: np.ndarray, out: np.ndarray) -> None:
+    """Add to ``out`` that of some texts, a few at a time so that their rows stay in the processor's cache; ``vectors`` are the weighted rows of the basis."""
     stream, firsts = grid(numbers)
     inside = np.flatnonzero(stream >= 0)
     inside = inside[idf[stream[inside]] > 0]
     if not len(inside):
-        return out
+        return
     words, steps = stream[inside], inside // STEP
     cuts = np.flatnonzero(np.append(True, np.diff(steps) > 0))
     row_of = np.zeros(len(stream) // STEP, np.int64)  # steps without a weighted word share row 0
     row_of[steps[cuts]] = np.arange(1, len(cuts) + 1)
-    sums = np.zeros((len(cuts) + 1, basis.shape[1]), np.float32)
-    vectors = (idf[:, None] * basis).astype(np.float32)
+    sums = np.zeros((len(cuts) + 1, vectors.shape[1]), np.float32)
     place = np.arange(len(words)) - np.repeat(cuts, np.diff(np.append(cuts, len(words))))
     for k in range(int(place.max()) + 1):  # the k-th weighted word of every step that has one
         at = np.flatnonzero(place == k)
@@ -262,8 +274,7 @@ def gram_times(numbers: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) ->
     order = np.argsort(words, kind="stable")
     starts = np.flatnonzero(np.append(True, np.diff(words[order]) > 0))
     some = words[order[starts]]
-    out[some] = idf[some, None] * np.add.reduceat(back[row_of[steps[order]]], starts, axis=0)
-    return out
+    out[some] += idf[some, None] * np.add.reduceat(back[row_of[steps[order]]], starts, axis=0)
 
 
 _HITS = "doc_id bigint, body_hash bigint, item_id bigint, cosine double, lcs_share double, answer_share double"
@@ -299,14 +310,20 @@ def search(docs: DataFrame, index: Index, least_cosine: float = LEAST_COSINE, le
     def confirm(words: np.ndarray, item: int, places: list[int], cosine: list[float]) -> tuple[float, float, float] | None:
         size, answer = len(numbers[item]), answers[item]
         masks, answer_masks = _masks(numbers[item]), _masks(answer)
+        wanted = np.zeros(len(vocabulary) + 1, bool)  # the last is that of words outside the vocabulary
+        wanted[numbers[item]] = wanted[answer] = True
+        where = np.flatnonzero(wanted[words])  # no other word can be in a common subsequence
         at = 0
         best = None
         while at < len(places):
             end = at + 1
             while end < len(places) and places[end] - places[end - 1] <= size:
                 end += 1
-            near = words[max(0, places[at] - size) : places[end - 1] + STEP * STEPS + size].tolist()
-            share = common_subsequence(masks, size, near) / size
+            first, last = np.searchsorted(where, (places[at] - size, places[end - 1] + STEP * STEPS + size))
+            near = words[where[first:last]].tolist()
+            share = len(near) / size
+            if share >= least_lcs:
+                share = common_subsequence(masks, size, near) / size
             if share >= least_lcs:
                 got = common_subsequence(answer_masks, len(answer), near) / len(answer)
                 if got >= least_answer and (best is None or share > best[1]):
@@ -317,12 +334,12 @@ def search(docs: DataFrame, index: Index, least_cosine: float = LEAST_COSINE, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _numbers(batch, vocabulary)
+            able = np.array([possible(x) for x in found]).reshape(len(found), len(ids))
+            some_able = np.flatnonzero(able.any(1))
+            batch, able, found = batch.take(pa.array(some_able)), able[some_able], [found[n] for n in some_able]
             sums, lengths, firsts = passages(found, vectors, squares)
             bounds = np.concatenate([[0], np.cumsum([max(STEPS, -(-len(x) // STEP)) for x in found])])
-            able = np.array([possible(x) for x in found]).reshape(len(found), len(ids))
             doc_of = np.searchsorted(bounds, firsts, "right") - 1
-            some_able = able.any(1)[doc_of]
-            sums, lengths, firsts, doc_of = sums[some_able], lengths[some_able], firsts[some_able], doc_of[some_able]
             hits: dict[tuple[int, int], list[tuple[int, float]]] = {}
             for low in range(0, len(firsts), 8192):
                 some = sums[low : low + 8192]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from parcelwise.llm import decontaminate as D
 
@@ -164,3 +165,38 @@ def test_gram_product():
     rows *= idf
     assert np.allclose(D.gram_times(numbers, idf, basis), rows.T @ (rows @ basis), rtol=1e-4, atol=1e-2)
     assert not D.gram_times([], idf, basis).any()
+
+
+def test_gram_product_a_few_texts_at_a_time(monkeypatch):
+    own = np.random.default_rng(6)
+    numbers = [own.integers(-1, 30, n).astype(np.int32) for n in (0, 60, 500, 3, 90)]
+    idf, basis = own.random(30) + 1, own.standard_normal((30, 5))
+    whole = D.gram_times(numbers, idf, basis)
+    most, add = [], D.add_gram_times
+    monkeypatch.setattr(D, "GRAM_WORDS", 100)
+    monkeypatch.setattr(D, "add_gram_times", lambda some, *rest: (most.append(sum(map(len, some))), add(some, *rest)))
+    assert np.allclose(D.gram_times(numbers, idf, basis), whole, rtol=1e-5, atol=1e-3)
+    assert most == [60, 500, 93]
+
+
+def test_passages_only_of_texts_that_can_hold_an_item(spark, monkeypatch):
+    docs, _ = world()
+    rows = [(n, n, t) for n, t, _ in docs]
+    frame = spark.createDataFrame(rows, "doc_id long, body_hash long, body string")
+    index = D.Index(ITEMS)
+    index.weight_frequencies(frame)
+    index.fit(frame, rank=8)
+    seen, passages, handed, common = [], D.passages, [], D.common_subsequence
+
+    class Captured:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(D, "passages", lambda found, *rest: (seen.append(len(found)), passages(found, *rest))[1])
+    monkeypatch.setattr(D, "common_subsequence", lambda masks, size, other: (handed.extend(other), common(masks, size, other))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["doc_id", "body_hash", "body"])
+    nothing = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array(["none of these"])], ["doc_id", "body_hash", "body"])
+    got = [(r["doc_id"], r["item_id"]) for out in D.search(Captured(), index)(iter([batch, nothing])) for r in out.to_pylist()]
+    assert sorted(got) == sorted((r.doc_id, r.item_id) for r in D.search(frame, index).collect()) and len(got) >= 40
+    assert len({d for d, _ in got}) <= seen[0] < 120 and seen[1] == 0
+    assert handed and D.UNKNOWN not in handed
