@@ -340,23 +340,29 @@ def search(docs: DataFrame, index: Index, least_cosine: float = LEAST_COSINE, le
             sums, lengths, firsts = passages(found, vectors, squares)
             bounds = np.concatenate([[0], np.cumsum([max(STEPS, -(-len(x) // STEP)) for x in found])])
             doc_of = np.searchsorted(bounds, firsts, "right") - 1
-            hits: dict[tuple[int, int], list[tuple[int, float]]] = {}
+            hits = []
             for low in range(0, len(firsts), 8192):
                 some = sums[low : low + 8192]
                 length = np.minimum(lengths[low : low + 8192].astype(np.float32)[:, None], square_whole)
                 cosine = (some @ targets.T) / np.sqrt(np.maximum(length, 1e-12))
                 at, of = np.nonzero(cosine >= least_cosine)
                 likely = able[doc_of[low + at], owner[of]]
-                for p, t in zip(at[likely].tolist(), of[likely].tolist()):
-                    doc = int(doc_of[low + p])
-                    hits.setdefault((doc, int(owner[t])), []).append((int(firsts[low + p] - bounds[doc]) * STEP, min(1.0, float(cosine[p, t]))))
+                at, of = at[likely], of[likely]
+                doc = doc_of[low + at]
+                hits.append((doc, owner[of], (firsts[low + at] - bounds[doc]) * STEP, np.minimum(1.0, cosine[at, of].astype(float))))
+            if not hits:
+                continue
+            doc, item, place, near = (np.concatenate(c) for c in zip(*hits))
+            order = np.lexsort((near, place, item, doc))
+            doc, item, place, near = doc[order], item[order], place[order], near[order]
+            cuts = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0)).tolist()
             rows = []
             doc_ids, hashes = batch.column("doc_id").to_pylist(), batch.column("body_hash").to_pylist()
-            for (doc, item), at in hits.items():
-                at.sort()
-                got = confirm(found[doc], item, [a for a, _ in at], [c for _, c in at])
+            for low, high in zip(cuts, [*cuts[1:], len(doc)]):
+                d, i = int(doc[low]), int(item[low])
+                got = confirm(found[d], i, place[low:high].tolist(), near[low:high].tolist())
                 if got:
-                    rows.append((doc_ids[doc], hashes[doc], ids[item], *got))
+                    rows.append((doc_ids[d], hashes[d], ids[i], *got))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _HITS.split(", ")])
