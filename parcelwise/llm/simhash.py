@@ -124,28 +124,28 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable over the edges (a, b), by alternating star contractions.
 
-    Each round hangs neighbours on the smallest one they know; a round is written to the shared folder, so a
-    lost executor never replays earlier rounds, and takes the place of the one before.  Groups are only aggregated and
-    joined, never gathered.
+    Each round hangs neighbours on the smallest one they know, until every node has no more than one smaller neighbour
+    and is not itself one; a round is written to the shared folder, so a lost executor never replays earlier rounds, and
+    takes the place of the one before.  Groups are only aggregated and joined, never gathered.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    while True:
+        both = _rows(now, ("u", "v"), ("v", "u"))
+        known = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("smaller"), F.max(F.col("v") > F.col("u")).alias("larger"))
+        known = stored(known, f"{name}-nodes")
+        if known.filter("smaller > 1 OR smaller > 0 AND larger").isEmpty():
+            remove(known)
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        large = now.join(known.select(F.col("u").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
-        last, now = now, stored(small.filter("u != v").distinct(), name)
+        last, now = now, stored(_rows(large.join(below, "u"), ("u", "m"), ("v", "m")).filter("u != v").distinct(), name)
         remove(last)
-        mark, before = _mark(now), mark
-        if mark == before:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        remove(known)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _rows(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v): for every row one of each pair of its columns."""
+    return df.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("x")).select("x.u", "x.v")
 
 
 def linked(distinct: DataFrame, max_bits: int) -> DataFrame:
@@ -281,6 +281,7 @@ def prefix_pairs(live: DataFrame, bodies: DataFrame, least: float, words_per_shi
     alone, prefix = F.col("size") - F.size("shared"), F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
     front = held.filter(alone < prefix).select("node", "root", "size", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("k", "x"))
     front = stored(front.select(F.col("x.gram").alias("gram"), "node", "root", "size", (F.col("size") - F.col("alone") - F.col("k")).alias("rest")), "copies-prefixes")
+    remove(tokens)
     left, right = (front.select("gram", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}"), F.col("rest").alias(f"rest_{x}")) for x in "ab")
     enough = F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9
     return left.join(right, (left["gram"] == right["gram"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough)
@@ -305,7 +306,8 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shin
     bodies = stored(_hashed(docs).select("at", "body").join(wanted, "at").select("node", "body").dropDuplicates(["node"]), "copies-bodies")
     entries = stored(counted.join(popular, "node").select("key", "node", "size", "popular"), "copies-entries")
     remove(counted)
-    met = links = labels = None
+    met = labels = None
+    compared = []
     for turn in range(-1, LEADER_ROUNDS + 1):
         if turn < 0:
             pairs = by_fingerprint
@@ -319,16 +321,24 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shin
                 open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
                 both = prefix_pairs(now.join(open_keys, "key", "left_semi").select("node", "root").distinct(), bodies, least, words_per_shingle)
             pairs = stored(_candidates(both, met, least), "copies-pairs")
+        compared.append(pairs)
         met_now = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         met = met_now if met is None else met.unionByName(met_now)
         found = stored(similar(pairs, bodies, least, words_per_shingle), "copies-links")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links, "copies-components")
+            edges, last = found, labels
+            if last is not None:  # what was linked before is one group by its labels
+                edges = found.unionByName(last.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            labels = components(edges, "copies-components")
+            if last is not None:
+                remove(last)
+        remove(found)
     placed = nodes.select("node", "first").withColumn("root", F.col("node"))
     if labels is not None:
         placed = nodes.select("node", "first").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed, "copies-placed")
+    for table in [nodes, bodies, entries, *compared] + ([] if labels is None else [labels]):
+        remove(table)
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(placed.join(smallest, "root").select("node", F.col("root").alias("group"), "component_id"), "node").select("doc_id", "at", "component_id", "group")
 

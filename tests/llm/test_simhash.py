@@ -83,6 +83,43 @@ def test_rounds_of_components_leave_one_table(spark):
     assert len(tables() - before) == 1
 
 
+def test_rounds_of_components_take_few_tasks(spark):
+    def tasks(edges):
+        edges = S.stored(edges, "edges")
+        group = f"components-{time.time()}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            S.components(edges, "few-tasks")
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+        return sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+
+    setting = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        star = tasks(spark.range(1, 40).selectExpr("0L AS a", "id AS b"))
+        chain = tasks(spark.range(8).selectExpr("id AS a", "id + 1 AS b"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", setting)
+    assert star < 50
+    assert chain < 150
+
+
+def test_near_copies_leave_only_the_tables_their_result_reads(spark):
+    tables = lambda: set(glob.glob(f"{shared_folder(spark)}/copies*"))
+    before = tables()
+    rng = random.Random(3)
+    base = [str(rng.randrange(10**6)) for _ in range(200)]
+    rows = [(n, " ".join(base[:20] + [str(rng.randrange(10**6)) for _ in range(180)])) for n in range(5)]
+    rows += [(n, " ".join(base[: n - 20] + ["x"] + base[n - 20 :])) for n in range(20, 30)]
+    got = S.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {x.rsplit("/", 1)[1][:-33] for x in tables() - before}
+    assert {r.doc_id: r.component_id for r in got.collect()} == {n: min(n, 20) for n, _ in rows}
+    assert left <= {"copies", "copies-placed", "copies-simhash", "copies-prefixes"}
+
+
 def test_stage_tables_leave_no_shuffle_files(spark):
     def files():
         found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
