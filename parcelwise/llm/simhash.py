@@ -109,7 +109,10 @@ def _signed(x: int) -> int:
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints at most ``max_bits`` bits apart."""
+    """Pairs (a, b), a < b, of distinct fingerprints at most ``max_bits`` bits apart.
+
+    Spark sizes the entries like the few fingerprints they are exploded from and would broadcast them; the hint keeps them distributed.
+    """
     index = F.array(*[F.struct(F.lit(n).alias("v"), F.lit(_signed(m)).cast("bigint").alias("mask"), F.lit(_signed(b)).cast("bigint").alias("gap")) for n, (m, b) in enumerate(variants(max_bits))])
     entries = fps.select("fp").distinct().select("fp", F.explode(index).alias("e")).select(
         F.col("e.v").alias("v"), F.col("fp").bitwiseAND(F.col("e.mask")).alias("key"), "fp",
@@ -117,7 +120,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     left = entries.filter("side != 1").select("v", "key", F.col("fp").alias("a"), F.col("side").alias("left_side"))
     right = entries.filter("side != 0").select("v", "key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    pairs = left.join(right, ["v", "key"]).filter(near & ((F.col("left_side") == 0) | (F.col("a") < F.col("b"))))
+    pairs = left.join(right.hint("merge"), ["v", "key"]).filter(near & ((F.col("left_side") == 0) | (F.col("a") < F.col("b"))))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -238,3 +238,12 @@ def test_fingerprint_pairs_keep_a_star_per_group(spark):
     label = classes([(n, f) for n, _, f in nodes], 2)
     joined = {r.node: r.root for r in S.components(spark.createDataFrame([(r.a, r.b) for r in pairs], "a long, b long")).collect()}
     assert [joined.get(n, n) for n, _, _ in nodes] == label
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entries_of_fingerprints_are_never_broadcast(spark):
+    few = spark.range(1000).selectExpr("xxhash64(id) AS fp")
+    assert "BroadcastHashJoin" not in plan(S.links(few))
