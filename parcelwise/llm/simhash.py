@@ -260,7 +260,7 @@ def _leader_pairs(now: DataFrame, turn: int) -> DataFrame:
         counted = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(member).alias("head"))
         major = counted.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
         heads = counted.join(major, "key").filter("root != major").groupBy("key").agg(F.max("head").alias("head"))
-    return now.join(heads, "key").select(
+    return now.join(heads.hint("merge"), "key").select(
         F.col("head.node").alias("a"), F.col("head.size").alias("size_a"), F.col("head.root").alias("root_a"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
 
 
@@ -280,14 +280,14 @@ def prefix_pairs(live: DataFrame, bodies: DataFrame, least: float, words_per_shi
     texts = bodies.join(live, "node").select("node", "root", "body").mapInArrow(run, "node bigint, root bigint, size bigint, grams array<bigint>")
     tokens = stored(texts.select("node", "root", "size", F.explode("grams").alias("gram")), "copies-grams")
     common = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = tokens.join(common, "gram").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("shared"))
+    held = tokens.join(common.hint("merge"), "gram").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("shared"))
     alone, prefix = F.col("size") - F.size("shared"), F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
     front = held.filter(alone < prefix).select("node", "root", "size", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("k", "x"))
     front = stored(front.select(F.col("x.gram").alias("gram"), "node", "root", "size", (F.col("size") - F.col("alone") - F.col("k")).alias("rest")), "copies-prefixes")
     remove(tokens)
     left, right = (front.select("gram", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}"), F.col("rest").alias(f"rest_{x}")) for x in "ab")
     enough = F.least("rest_a", "rest_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9
-    return left.join(right, (left["gram"] == right["gram"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough)
+    return left.join(right.hint("merge"), (left["gram"] == right["gram"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough)
 
 
 def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shingle: int = COPY_WORDS, max_bits: int = COPY_BITS) -> DataFrame:
@@ -297,13 +297,15 @@ def near_copies(docs: DataFrame, least: float = LEAST_SIMILARITY, words_per_shin
     by the keys of bands: every text of a key meets the key's leader, in ``LEADER_ROUNDS`` turns with another one each; what is
     one group by then needs no more pairs.  Texts of keys that still hold several groups then meet through an exact prefix
     filter, so no pair is left out, and a large group does not make the square of its size.
+
+    Tables with a row per key or shingle are sized far too low by Spark; hints keep them from a broadcast.
     """
     rows = stored(sketches(docs, words_per_shingle), "copies")
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "copies-nodes")
     by_fingerprint = stored(_candidates(fingerprint_pairs(nodes.select("node", "size", "fp"), max_bits), None, least), "copies-pairs")
     entries = nodes.select(F.explode("keys").alias("key"), "node", "size")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counted = stored(entries.join(shared, "key"), "copies-keys")
+    counted = stored(entries.join(shared.hint("merge"), "key"), "copies-keys")
     popular = counted.groupBy("node").agg(F.sum("n").alias("popular"))
     wanted = popular.select("node").unionByName(by_fingerprint.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(nodes, "node").select("node", "at")
     bodies = stored(_hashed(docs).select("at", "body").join(wanted, "at").select("node", "body").dropDuplicates(["node"]), "copies-bodies")

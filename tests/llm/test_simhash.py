@@ -247,3 +247,10 @@ def plan(df):
 def test_entries_of_fingerprints_are_never_broadcast(spark):
     few = spark.range(1000).selectExpr("xxhash64(id) AS fp")
     assert "BroadcastHashJoin" not in plan(S.links(few))
+
+
+def test_rows_per_key_are_never_broadcast(spark):
+    now = spark.range(1000).selectExpr("id % 50 AS key", "id AS node", "id AS size", "id AS popular", "id AS root")
+    assert "BroadcastHashJoin" not in plan(S._leader_pairs(now, 0))
+    live, bodies = spark.range(1000).selectExpr("id AS node", "id AS root"), spark.range(1000).selectExpr("id AS node", "cast(cast(id AS string) AS binary) AS body")
+    assert "BroadcastHashJoin" not in plan(S.prefix_pairs(live, bodies, 0.8, 5))
