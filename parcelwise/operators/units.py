@@ -59,7 +59,7 @@ def match_units(requests: DataFrame, units: DataFrame, year: str) -> DataFrame:
     ``warnings``.  :func:`explain_missing` adds why a named building or unit was not found.
     """
     # Read three times: for the keys, for the units they name, and for one unit of each parcel.
-    of_year = stored(of_parcels(units.where(F.col("year") == year), _wanted_parcels(requests)), "asked-units")
+    of_year = stored(of_parcels(units.where(F.col("year") == year), _wanted_parcels(requests)), "asked-units", measured=True)
     blank, identity = F.lit(""), _identity()
     forms = of_year.select("pnu", "_both", "_ho_only", "_dong_only", identity.alias("_id"), _raw("dong").alias("_rd"), _raw("ho").alias("_rh"), unit_token(F.col("dong")).alias("_nd"), unit_token(F.col("ho")).alias("_nh"))
     c = F.col

@@ -164,7 +164,7 @@ def resolve_parcels(requests: DataFrame, sources: Sources) -> DataFrame:
     The parsed requests are stored first: the ladder parses the search texts once more, and building
     on a stored column keeps both parses small.
     """
-    rows = stored(with_query(route(requests, sources.register)), "routed")
+    rows = stored(with_query(route(requests, sources.register)), "routed", measured=True)
     open_rows = rows.where(F.col("asked_pnu").isNull() & F.col("query").isNotNull()).select("request_id", "query")
     found = geocode.resolve(open_rows, sources.primary, sources.secondary)
     joined = rows.join(found, "request_id", "left")
@@ -175,10 +175,13 @@ def resolve_parcels(requests: DataFrame, sources: Sources) -> DataFrame:
 
 
 def lookup(requests: DataFrame, sources: Sources, this_year: str, last_year: str) -> DataFrame:
-    """The whole job.  Stage tables cut the plan: parsed requests, resolved requests, housing matches."""
-    resolved = stored(resolve_parcels(requests, sources), "resolved")
+    """The whole job.  Stage tables cut the plan: parsed requests, resolved requests, both matches, and the answers.
+
+    The lists of keys that requests and units are exploded to are many times the size Spark expects, so all joins go by measured sizes.
+    """
+    resolved = stored(resolve_parcels(requests, sources), "resolved", measured=True)
     asked = resolved.where(F.col("pnu").isNotNull()).select("request_id", "pnu", "dong", "ho")
-    matched = stored(units.attach_last_year(units.match_units(asked, sources.units, this_year), sources.units, last_year), "matched")
+    matched = stored(units.attach_last_year(units.match_units(asked, sources.units, this_year), sources.units, last_year), "matched", measured=True)
     expected = sources.expected
     if expected is not None and "year" in expected.columns:
         expected = expected.where(F.col("year") == this_year)
@@ -188,7 +191,7 @@ def lookup(requests: DataFrame, sources: Sources, this_year: str, last_year: str
     apt = explained.select("request_id", F.struct("unit", "single", "sample", "price", "needs_unit", "warnings", "price_last", "warnings_last").alias("apt"))
     office = officetel.attach_last_year(officetel.match_officetel(asked, sources.officetel, this_year), sources.officetel, last_year)
     ofc = office.select("request_id", F.struct("unit", "sample", "is_matched", "price", "needs_unit", "warnings", "price_last", "warnings_last").alias("ofc"))
-    return score_and_status(choose(resolved.join(apt, "request_id", "left").join(ofc, "request_id", "left")))
+    return stored(score_and_status(choose(resolved.join(apt, "request_id", "left").join(ofc, "request_id", "left"))), "answers", measured=True)
 
 
 def refine(requests: DataFrame, sources: Sources) -> DataFrame:
