@@ -78,21 +78,26 @@ def _siblings(level: Column, i: Column) -> Column:
 
 
 def blocks(ranked: DataFrame) -> DataFrame:
-    """(tree, at, n, root, rows): an aligned block of leaves, its root, and its rows with their siblings inside the block."""
+    """(tree, at, n, root, leaves, items, level1, ...): an aligned block of leaves, its root, its rows and the hashes of its own levels.
+
+    The siblings of the rows are about ten times the size of the rows, and a reader takes many blocks at once; so they are made from the
+    levels (``inner_path``) only where the rows leave.
+    """
     most = FANOUT**BLOCK_LEVELS
     slot = (F.col("at") % most).cast("int").alias("slot")
     held = ranked.groupBy("tree", F.floor(F.col("at") / most).alias("block"), F.col("n").alias("leaves")).agg(F.sort_array(F.collect_list(F.struct(slot, "doc_id", "leaf", "tampered"))).alias("items"))
     held = held.withColumn("level0", F.transform("items", lambda x: x["leaf"]))
     for k in range(BLOCK_LEVELS):
         held = held.withColumn(f"level{k + 1}", F.when(F.col("leaves") > FANOUT**k, _parents(F.col(f"level{k}"))))
+    root = F.coalesce(*[F.get(F.col(f"level{k}"), F.lit(0)) for k in range(BLOCK_LEVELS, -1, -1)])
+    kept = [f"level{k}" for k in range(1, BLOCK_LEVELS)]
+    return held.select("tree", F.col("block").alias("at"), F.ceil(F.col("leaves") / most).alias("n"), root.alias("root"), "leaves", "items", *kept)
 
-    def path(i: Column) -> Column:
-        steps = [F.when(F.col("leaves") > FANOUT**k, _siblings(F.col(f"level{k}"), F.floor(i / FANOUT**k).cast("int"))) for k in range(BLOCK_LEVELS)]
-        return F.array_compact(F.array(*steps))
 
-    rows = F.transform("items", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["leaf"].alias("leaf"), x["tampered"].alias("tampered"), path(x["slot"]).alias("path")))
-    root = F.coalesce(*[F.get(F.col(f"level{k}"), F.lit(0)) for k in range(BLOCK_LEVELS, -1, -1)])
-    return held.select("tree", F.col("block").alias("at"), F.ceil(F.col("leaves") / most).alias("n"), root.alias("root"), rows.alias("rows"))
+def inner_path(i: Column) -> Column:
+    """The siblings of leaf i of a block inside the block; needs its levels from ``level0`` on and ``leaves``."""
+    steps = [F.when(F.col("leaves") > FANOUT**k, _siblings(F.col(f"level{k}"), F.floor(i / FANOUT**k).cast("int"))) for k in range(BLOCK_LEVELS)]
+    return F.array_compact(F.array(*steps))
 
 
 def butterfly(nodes: DataFrame) -> DataFrame:
@@ -132,11 +137,12 @@ def manifest(docs: DataFrame) -> DataFrame:
     subroots = low.filter("at = 0").select(F.lit("").alias("tree"), F.col("tree").alias("lang_tree"), "root")
     ranked = stored(positions(subroots, ["lang_tree"], "merkle-languages"), "merkle-subroots")
     top = ranked.drop("root").join(butterfly(ranked), ["tree", "at"]).select(F.col("lang_tree").alias("tree"), F.col("root").alias("top"), F.col("path").alias("last"))
-    known = held.select("tree", "at", "rows").join(low, ["tree", "at"]).join(top, "tree")
-    each = F.transform("rows", lambda x: F.struct(
-        x["doc_id"].alias("doc_id"), x["leaf"].alias("leaf"), x["tampered"].alias("tampered"), F.concat(x["path"], F.col("path"), F.col("last")).alias("path")))
+    known = held.drop("n", "root").join(low, ["tree", "at"]).join(top, "tree").withColumn("level0", F.transform("items", lambda x: x["leaf"]))
+    each = F.transform("items", lambda x: F.struct(
+        x["doc_id"].alias("doc_id"), x["leaf"].alias("leaf"), x["tampered"].alias("tampered"), F.concat(inner_path(x["slot"]), F.col("path"), F.col("last")).alias("path")))
     remove(made)
-    return known.select(F.col("root").alias("subroot"), F.col("top").alias("root"), F.explode(each).alias("x")).select("x.doc_id", "x.leaf", "x.tampered", "subroot", "root", "x.path")
+    # No block is empty.  For an inner explode Spark infers a filter on the array, which would make it twice.
+    return known.select(F.col("root").alias("subroot"), F.col("top").alias("root"), F.explode_outer(each).alias("x")).select("x.doc_id", "x.leaf", "x.tampered", "subroot", "root", "x.path")
 
 
 def fold(leaf: Column, path: Column) -> Column:

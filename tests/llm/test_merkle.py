@@ -91,3 +91,12 @@ def test_whole_blocks_of_production_size(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert manifest(spark, [], tmp_path) == []
+
+
+def test_stored_blocks_hold_no_paths(spark):
+    rows = table({"de": 1100})
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    held = M.blocks(M.positions(M.leaves(docs), ["doc_id", "leaf"], "ordered"))
+    assert held.count() == 3 and "path" not in held.schema.simpleString()
+    width = sum(len(str(r)) for r in held.collect())
+    assert width < 500 * len(rows)
