@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..session import stored
 from .order_stats import count_values, interpolated_quantiles
 
 # Fixed values of the study.
@@ -166,7 +167,8 @@ def area_bin_table(rows: DataFrame) -> DataFrame:
     """Unit prices per area class, over all and per region; empty classes are kept."""
     counted = rows.groupBy("region", "area_bin", "unit_price").agg(F.count(F.lit(1)).alias("cnt"), F.sum("price").alias("price_sum"))
     scoped = counted.withColumn("scope", F.explode(F.array(F.lit(ALL), F.col("region"))))
-    values = scoped.groupBy("scope", "area_bin", "unit_price").agg(F.sum("cnt").alias("cnt"), F.sum("price_sum").alias("price_sum"))
+    # Read four times: for slices, ranks, sums and scopes.
+    values = stored(scoped.groupBy("scope", "area_bin", "unit_price").agg(F.sum("cnt").alias("cnt"), F.sum("price_sum").alias("price_sum")), "area-values")
     median = interpolated_quantiles(values, ["scope", "area_bin"], "unit_price", {"median_unit": 0.5}, UNIT_SLICE).drop("n")
     base = values.groupBy("scope", "area_bin").agg(
         F.sum("cnt").alias("n"), (F.sum(F.col("unit_price") * F.col("cnt")) / F.sum("cnt")).alias("mean_unit"), (F.sum("price_sum") / F.sum("cnt")).alias("mean_price")
@@ -211,16 +213,24 @@ def train_test(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def training_stats(train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Median unit price and price quartiles per group and per (group, area class)."""
+    """Median unit price and price quartiles per group and per (group, area class).
+
+    Each value column is counted once, per class; the counts of a group are the sums over its classes.
+    """
+    by_bin = ["group", "area_bin"]
+    units, prices = (stored(count_values(train, by_bin, value), f"training-{value}") for value in ("unit_price", "price"))
+
+    def counted(table: DataFrame, keys: list[str], value: str) -> DataFrame:
+        return table if keys == by_bin else table.groupBy(*keys, value).agg(F.sum("cnt").alias("cnt"))
 
     def stats(keys: list[str], prefix: str) -> DataFrame:
-        unit = interpolated_quantiles(count_values(train, keys, "unit_price"), keys, "unit_price", {f"{prefix}unit": 0.5}, UNIT_SLICE).drop("n")
+        unit = interpolated_quantiles(counted(units, keys, "unit_price"), keys, "unit_price", {f"{prefix}unit": 0.5}, UNIT_SLICE).drop("n")
         price = interpolated_quantiles(
-            count_values(train, keys, "price"), keys, "price", {f"{prefix}p25": 0.25, f"{prefix}p50": 0.5, f"{prefix}p75": 0.75}, PRICE_SLICE
+            counted(prices, keys, "price"), keys, "price", {f"{prefix}p25": 0.25, f"{prefix}p50": 0.5, f"{prefix}p75": 0.75}, PRICE_SLICE
         ).drop("n")
         return unit.join(price, keys)
 
-    return stats(["group"], "g_"), stats(["group", "area_bin"], "b_")
+    return stats(["group"], "g_"), stats(by_bin, "b_")
 
 
 def predict(test: DataFrame, by_group: DataFrame, by_bin: DataFrame) -> DataFrame:

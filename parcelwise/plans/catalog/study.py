@@ -22,7 +22,8 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    return S.keep_large_groups(S.plausible_rows(S.typed(_raw(spark, sf))))
+    # The sizes of the groups read the rows a second time.
+    return S.keep_large_groups(stored(S.plausible_rows(S.typed(_raw(spark, sf))), "plausible"))
 
 
 def _dirty(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +90,7 @@ def k34_train_test_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a19_training_stats(spark: SparkSession, sf: str) -> DataFrame:
-    train, _ = S.train_test(_clean(spark, sf))
+    train, _ = S.train_test(stored(_clean(spark, sf), "study"))
     by_group, by_bin = S.training_stats(train)
     values = ("unit", "p25", "p50", "p75")
     whole = by_group.select("group", F.lit("").alias("area_bin"), *[F.col(f"g_{v}").alias(v) for v in values])
