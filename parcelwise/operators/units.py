@@ -93,7 +93,8 @@ def match_units(requests: DataFrame, units: DataFrame, year: str) -> DataFrame:
         },
         table,
     )
-    found = requests.join(counts, "request_id", "left")
+    # Stored, so that the files of the shuffles of all keys go before the units the keys name are joined.
+    found = requests.join(stored(counts, "unit-counts", measured=True), "request_id", "left")
     count = lambda slot: F.coalesce(F.col(f"{slot}_n"), F.lit(0).cast("bigint"))
     tier = (
         F.when(count("raw") == 1, 1)
@@ -211,7 +212,10 @@ def attach_last_year(matched: DataFrame, units: DataFrame, last_year: str) -> Da
     """Last year's price of the unit pinned this year, through its dong|floor|ho key.
 
     Accepted only when exactly one unit has that key.  Adds ``price_last`` and ``warnings_last``.
+
+    ``matched`` is read three times, so it is stored; the files of the shuffles behind it go before those of last year are written.
     """
+    matched = stored(matched, "matched-units", measured=True)
     anchor = F.coalesce(F.col("unit"), F.when(F.col("single.price").isNotNull(), F.col("single")))
     keyed = matched.select("request_id", "pnu", unit_key(anchor["dong"], anchor["floor"], anchor["ho"]).alias("_key"), anchor.isNotNull().alias("_anchored"))
     parcels = keyed.where(F.col("pnu").isNotNull()).select("pnu").distinct()
