@@ -224,7 +224,7 @@ def attach_last_year(matched: DataFrame, units: DataFrame, last_year: str) -> Da
     # Where a key has one unit, the smallest price is that unit's price.
     table = count_by_keys(of_year, [Key("parcel", blank, blank), Key("unit", unit_key(F.col("dong"), F.col("floor"), F.col("ho")), blank)], F.col("price"))
     found = count_lookup(keyed, {"parcel": Key("parcel", blank, blank), "same": Key("unit", F.col("_key"), blank, F.col("_anchored"))}, table)
-    found = keyed.select("request_id").join(found, "request_id", "left")
+    found = keyed.select("request_id").join(stored(found, "last-counts", measured=True), "request_id", "left")
     total, same = F.coalesce(F.col("parcel_n"), F.lit(0).cast("bigint")), F.coalesce(F.col("same_n"), F.lit(0).cast("bigint"))
     last = found.select("request_id", total.alias("total_last"), same.alias("_same"), F.when(same == 1, F.col("same_id")).alias("price_last"))
     joined = matched.join(last, "request_id", "left")

@@ -110,3 +110,11 @@ def test_hot_parcel_is_spread(spark, monkeypatch):
     table = keyed.count_by_keys(spread, [keyed.Key("ho", F.col("ho"), F.lit(""))], F.col("price"))
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(pnu" in plan and "SortAggregate" not in plan and plan.count("HashAggregate(") >= 2
+
+
+def test_steps_of_a_two_year_match_are_stored(spark):
+    rows = spark.createDataFrame([("P", y, d, f, h, p, "단지", "다세대") for y, d, f, h, p in BLOCKS], UNIT)
+    requests = spark.createDataFrame([(1, "P", "105", "1403")], REQUEST)
+    both = U.attach_last_year(U.match_units(requests, rows, "2026"), rows, "2025")
+    text = both._jdf.queryExecution().executedPlan().toString()
+    assert "matched-units" in text and "last-counts" in text and "asked-units" not in text
